@@ -1,13 +1,15 @@
 """Schema contracts: compare the columns of tables with what was agreed.
 
 A schema is a small table with one row per column: ``table``, ``position``,
-``column``, ``type``.  A contract is the same with ``allow_new_columns``.  No data
-is read, only schemas.
+``column``, ``type``.  A contract is the same with ``allow_new_columns``.  Comparing
+them reads no data; ``filled`` adds how many values each column holds, which says
+what a drift or a rebuild would touch.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,22 +25,41 @@ def schema_rows(spark: SparkSession, tables: Mapping[str, DataFrame]) -> DataFra
     """The columns of several tables, one row each."""
     rows = [(name, i, f.name, f.dataType.simpleString(), f.nullable)
             for name, df in tables.items() for i, f in enumerate(df.schema.fields)]
-    return spark.createDataFrame(rows, SCHEMA_ROWS)
+    return spark.createDataFrame(rows, SCHEMA_ROWS).coalesce(1)
 
 
-def infer(spark: SparkSession, table: str, df: DataFrame,
+def filled(tables: Mapping[str, DataFrame]) -> DataFrame:
+    """Per table and column the number of rows and of values, from one pass per table."""
+    parts = []
+    for name, df in tables.items():
+        counted = df.agg(F.count(F.lit(1)).alias("_rows"),
+                         *[F.count(F.col(c)).alias(c) for c in df.columns])
+        parts.append(counted.unpivot(["_rows"], df.columns, "column", "non_null").select(
+            F.lit(name).alias("table"), "column", F.col("_rows").alias("n_rows"), "non_null"))
+    return reduce(DataFrame.union, parts)
+
+
+def infer(spark: SparkSession, tables: Mapping[str, DataFrame],
           allow_new_columns: bool = False) -> DataFrame:
-    """Take the present schema as the contract."""
-    return schema_rows(spark, {table: df}).withColumn("allow_new_columns",
-                                                      F.lit(allow_new_columns))
+    """Take the present schemas as contracts."""
+    return schema_rows(spark, tables).withColumn("allow_new_columns", F.lit(allow_new_columns))
+
+
+def require_values(contract: DataFrame, values: DataFrame) -> DataFrame:
+    """Mark the columns that hold a value in every row as required (``nullable`` false)."""
+    return (contract.drop("nullable").join(values, ["table", "column"])
+            .withColumn("nullable", F.col("non_null") < F.col("n_rows"))
+            .drop("n_rows", "non_null"))
 
 
-def declare(spark: SparkSession, table: str, columns: Sequence[str | tuple[str, str]],
-            allow_new_columns: bool = False) -> DataFrame:
-    """A contract from column names, or (name, type) pairs."""
-    pairs = [(c, None) if isinstance(c, str) else c for c in columns]
-    rows = [(table, i, name, kind, None, allow_new_columns) for i, (name, kind) in enumerate(pairs)]
-    return spark.createDataFrame(rows, CONTRACT_ROWS)
+def declare(spark: SparkSession,
+            agreed: Mapping[str, tuple[Sequence[str | tuple[str, str]], bool]]) -> DataFrame:
+    """Contracts from (columns, allow_new_columns) per table; columns are names or
+    (name, type) pairs."""
+    rows = [(table, i, c if isinstance(c, str) else c[0], None if isinstance(c, str) else c[1],
+             None, new)
+            for table, (columns, new) in agreed.items() for i, c in enumerate(columns)]
+    return spark.createDataFrame(rows, CONTRACT_ROWS).coalesce(1)
 
 
 def diff(schema: DataFrame, contract: DataFrame) -> DataFrame:

@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
+# JSON times are written to the millisecond unless a format says otherwise.
+MICROS = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
+
 
 def overwrite_parquet(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
@@ -19,7 +22,8 @@ def append_events(events: DataFrame, folder: str) -> None:
     Days bound the number of folders and files however many incidents there are.
     """
     (events.withColumn("event_date", F.to_date("timestamp"))
-     .write.mode("append").partitionBy("event_date").json(folder))
+     .write.mode("append").option("timestampFormat", MICROS)
+     .partitionBy("event_date").json(folder))
 
 
 def write_record(one_row: DataFrame, folder: str) -> None:
