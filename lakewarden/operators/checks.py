@@ -73,7 +73,7 @@ def orphans(child: DataFrame, child_key: str, parent: DataFrame, parent_key: str
     """
     keys = (child.filter(F.col(child_key).isNotNull())
             .groupBy(F.col(child_key).alias("key")).agg(F.count(F.lit(1)).alias("n_rows")))
-    known = parent.select(F.col(parent_key).alias("key"))
+    known = parent.select(F.col(parent_key).alias("key")).distinct()
     return keys.join(known, "key", "left_anti")
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lakewarden import fixed
@@ -35,16 +35,21 @@ def first_evidence(incidents: DataFrame) -> DataFrame:
 
 # Root cause and investigation -------------------------------------------------
 
-def cause_rules(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(
-        fixed.ROOT_CAUSES, "error_type string, classification string, cause string, confidence double")
+def root_cause(incidents: DataFrame,
+               rules: Sequence[tuple[str, str, str, float]] = fixed.ROOT_CAUSES) -> DataFrame:
+    """Add classification, cause and confidence; no rule means unknown with 0.
 
+    The rules are a lookup in each row, so that a common error type is not
+    gathered in one task.
+    """
+    def conclusion(label: str, text: str, certainty: float) -> Column:
+        return F.struct(F.lit(label).alias("classification"), F.lit(text).alias("cause"),
+                        F.lit(certainty).alias("confidence"))
 
-def root_cause(incidents: DataFrame, rules: DataFrame) -> DataFrame:
-    """Add classification, cause and confidence; no rule means unknown with 0."""
-    label, text, certainty = fixed.UNKNOWN_CAUSE
-    return (incidents.join(rules, "error_type", "left")
-            .fillna({"classification": label, "cause": text, "confidence": certainty}))
+    table = F.create_map(*[x for kind, *rest in rules for x in (F.lit(kind), conclusion(*rest))])
+    found = F.coalesce(F.try_element_at(table, F.col("error_type")),
+                       conclusion(*fixed.UNKNOWN_CAUSE))
+    return incidents.withColumns({n: found[n] for n in ("classification", "cause", "confidence")})
 
 
 def investigate(classified: DataFrame) -> DataFrame:
@@ -230,14 +235,16 @@ def similar_to(memories: DataFrame, incident_id: str) -> DataFrame:
 
 # Prevention -------------------------------------------------------------------
 
-def control_catalogue(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(
-        fixed.PREVENTION_CONTROLS,
-        "classification string, control_id string, control_name string, control_type string, "
-        "trigger string")
-
-
-def controls(classified: DataFrame, catalogue: DataFrame, keep: Sequence[str]) -> DataFrame:
-    """Prevention controls of the incidents whose recovery was verified."""
+def controls(classified: DataFrame, keep: Sequence[str],
+             catalogue: Sequence[tuple[str, str, str, str, str]] = fixed.PREVENTION_CONTROLS
+             ) -> DataFrame:
+    """Prevention controls of the incidents whose recovery was verified, one row each."""
+    names = ("control_id", "control_name", "control_type", "trigger")
+    known: dict[str, list[Column]] = {}
+    for kind, *values in catalogue:
+        known.setdefault(kind, []).append(
+            F.struct(*[F.lit(v).alias(n) for n, v in zip(names, values)]))
+    table = F.create_map(*[x for kind, rows in known.items() for x in (F.lit(kind), F.array(*rows))])
     verified = classified.filter(F.col("post_execution_status") == "PASSED")
-    return verified.select(*keep, "classification").join(catalogue, "classification")
+    return verified.select(*keep, "classification",
+                           F.inline(F.try_element_at(table, F.col("classification"))))

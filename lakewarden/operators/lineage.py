@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lakewarden.operators.lookup import salted_lookup
 from lakewarden.session import work_folder
 
 
@@ -25,7 +26,7 @@ def reach(edges: DataFrame, starts: DataFrame, max_depth: int | None = None) ->
     folder = work_folder(spark, "reach")
     kind = dict(starts.dtypes)["start"]
     rows = f"start {kind}, node {kind}"
-    edges = edges.select("src", "dst").filter(F.col("src") != F.col("dst"))
+    edges = edges.select("src", "dst").filter(F.col("src") != F.col("dst")).persist()
 
     def path(level: int) -> str:
         return f"{folder}/depth={level}"
@@ -33,17 +34,20 @@ def reach(edges: DataFrame, starts: DataFrame, max_depth: int | None = None) ->
     (starts.filter(F.col("start").isNotNull()).select("start").distinct()
      .select("start", F.col("start").alias("node")).write.parquet(path(0)))
     level = 0
-    while max_depth is None or level < max_depth:
-        newest = spark.read.schema(rows).parquet(path(level))
-        visited = spark.read.schema(rows).parquet(*[path(i) for i in range(level + 1)])
-        step = (newest.join(edges, newest["node"] == edges["src"])
-                .select("start", F.col("dst").alias("node"))
-                .filter(F.col("node").isNotNull()).distinct()
-                .join(visited, ["start", "node"], "left_anti"))
-        level += 1
-        step.write.parquet(path(level))
-        if spark.read.schema(rows).parquet(path(level)).isEmpty():
-            break
+    try:
+        while max_depth is None or level < max_depth:
+            newest = spark.read.schema(rows).parquet(path(level))
+            visited = spark.read.schema(rows).parquet(*[path(i) for i in range(level + 1)])
+            step = (newest.join(edges, newest["node"] == edges["src"])
+                    .select("start", F.col("dst").alias("node"))
+                    .filter(F.col("node").isNotNull()).distinct()
+                    .join(visited, ["start", "node"], "left_anti"))
+            level += 1
+            step.write.parquet(path(level))
+            if spark.read.schema(rows).parquet(path(level)).isEmpty():
+                break
+    finally:
+        edges.unpersist()
     return spark.read.schema(f"{rows}, depth int").parquet(folder)
 
 
@@ -55,7 +59,7 @@ def blast_radius(reached: DataFrame, edges: DataFrame) -> DataFrame:
     """
     fan_out = (edges.groupBy(F.col("src").alias("node"))
                .agg(F.count(F.lit(1)).alias("out_edges")))
-    return (reached.join(fan_out, "node", "left").groupBy("start").agg(
+    return (salted_lookup(reached, fan_out, ["node"], "left").groupBy("start").agg(
         F.count_if(F.col("depth") > 0).alias("impacted"),
         F.max("depth").alias("max_depth"),
         F.coalesce(F.sum("out_edges"), F.lit(0).cast("bigint")).alias("listed")))
@@ -67,4 +71,4 @@ def impact(reached: DataFrame, catalogue: DataFrame) -> DataFrame:
     ``catalogue`` has one row per ``asset``.
     """
     downstream = reached.filter("depth > 0").select("start", F.col("node").alias("asset"), "depth")
-    return downstream.join(catalogue, "asset", "left")
+    return salted_lookup(downstream, catalogue, ["asset"], "left")

@@ -24,7 +24,7 @@ def _incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _classified(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return incidents.root_cause(_incidents(spark, sf_dir), incidents.cause_rules(spark))
+    return incidents.root_cause(_incidents(spark, sf_dir))
 
 
 def investigated(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -277,9 +277,8 @@ def _memory(spark: SparkSession, sf_dir: str) -> DataFrame:
         INCIDENT, F.col("recommended_strategy_key").alias("selected_strategy"))
     previews = strategies.groupBy(INCIDENT).agg(
         F.bool_or(F.col("data_loss_risk") != "HIGH").alias("simulation_completed"))
-    made = (incidents.controls(_classified(spark, sf_dir), incidents.control_catalogue(spark),
-                               [INCIDENT])
-            .groupBy(INCIDENT).agg(F.count(F.lit(1)).alias("controls_generated")))
+    made = (incidents.controls(_classified(spark, sf_dir), [INCIDENT]).groupBy(INCIDENT)
+            .agg(F.count(F.lit(1)).alias("controls_generated")))
     return incidents.memory(_incidents(spark, sf_dir), evaluated, chosen, previews, made)
 
 
@@ -295,8 +294,7 @@ def similar_incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def prevention_controls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return incidents.controls(_classified(spark, sf_dir), incidents.control_catalogue(spark),
-                              [INCIDENT])
+    return incidents.controls(_classified(spark, sf_dir), [INCIDENT])
 
 
 QUERIES = {

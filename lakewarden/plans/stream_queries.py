@@ -1,13 +1,16 @@
 """Queries that run as streams over files derived from the given tables.
 
-Each call writes its input as arriving files into a new folder, reads it as a
-stream until it is used up, and returns what the stream has written.
+Each call lets its input arrive in a new folder part by part, runs the stream
+after each part from its checkpoint, and returns what the stream has written.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from lakewarden import fixed
 from lakewarden.plans import inputs, medallion
@@ -23,12 +26,20 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inputs.table(spark, sf_dir, "events").withColumn("ts", stream.utc("ts"))
 
 
-def _arrive(spark: SparkSession, parts: list[DataFrame], purpose: str) -> DataFrame:
-    """Land the parts one after the other and read them as a stream in that order."""
-    landing = work_folder(spark, purpose)
+def _run_per_arrival(spark: SparkSession, parts: list[DataFrame], purpose: str,
+                     start: Callable[[DataFrame, str], StreamingQuery]
+                     ) -> tuple[str, list[StreamingQuery]]:
+    """Let the parts arrive one after the other, and run the stream after each.
+
+    Every run goes on from the checkpoint of the one before.  ``start`` gets the
+    stream and its output folder.
+    """
+    folder = work_folder(spark, purpose)
+    runs = []
     for part in parts:
-        part.coalesce(1).write.mode("append").parquet(landing)
-    return stream.read_files(spark, landing, parts[0].schema, files_per_batch=1)
+        part.write.mode("append").parquet(f"{folder}/arrived")
+        runs.append(start(stream.read_files(spark, f"{folder}/arrived", part.schema), folder))
+    return folder, runs
 
 
 def _thirds(events: DataFrame) -> list[DataFrame]:
@@ -40,12 +51,12 @@ def _thirds(events: DataFrame) -> list[DataFrame]:
 
 
 def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every arriving file becomes a bronze batch."""
-    arriving = _arrive(spark, _thirds(_events(spark, sf_dir)), "ingest-in")
-    out = work_folder(spark, "ingest-out")
-    stream.write_ingest(arriving, f"{out}/rows", f"{out}/checkpoint", "batch", inputs.INGESTED_AT,
-                        "events")
-    return plain(spark.read.parquet(f"{out}/rows").drop("batch"))
+    """Everything that arrived since the last run becomes a bronze batch."""
+    folder, _ = _run_per_arrival(
+        spark, _thirds(_events(spark, sf_dir)), "ingest",
+        lambda arriving, to: stream.write_ingest(arriving, f"{to}/rows", f"{to}/checkpoint",
+                                                 "batch", inputs.INGESTED_AT, "events"))
+    return plain(spark.read.parquet(f"{folder}/rows").drop("batch"))
 
 
 def _resent(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
@@ -56,46 +67,46 @@ def _resent(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
     return [*_thirds(events), again]
 
 
+def _deduplicate(arriving: DataFrame, to: str) -> StreamingQuery:
+    return stream.write_append(stream.deduplicated(arriving, ["event_id"], "ts", "2 days"),
+                               f"{to}/rows", f"{to}/checkpoint")
+
+
 def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events sent again are dropped: recent ones as copies, old ones as late."""
-    arriving = _arrive(spark, _resent(spark, sf_dir), "dedup-in")
-    out = work_folder(spark, "dedup-out")
-    stream.write_append(stream.deduplicated(arriving, ["event_id"], "ts", "2 days"),
-                        f"{out}/rows", f"{out}/checkpoint")
-    return plain(spark.read.parquet(f"{out}/rows"))
+    folder, _ = _run_per_arrival(spark, _resent(spark, sf_dir), "dedup", _deduplicate)
+    return plain(spark.read.parquet(f"{folder}/rows"))
 
 
 def stream_late(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many rows came later than the watermark allows, per arriving file."""
-    arriving = _arrive(spark, _resent(spark, sf_dir), "late-in")
-    out = work_folder(spark, "late-out")
-    query = stream.write_append(stream.deduplicated(arriving, ["event_id"], "ts", "2 days"),
-                                f"{out}/rows", f"{out}/checkpoint")
-    counts = spark.createDataFrame(stream.dropped_as_late(query), "batch bigint, late_rows bigint")
-    return counts.filter("late_rows > 0")
+    """How many rows came later than the watermark allows, per run."""
+    _, runs = _run_per_arrival(spark, _resent(spark, sf_dir), "late", _deduplicate)
+    counts = [(i, sum(n for _, n in stream.dropped_as_late(q))) for i, q in enumerate(runs)]
+    return spark.createDataFrame(counts, "run int, late_rows bigint")
 
 
 def stream_window_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Audit events per day and action, kept up to date while they arrive."""
-    log = inputs.audit_events(spark, sf_dir)
-    arriving = _arrive(spark, _thirds(log), "windows-in")
-    out = work_folder(spark, "windows-out")
-    counted = stream.window_counts(arriving, "ts", "1 day", ["action"], "3 days")
-    stream.write_updates(counted, f"{out}/rows", f"{out}/checkpoint")
-    return plain(stream.latest_update(spark, f"{out}/rows", ["window_start", "action"],
+    def count(arriving: DataFrame, to: str) -> StreamingQuery:
+        counted = stream.window_counts(arriving, "ts", "1 day", ["action"], "3 days")
+        return stream.write_updates(counted, f"{to}/rows", f"{to}/checkpoint")
+
+    folder, _ = _run_per_arrival(spark, _thirds(inputs.audit_events(spark, sf_dir)), "windows",
+                                 count)
+    return plain(stream.latest_update(spark, f"{folder}/rows", ["window_start", "action"],
                                       "n_events"))
 
 
 def stream_scorecard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Broken customer rules counted per arriving file, and added up."""
+    """Broken customer rules counted per run, and added up."""
     feed = inputs.customer_feed(spark, sf_dir)
     sent = [feed.filter(F.col("data_source_system") == s)
             for s in ("CRM_LEGACY", "CRM_NEW", "POS")]
-    arriving = _arrive(spark, sent, "score-in")
-    out = work_folder(spark, "score-out")
-    stream.write_scorecard(arriving, medallion.customer_rules(), f"{out}/counts",
-                           f"{out}/checkpoint")
-    return stream.total_scorecard(spark, f"{out}/counts")
+    folder, _ = _run_per_arrival(
+        spark, sent, "score",
+        lambda arriving, to: stream.write_scorecard(arriving, medallion.customer_rules(),
+                                                    f"{to}/counts", f"{to}/checkpoint"))
+    return stream.total_scorecard(spark, f"{folder}/counts")
 
 
 QUERIES = {
@@ -128,8 +139,9 @@ ORACLES = {
         from events""",
     "stream_dedup": "select * from events",
     "stream_late": f"""
-        select cast(3 as bigint) as batch, count(*) as late_rows from events
-        where ts < timestamp '{FIRST_DAY}'""",
+        select run, case when run = 3 then n else 0 end as late_rows
+        from (select count(*) as n from events where ts < timestamp '{FIRST_DAY}'),
+          (values (0), (1), (2), (3)) t(run)""",
     "stream_window_counts": over("audit_events", """
         select date_trunc('day', ts) as window_start, action, count(*) as n_events
         from audit_events group by all"""),

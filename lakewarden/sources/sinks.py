@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 # JSON times are written to the millisecond unless a format says otherwise.
 MICROS = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
@@ -37,7 +37,7 @@ def published(spark: SparkSession, registry: str) -> DataFrame:
     try:
         return spark.read.schema(schema).json(registry)
     except AnalysisException as error:
-        if "PATH_NOT_FOUND" in str(error):
+        if error.getCondition() == "PATH_NOT_FOUND":
             return spark.createDataFrame([], schema)
         raise
 

@@ -21,10 +21,13 @@ from lakewarden.plans import medallion
 
 
 def read_files(spark: SparkSession, folder: str, schema: StructType | str,
-               files_per_batch: int = 1000) -> DataFrame:
-    """A folder in which Parquet files arrive."""
-    return (spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
-            .parquet(folder))
+               files_per_batch: int | None = None) -> DataFrame:
+    """A folder in which Parquet files arrive; all new files make one micro-batch
+    unless their number is bounded."""
+    reader = spark.readStream.schema(schema)
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    return reader.parquet(folder)
 
 
 def utc(column: str) -> Column:
@@ -114,7 +117,8 @@ def dropped_as_late(query: StreamingQuery) -> list[tuple[int, int]]:
     """Per recent micro-batch, the rows that stateful operators dropped as late.
 
     For ``deduplicated`` these are input rows; in a grouped aggregation Spark counts
-    partially aggregated groups instead.
+    partially aggregated groups instead.  The numbers are Spark's monitoring
+    counters: they cover the last hundred batches, and repeated tasks may add to them.
     """
     return [(p["batchId"], sum(s["numRowsDroppedByWatermark"] for s in p["stateOperators"]))
             for p in query.recentProgress]
