@@ -84,9 +84,10 @@ def contract_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
                                                    inputs.AS_OF)}
     agreed = contract.declare(
         spark, {"silver.customers": (fixed.CUSTOMER_CONTRACT_COLUMNS, False)})
-    changes = contract.diff(contract.schema_rows(spark, silver), agreed)
-    held = contract.filled(silver).groupBy("table").agg(F.max("n_rows").alias("n_rows"),
-                                                        F.sum("non_null").alias("n_values"))
+    changes = contract.diff(contract.schema_rows(spark, silver), agreed).join(
+        contract.filled(silver), ["table", "column"], "left")
+    held = changes.groupBy("table").agg(F.max("n_rows").alias("n_rows"),
+                                        F.sum("non_null").alias("n_values"))
     return plain(contract.verdict(changes, agreed).join(held, "table"))
 
 
