@@ -80,10 +80,19 @@ def ratio_mismatch(stated: Column, total: Column, count: Column, tenths: int) ->
     return (count > 0) & (gap * 10 > total * tenths)
 
 
+def looked_up(value: Column, table: Mapping[str, int], default: int) -> Column:
+    """The number that ``table`` names for ``value``; ``default`` for any other or NULL.
+
+    A chain of comparisons, which compiles to less code than a map literal.
+    """
+    hits = [(value == key, F.lit(number)) for key, number in table.items()]
+    (first, number), *rest = hits
+    return reduce(lambda c, h: c.when(*h), rest, F.when(first, number)).otherwise(F.lit(default))
+
+
 def fx_thousandths(currency: Column, rates: Mapping[str, int] = fixed.FX_THOUSANDTHS) -> Column:
     """Thousandths of a dollar per unit; 1000 for an unknown or missing currency."""
-    table = F.create_map(*[F.lit(x) for pair in rates.items() for x in pair])
-    return F.coalesce(F.try_element_at(table, currency), F.lit(1000))
+    return looked_up(currency, rates, 1000)
 
 
 def bucket(value: Column, bounds: Sequence[tuple[str, int]], floor: str) -> Column:
@@ -100,8 +109,7 @@ def churn_label(score: Column) -> Column:
 
 def level_points(level: Column) -> Column:
     """Points of an ordinal level; an unknown or missing level counts as medium."""
-    table = F.create_map(*[F.lit(x) for pair in fixed.LEVEL_POINTS.items() for x in pair])
-    return F.coalesce(F.try_element_at(table, level), F.lit(fixed.UNRATED_POINTS))
+    return looked_up(level, fixed.LEVEL_POINTS, fixed.UNRATED_POINTS)
 
 
 # Dates ----------------------------------------------------------------------

@@ -86,17 +86,17 @@ def _names(state: str) -> Column:
     return F.sort_array(F.collect_list(F.when(F.col("state") == state, F.col("column"))))
 
 
-def verdict(changes: DataFrame, contract: DataFrame) -> DataFrame:
+def verdict(changes: DataFrame, contract: DataFrame, *totals: Column) -> DataFrame:
     """One row per table: the columns in each state and the verdict.
 
     Unexpected columns that are not allowed decide first, then missing ones; both
-    lists are reported in any case.
+    lists are reported in any case.  ``totals`` are further aggregates of the changes.
     """
     rule = contract.groupBy("table").agg(F.bool_or("allow_new_columns").alias("allow_new_columns"))
     per_table = changes.groupBy("table").agg(
         _names("unexpected").alias("unexpected_columns"),
         _names("missing").alias("missing_columns"),
-        _names("type_changed").alias("type_changed_columns"))
+        _names("type_changed").alias("type_changed_columns"), *totals)
     drift = (F.size("unexpected_columns") > 0) & ~F.coalesce("allow_new_columns", F.lit(False))
     label = (F.when(drift, fixed.VERDICT_DRIFT)
              .when(F.size("missing_columns") > 0, fixed.VERDICT_MISSING)

@@ -216,7 +216,7 @@ def similar_groups(memories: DataFrame, incident: str = "incident_key") -> DataF
         incident, F.col("recovery.verification_completed").alias("verified"),
         C.fingerprint(F.col("incident_signature")).alias("signature_id"))
     groups = rows.groupBy("signature_id").agg(F.count_if("verified").alias("_verified_n"))
-    return salted_lookup(rows, groups, ["signature_id"], "left").select(
+    return salted_lookup(rows, groups, ["signature_id"], [incident], "left").select(
         incident, "signature_id", "verified",
         (F.col("_verified_n") - F.col("verified").cast("bigint")).alias("similar_verified"))
 

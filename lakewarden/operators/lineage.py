@@ -59,7 +59,7 @@ def blast_radius(reached: DataFrame, edges: DataFrame) -> DataFrame:
     """
     fan_out = (edges.groupBy(F.col("src").alias("node"))
                .agg(F.count(F.lit(1)).alias("out_edges")))
-    return (salted_lookup(reached, fan_out, ["node"], "left").groupBy("start").agg(
+    return (salted_lookup(reached, fan_out, ["node"], ["start"], "left").groupBy("start").agg(
         F.count_if(F.col("depth") > 0).alias("impacted"),
         F.max("depth").alias("max_depth"),
         F.coalesce(F.sum("out_edges"), F.lit(0).cast("bigint")).alias("listed")))
@@ -71,4 +71,4 @@ def impact(reached: DataFrame, catalogue: DataFrame) -> DataFrame:
     ``catalogue`` has one row per ``asset``.
     """
     downstream = reached.filter("depth > 0").select("start", F.col("node").alias("asset"), "depth")
-    return salted_lookup(downstream, catalogue, ["asset"], "left")
+    return salted_lookup(downstream, catalogue, ["asset"], ["start"], "left")

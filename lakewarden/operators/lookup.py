@@ -8,18 +8,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def salted_lookup(many: DataFrame, one: DataFrame, on: Sequence[str], how: str = "inner",
-                  salts: int = 16) -> DataFrame:
+def salted_lookup(many: DataFrame, one: DataFrame, on: Sequence[str], spread_by: Sequence[str],
+                  how: str = "inner", salts: int = 16) -> DataFrame:
     """``many`` joined to ``one``, which holds at most one row per key.
 
-    The rows of a key are spread over ``salts`` tasks by a hash of the row, and
-    ``one`` is repeated once per salt, so a key that holds a third of all rows
-    is no longer one task's work.  ``how`` is ``inner`` or ``left``.
+    The rows of a key are spread over ``salts`` tasks by a hash of the columns
+    ``spread_by``, which should tell the rows of a key apart, and ``one`` is
+    repeated once per salt; a key that holds a third of all rows is no longer
+    one task's work.  ``how`` is ``inner`` or ``left``.
     """
     if how not in ("inner", "left"):
         raise ValueError(f"unsupported join type: {how}")
     if salts <= 1:
         return many.join(one, list(on), how)
-    spread = many.withColumn("_salt", F.pmod(F.xxhash64(*many.columns), F.lit(salts)).cast("int"))
+    spread = many.withColumn("_salt", F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int"))
     copies = one.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return spread.join(copies, [*on, "_salt"], how).drop("_salt")

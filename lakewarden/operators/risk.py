@@ -115,23 +115,26 @@ def rejected(scored: DataFrame, incident: str = "incident_key",
     won = decide(scored, incident, strategy).select(
         incident, F.col(f"recommended_{strategy}").alias("_won"),
         *[F.col(c).alias(f"_won_{c}") for c in LOSER_COLUMNS])
-    both = salted_lookup(scored, won, [incident]).filter(
+    all_rows = scored.select(incident, strategy, *LOSER_COLUMNS)
+    both = salted_lookup(all_rows, won, [incident], [strategy]).filter(
         F.col("_won").isNotNull() & (F.col(strategy) != F.col("_won")))
     risk, best = F.col("risk_score"), F.col("_won_risk_score")
+
+    def text(*parts: str | Column) -> Column:
+        return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+
+    loss, won_loss = F.col("data_loss_risk"), F.col("_won_data_loss_risk")
+    scope, won_scope = F.col("scope_size"), F.col("_won_scope_size")
     reasons = F.array_compact(F.array(
-        F.when(risk.isNull(), F.lit("no risk evaluation.")),
-        F.when(risk > best, F.format_string(
-            "risk score %s (%s) is higher than %s's %s.", risk.cast("string"),
-            F.col("risk_classification"), F.col("_won").cast("string"), best.cast("string"))),
-        F.when(risk == best, F.format_string(
-            "risk score %s equals %s's; it comes after it by scope and id.",
-            risk.cast("string"), F.col("_won").cast("string"))),
-        F.when(F.col("data_loss_risk") != F.col("_won_data_loss_risk"), F.format_string(
-            "data-loss risk is '%s' vs '%s' for the recommended strategy.",
-            F.col("data_loss_risk"), F.col("_won_data_loss_risk"))),
-        F.when(F.col("scope_size") > F.col("_won_scope_size"), F.format_string(
-            "larger blast radius (%s assets vs %s).", F.col("scope_size").cast("string"),
-            F.col("_won_scope_size").cast("string")))))
+        F.when(risk.isNull(), text("no risk evaluation.")),
+        F.when(risk > best, text("risk score ", risk, " (", F.col("risk_classification"),
+                                 ") is higher than ", F.col("_won"), "'s ", best, ".")),
+        F.when(risk == best, text("risk score ", risk, " equals ", F.col("_won"),
+                                  "'s; it comes after it by scope and id.")),
+        F.when(loss != won_loss, text("data-loss risk is '", loss, "' vs '", won_loss,
+                                      "' for the recommended strategy.")),
+        F.when(scope > won_scope, text("larger blast radius (", scope, " assets vs ", won_scope,
+                                       ")."))))
     return both.select(incident, strategy, F.col("_won").alias(f"recommended_{strategy}"),
                        reasons.alias("reasons"))
 
@@ -157,8 +160,8 @@ def audit_decisions(decisions: DataFrame, strategies: DataFrame, risks: DataFram
             .join(scores, [incident, "_strategy"], "left"))
     reason = (F.when(F.col("_strategy").isNull(), "Risk evaluation or recovery decision is missing.")
               .when(F.col("_known").isNull() | F.col("_rated").isNull(),
-                    F.format_string("Unknown recommended strategy: %s.",
-                                    F.col("_strategy").cast("string")))
+                    F.concat(F.lit("Unknown recommended strategy: "), F.col("_strategy"),
+                             F.lit(".")))
               .when(~F.col("risk_score").eqNullSafe(F.col("evaluated_score")),
                     "Decision and risk evaluation conflict."))
     return both.select(

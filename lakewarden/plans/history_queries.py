@@ -39,6 +39,18 @@ def _decided(spark: SparkSession, sf_dir: str) -> DataFrame:
     return risk.decide(risk.score(inputs.strategies(spark, sf_dir)))
 
 
+def _stored(df: DataFrame, purpose: str) -> DataFrame:
+    """Written once and read where it is used: an artifact that several steps share."""
+    folder = work_folder(df.sparkSession, purpose)
+    sinks.overwrite_parquet(df, folder)
+    return df.sparkSession.read.parquet(folder)
+
+
+def _recommended(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _stored(_decided(spark, sf_dir).select(
+        INCIDENT, F.col("recommended_strategy_key").alias(STRATEGY)), "recommended")
+
+
 # Identifiers, scrubbing, fingerprints -------------------------------------------
 
 def id_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -153,40 +165,33 @@ def approval_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
                                      _events(spark, sf_dir))
 
 
-def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _authorized(spark: SparkSession, sf_dir: str, recommended: DataFrame) -> DataFrame:
     """One request per incident; some ask for another strategy than was approved."""
-    k = F.col(INCIDENT)
-    return _decided(spark, sf_dir).select(
-        INCIDENT, F.when(k % 10 == 4, F.lit(-1).cast("bigint"))
-        .otherwise(F.col("recommended_strategy_key")).alias(STRATEGY))
-
-
-def _authorized(spark: SparkSession, sf_dir: str) -> DataFrame:
     approved = _state(spark, sf_dir).withColumnRenamed("decided_at", "approved_at").join(
-        _decided(spark, sf_dir).select(INCIDENT, F.col("recommended_strategy_key")
-                                       .alias(STRATEGY)), INCIDENT, "left")
+        recommended, INCIDENT, "left")
     verified = inputs.incidents(spark, sf_dir).select(
         INCIDENT, F.col("post_execution_status").alias("verification_status"))
-    done = _requests(spark, sf_dir).filter(F.col(INCIDENT) % 6 == 0)
-    return approvals.authorize(_requests(spark, sf_dir), approved, verified, done)
+    requests = recommended.withColumn(STRATEGY, F.when(
+        F.col(INCIDENT) % 10 == 4, F.lit(-1).cast("bigint")).otherwise(F.col(STRATEGY)))
+    done = requests.filter(F.col(INCIDENT) % 6 == 0)
+    return approvals.authorize(requests, approved, verified, done)
 
 
 def authorization_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return plain(_authorized(spark, sf_dir))
+    return plain(_authorized(spark, sf_dir, _recommended(spark, sf_dir)))
 
 
 def publish_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests for the recommended strategies against the authorization records."""
-    asked = _decided(spark, sf_dir).select(INCIDENT, F.col("recommended_strategy_key")
-                                           .alias(STRATEGY))
-    records = _authorized(spark, sf_dir).filter(F.col(INCIDENT) % 8 != 1)
+    asked = _recommended(spark, sf_dir)
+    records = _authorized(spark, sf_dir, asked).filter(F.col(INCIDENT) % 8 != 1)
     done = asked.filter(F.col(INCIDENT) % 6 == 0)
     return approvals.publish_gate(asked, records, done, True, True)
 
 
 def authorization_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A second run over records of which some are new and some have changed."""
-    records = _authorized(spark, sf_dir)
+    records = _stored(_authorized(spark, sf_dir, _recommended(spark, sf_dir)), "authorizations")
     k = F.col(INCIDENT)
     earlier = F.lit("2024-01-15 00:00:00").cast("timestamp")
     previous = (records.filter(k % 4 != 0).withColumns({
@@ -248,7 +253,7 @@ def resolution_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Incidents with their authorization, execution and verification artifacts."""
     k = F.col(INCIDENT)
     base = inputs.incidents(spark, sf_dir)
-    records = _authorized(spark, sf_dir).select(
+    records = _authorized(spark, sf_dir, _recommended(spark, sf_dir)).select(
         INCIDENT, STRATEGY, "authorization_status")
     ran = incidents.lifecycle(_all_stages(spark, sf_dir)).select(
         INCIDENT, F.col("executed_sandbox").alias("executed_at"))

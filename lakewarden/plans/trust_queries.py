@@ -73,11 +73,6 @@ def contract_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _diff(spark, sf_dir).select("table", "column", "state", "non_null")
 
 
-def _unexpected_values(changes: DataFrame) -> DataFrame:
-    at_stake = F.sum(F.when(F.col("state") == "unexpected", F.col("non_null")).otherwise(0))
-    return changes.groupBy("table").agg(at_stake.alias("unexpected_values"))
-
-
 def contract_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Silver against the published customer contract, with the values it holds."""
     silver = {"silver.customers": medallion.silver(inputs.customer_feed(spark, sf_dir),
@@ -86,9 +81,8 @@ def contract_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
         spark, {"silver.customers": (fixed.CUSTOMER_CONTRACT_COLUMNS, False)})
     changes = contract.diff(contract.schema_rows(spark, silver), agreed).join(
         contract.filled(silver), ["table", "column"], "left")
-    held = changes.groupBy("table").agg(F.max("n_rows").alias("n_rows"),
-                                        F.sum("non_null").alias("n_values"))
-    return plain(contract.verdict(changes, agreed).join(held, "table"))
+    return plain(contract.verdict(changes, agreed, F.max("n_rows").alias("n_rows"),
+                                  F.sum("non_null").alias("n_values")))
 
 
 def contract_type_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,9 +97,9 @@ def contract_infer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def contract_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All tables against all contracts."""
-    changes = _diff(spark, sf_dir)
-    return plain(contract.verdict(changes, _agreed(spark)).join(_unexpected_values(changes),
-                                                                "table"))
+    at_stake = F.sum(F.when(F.col("state") == "unexpected", F.col("non_null")).otherwise(0))
+    return plain(contract.verdict(_diff(spark, sf_dir), _agreed(spark),
+                                  at_stake.alias("unexpected_values")))
 
 
 def contract_document(spark: SparkSession, sf_dir: str) -> DataFrame:

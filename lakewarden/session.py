@@ -14,7 +14,9 @@ def build_session(app_name: str = "lakewarden", master: str | None = None,
 
     Adaptive execution picks partition counts, splits skewed join partitions and
     turns joins into broadcasts only when the measured side is small.  Streaming
-    state lives in RocksDB so that it may outgrow executor heap.
+    state lives in RocksDB so that it may outgrow executor heap.  Methods above
+    8,000 bytes of code are never compiled to machine code by the JVM, so larger
+    generated stages fall back to operators that are.
     """
     builder = SparkSession.builder.appName(app_name)
     if master:
@@ -23,6 +25,8 @@ def build_session(app_name: str = "lakewarden", master: str | None = None,
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.codegen.hugeMethodLimit": "8000",
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
         "spark.sql.streaming.stateStore.providerClass":
             "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
         **(extra or {}),

@@ -78,10 +78,10 @@ def test_salted_lookup_equals_a_join(spark, rows, how):
     many = spark.range(300).select(F.when(F.col("id") % 3 == 0, 1).otherwise(F.col("id") % 5)
                                    .alias("k"), "id")
     one = spark.createDataFrame([(1, "a"), (2, "b"), (9, "c")], "k bigint, v string")
-    assert rows(lookup.salted_lookup(many, one, ["k"], how), "k", "id", "v") \
+    assert rows(lookup.salted_lookup(many, one, ["k"], ["id"], how), "k", "id", "v") \
         == rows(many.join(one, "k", how), "k", "id", "v")
     with pytest.raises(ValueError):
-        lookup.salted_lookup(many, one, ["k"], "full")
+        lookup.salted_lookup(many, one, ["k"], ["id"], "full")
 
 
 def test_rules_run_in_order(spark, rows):
