@@ -2,11 +2,13 @@
 
 A plain window sends all rows of a key to one task.  Here the rows of a key are
 cut into chunks along the order; every chunk is summarised by a partial
-aggregation, the few summaries are scanned per key, and the rows of one chunk
-are then scanned with the value carried in from the chunks before.  ``chunk``
-must never fall as the order rises (a day for events ordered by time, a range
-of ids for rows ordered by id), and be fine enough that one chunk of one key
-fits a task.
+aggregation, and the few summaries are scanned per key.  What the chunks before
+add up to is put in front of each chunk as a row of its own, so one window over
+the chunk, behind one shuffle and one sort of the rows, gives the result.
+
+``chunk`` must never fall as the order rises (a day for events ordered by time, a
+range of ids for rows ordered by id), and be fine enough that one chunk of one
+key fits a task.
 """
 
 from __future__ import annotations
@@ -17,18 +19,26 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _chunked(df: DataFrame, keys: Sequence[str], chunk: Column) -> DataFrame:
-    """Key and chunk in one struct, so that NULL keys join like any other and the
-    join and the window after it share one shuffle."""
-    return df.withColumn("_part", F.struct(*[F.col(k) for k in keys], chunk.alias("_chunk")))
+def _chunked(df: DataFrame, keys: Sequence[str], chunk: Column, value: Column) -> DataFrame:
+    """The rows with their key and chunk in one struct, in which NULL keys are equal."""
+    return df.withColumns({
+        "_part": F.struct(*[F.col(k) for k in keys], chunk.alias("_chunk")), "_value": value})
+
+
+def _with_carry(rows: DataFrame, keys: Sequence[str], summary: Column,
+                carried: Column) -> DataFrame:
+    """The rows and, in front of each chunk, a row with the value of the chunks before it."""
+    over_chunks = (Window.partitionBy(*[F.col(f"_part.{k}") for k in keys])
+                   .orderBy("_part._chunk").rowsBetween(Window.unboundedPreceding, -1))
+    before = (rows.groupBy("_part").agg(summary.alias("_sum"))
+              .select("_part", carried.over(over_chunks).alias("_value"))
+              .filter(F.col("_value").isNotNull()))
+    return (rows.withColumn("_real", F.lit(True))
+            .unionByName(before.withColumn("_real", F.lit(False)), allowMissingColumns=True))
 
 
-def _before_chunk(summary: DataFrame, keys: Sequence[str], carried: Column,
-                  name: str) -> DataFrame:
-    """Scan the chunk summaries of each key, leaving out the chunk itself."""
-    over = (Window.partitionBy(*[F.col(f"_part.{k}") for k in keys]).orderBy("_part._chunk")
-            .rowsBetween(Window.unboundedPreceding, -1))
-    return summary.select("_part", carried.over(over).alias(name))
+def _scanned(rows: DataFrame, name: str, value: Column) -> DataFrame:
+    return (rows.withColumn(name, value).filter("_real").drop("_part", "_value", "_real"))
 
 
 def running_max(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column,
@@ -37,24 +47,18 @@ def running_max(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk:
 
     ``order`` must be a total order within a key.
     """
-    rows = _chunked(df, keys, chunk).withColumn("_value", value)
-    summary = rows.groupBy("_part").agg(F.max("_value").alias("_peak"))
-    carried = _before_chunk(summary, keys, F.max("_peak"), "_carried")
-    in_chunk = (Window.partitionBy("_part").orderBy(*order)
-                .rowsBetween(Window.unboundedPreceding, -1))
-    return (rows.join(carried, "_part")
-            .withColumn(name, F.greatest("_carried", F.max("_value").over(in_chunk)))
-            .drop("_part", "_value", "_carried"))
+    rows = _chunked(df, keys, chunk, value)
+    both = _with_carry(rows, keys, F.max("_value"), F.max("_sum"))
+    so_far = (Window.partitionBy("_part").orderBy("_real", *order)
+              .rowsBetween(Window.unboundedPreceding, -1))
+    return _scanned(both, name, F.max("_value").over(so_far))
 
 
 def row_numbers(df: DataFrame, keys: Sequence[str], order: Sequence[Column], chunk: Column,
                 name: str) -> DataFrame:
     """Add ``name``: 1, 2, 3 ... within each key along ``order``."""
-    rows = _chunked(df, keys, chunk)
-    summary = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    carried = _before_chunk(summary, keys, F.sum("_n"), "_before")
-    in_chunk = Window.partitionBy("_part").orderBy(*order)
-    return (rows.join(carried, "_part")
-            .withColumn(name, F.row_number().over(in_chunk)
-                        + F.coalesce("_before", F.lit(0).cast("bigint")))
-            .drop("_part", "_before"))
+    rows = _chunked(df, keys, chunk, F.lit(1).cast("bigint"))
+    both = _with_carry(rows, keys, F.sum("_value"), F.sum("_sum"))
+    up_to = (Window.partitionBy("_part").orderBy("_real", *order)
+             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return _scanned(both, name, F.sum("_value").over(up_to))
