@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lakewarden import fixed
 from lakewarden.functions import collections as C
+from lakewarden.functions import columns as X
 from lakewarden.operators import contract
 from lakewarden.operators.lookup import salted_lookup
 
@@ -57,7 +58,7 @@ def investigate(classified: DataFrame) -> DataFrame:
 
     Needs ``classification``, ``cause``, ``confidence`` and the four column lists.
     Missing, malformed or conflicting evidence blocks it; an unknown cause
-    completes it without a conclusion.
+    completes it without a conclusion.  The summary says what was found.
     """
     audited = contract.audit_evidence(classified)
     none = F.col("expected_columns").isNull() & F.col("actual_columns").isNull()
@@ -67,7 +68,18 @@ def investigate(classified: DataFrame) -> DataFrame:
               .when(F.col("evidence_state") == "conflicting", "Schema evidence is conflicting."))
     unknown = (F.col("classification") == fixed.UNKNOWN_CAUSE[0]) | F.col("cause").isNull()
     certainty = F.when(F.col("confidence") >= fixed.RCA_HIGH_CONFIDENCE, "HIGH").otherwise("MEDIUM")
+
+    def listed(label: str, column: str) -> Column:
+        return F.when(F.size(column) > 0, F.concat(
+            F.lit(f" {label} column(s): "), F.array_join(column, ", "), F.lit("."))).otherwise("")
+
+    finding = F.concat(F.col("classification"), F.lit(": "), F.col("cause"),
+                       listed("Unexpected", "reported_unexpected"),
+                       listed("Missing required", "reported_missing"))
     return audited.withColumns({
+        "investigation_summary": F.coalesce(reason, F.when(
+            unknown, "The current evidence is insufficient to determine a root cause.")
+            .otherwise(finding)),
         "investigation_status": F.when(reason.isNotNull(), "BLOCKED").otherwise("COMPLETED"),
         "investigation_confidence": F.when(reason.isNotNull() | unknown, "INSUFFICIENT_EVIDENCE")
         .otherwise(certainty),
@@ -103,8 +115,13 @@ def workflow_status(investigated: DataFrame, decisions: DataFrame, previews: Dat
                   "left"))
     ready = ((F.col("investigation_status") == "COMPLETED")
              & (F.col("strategy_status") == "COMPLETED") & (F.col("preview_status") == "PASSED"))
-    return rows.withColumn("workflow_status", F.when(
-        F.coalesce(ready, F.lit(False)), "WAITING_FOR_HUMAN_APPROVAL").otherwise("BLOCKED"))
+    ready = F.coalesce(ready, F.lit(False))
+    return rows.withColumns({
+        "workflow_status": F.when(ready, "WAITING_FOR_HUMAN_APPROVAL").otherwise("BLOCKED"),
+        "next_required_action": F.when(ready, F.concat(
+            F.lit("Human approval for "), F.col(strategy), F.lit(" is required.")))
+        .otherwise("Resolve blocked analysis or simulation prerequisites."),
+    })
 
 
 # Lifecycle --------------------------------------------------------------------
@@ -224,7 +241,7 @@ def similar_groups(memories: DataFrame, incident: str = "incident_key") -> DataF
 def similar_to(memories: DataFrame, incident_id: str) -> DataFrame:
     """Verified incidents with the same signature as the given one, except itself."""
     mine = (memories.filter(F.col("incident_id") == incident_id)
-            .select(C.fingerprint(F.col("incident_signature")).alias("_signature")).limit(1))
+            .agg(F.max(C.fingerprint(F.col("incident_signature"))).alias("_signature")))
     others = memories.filter((F.col("incident_id") != incident_id)
                              & F.col("recovery.verification_completed"))
     keyed = others.withColumn("_signature", C.fingerprint(F.col("incident_signature")))
@@ -235,6 +252,20 @@ def similar_to(memories: DataFrame, incident_id: str) -> DataFrame:
 
 # Prevention -------------------------------------------------------------------
 
+def prevention_status(classified: DataFrame, keep: Sequence[str],
+                      catalogue: Sequence[tuple[str, ...]] = fixed.PREVENTION_CONTROLS
+                      ) -> DataFrame:
+    """Whether prevention can be reviewed: only after a verified recovery, with controls."""
+    kinds = [kind for kind, *_ in catalogue]
+    n = X.looked_up(F.col("classification"), {k: kinds.count(k) for k in dict.fromkeys(kinds)}, 0)
+    verified = F.coalesce(F.col("post_execution_status") == "PASSED", F.lit(False))
+    reason = (F.when(~verified, "Successful recovery verification is required.")
+              .when(n == 0, "Deterministic prevention controls are missing."))
+    return classified.select(
+        *keep, F.when(reason.isNull(), "COMPLETED").otherwise("BLOCKED").alias("prevention_status"),
+        F.when(reason.isNull(), n).otherwise(0).alias("n_controls"), reason.alias("reason"))
+
+
 def controls(classified: DataFrame, keep: Sequence[str],
              catalogue: Sequence[tuple[str, str, str, str, str]] = fixed.PREVENTION_CONTROLS
              ) -> DataFrame:

@@ -139,6 +139,22 @@ def rejected(scored: DataFrame, incident: str = "incident_key",
                        reasons.alias("reasons"))
 
 
+def factors(scored: DataFrame, incident: str = "incident_key",
+            strategy: str = "strategy_key") -> DataFrame:
+    """What spoke for the recommended strategy of each incident, as texts."""
+    evaluated = scored.groupBy(incident).agg(F.count("risk_score").alias("evaluated"))
+    best = F.col(f"recommended_{strategy}").cast("string")
+    reasons = F.array(
+        F.concat(best, F.lit(" has the lowest weighted risk score ("), F.col("risk_score"),
+                 F.lit(", "), F.col("risk_classification"), F.lit(") among "), F.col("evaluated"),
+                 F.lit(" evaluated strategies.")),
+        F.concat(best, F.lit(" scope: "), F.col("scope_size"), F.lit(" assets.")),
+        F.concat(F.lit("Data-loss risk for "), best, F.lit(" is '"), F.col("data_loss_risk"),
+                 F.lit("'.")))
+    return (decide(scored, incident, strategy).filter(best.isNotNull())
+            .join(evaluated, incident).select(incident, "evaluated", reasons.alias("factors")))
+
+
 def tradeoffs(decided: DataFrame, upstream: Sequence[str] = fixed.UPSTREAM_ASSETS) -> DataFrame:
     """Upstream assets that the recommended strategy does not rebuild; needs ``scope``."""
     wanted = F.array(*[F.lit(a) for a in upstream])

@@ -142,7 +142,7 @@ def medallion_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
         "raw_record_count bigint, deduplicated_record_count bigint, duplicates_removed bigint, "
         "null_key_removed bigint, invalid_email_count bigint, revenue_anomaly_count bigint, "
         "churn_anomaly_count bigint, aov_mismatch_count bigint, clean_record_count bigint, "
-        "clean_record_pct double").json(paths["scorecard"])
+        "clean_record_pct double").json(paths["data_quality_scorecard"])
     return score
 
 

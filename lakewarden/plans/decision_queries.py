@@ -92,6 +92,11 @@ def decision_rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("reasons", F.array_join("reasons", " "))
 
 
+def decision_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = risk.factors(_scored(spark, sf_dir))
+    return out.withColumn("factors", F.array_join("factors", " "))
+
+
 def strategy_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The known strategies for every incident, scored."""
     rows = risk.candidates(inputs.incidents(spark, sf_dir).select(INCIDENT))
@@ -159,6 +164,7 @@ QUERIES = {
     "decision_rank": decision_rank,
     "decision_confidence": decision_confidence,
     "decision_rejected": decision_rejected,
+    "decision_factors": decision_factors,
     "strategy_candidates": strategy_candidates,
     "decision_tradeoffs": decision_tradeoffs,
     "decision_audit": decision_audit,
@@ -221,7 +227,8 @@ decision_audit as (
 
 INVESTIGATED = """
 , audited as (
-  select incident_key, error_type, expected_columns, actual_columns,
+  select incident_key, error_type, expected_columns, actual_columns, unexpected_columns,
+    missing_columns,
     case when actual_columns is null or expected_columns is null
       then 'Schema evidence is incomplete or malformed.'
     when list_sort([x for x in str_split(actual_columns, ',')
@@ -241,7 +248,15 @@ investigated as (
     case when reason is null then 'COMPLETED' else 'BLOCKED' end as investigation_status,
     case when reason is not null or error_type <> 'SCHEMA_DRIFT' then 'INSUFFICIENT_EVIDENCE'
       else 'HIGH' end as investigation_confidence,
-    reason as investigation_reason
+    reason as investigation_reason,
+    case when reason is not null then reason when error_type <> 'SCHEMA_DRIFT'
+        then 'The current evidence is insufficient to determine a root cause.'
+      else concat('SCHEMA_CONTRACT_VIOLATION: Upstream source schema changed without an approved ',
+        'schema contract update.',
+        case when unexpected_columns <> '' then concat(' Unexpected column(s): ',
+          replace(unexpected_columns, ',', ', '), '.') else '' end,
+        case when missing_columns <> '' then concat(' Missing required column(s): ',
+          replace(missing_columns, ',', ', '), '.') else '' end) end as investigation_summary
   from audited)
 """
 
@@ -283,6 +298,14 @@ ORACLES = {
               r.scope_size, ' assets vs ', w.scope_size, ').') end) as reasons
         from ranked r join ranked w on w.incident_key = r.incident_key and w.strategy_rank = 1
         where r.strategy_rank > 1"""),
+    "decision_factors": over("decided", """
+        select d.incident_key, n as evaluated, concat(recommended_strategy_key,
+          ' has the lowest weighted risk score (', risk_score, ', ', risk_classification, ') among ',
+          n, ' evaluated strategies. ', recommended_strategy_key, ' scope: ', scope_size,
+          ' assets. Data-loss risk for ', recommended_strategy_key, ' is ''', data_loss_risk,
+          '''.') as factors
+        from decided d join (select incident_key, count(*) as n from strategies
+          group by incident_key) s on s.incident_key = d.incident_key"""),
     "strategy_candidates": over("incidents", _TEMPLATES + """
         select incident_key, strategy_id, name, scope, cast(risk_score as bigint) as risk_score,
           risk_classification,
@@ -313,7 +336,12 @@ ORACLES = {
             then 'PASSED' end as preview_status,
           case when i.investigation_status = 'COMPLETED' and d.status = 'COMPLETED'
             and s.data_loss_risk <> 'HIGH' then 'WAITING_FOR_HUMAN_APPROVAL' else 'BLOCKED' end
-            as workflow_status
+            as workflow_status,
+          case when i.investigation_status = 'COMPLETED' and d.status = 'COMPLETED'
+            and s.data_loss_risk <> 'HIGH'
+            then concat('Human approval for ', d.recommended_strategy_key, ' is required.')
+            else 'Resolve blocked analysis or simulation prerequisites.' end
+            as next_required_action
         from investigated i left join decision_audit d on d.incident_key = i.incident_key
         left join strategies s on s.incident_key = i.incident_key
           and s.strategy_key = d.recommended_strategy_key"""),

@@ -145,7 +145,7 @@ def rca(spark: SparkSession, sf_dir: str) -> DataFrame:
 def investigation_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return investigated(spark, sf_dir).select(
         INCIDENT, "classification", "investigation_status", "investigation_confidence",
-        "investigation_reason")
+        "investigation_reason", "investigation_summary")
 
 
 # Approvals ----------------------------------------------------------------------
@@ -302,6 +302,10 @@ def prevention_controls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return incidents.controls(_classified(spark, sf_dir), [INCIDENT])
 
 
+def prevention_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return incidents.prevention_status(_classified(spark, sf_dir), [INCIDENT])
+
+
 QUERIES = {
     "id_quarantine": id_quarantine,
     "action_quarantine": action_quarantine,
@@ -326,6 +330,7 @@ QUERIES = {
     "memory_facts": memory_facts,
     "similar_incidents": similar_incidents,
     "prevention_controls": prevention_controls,
+    "prevention_status": prevention_status,
 }
 
 
@@ -593,4 +598,14 @@ ORACLES = {
           ('PREV-004', 'Deployment Gate', 'GOVERNANCE', 'CI/CD pipeline'))
           t(control_id, control_name, control_type, "trigger")
         where error_type = 'SCHEMA_DRIFT' and post_execution_status = 'PASSED'"""),
+    "prevention_status": over("incidents", """
+        select incident_key, case when post_execution_status = 'PASSED'
+            and error_type = 'SCHEMA_DRIFT' then 'COMPLETED' else 'BLOCKED' end as prevention_status,
+          case when post_execution_status = 'PASSED' and error_type = 'SCHEMA_DRIFT' then 4 else 0
+            end as n_controls,
+          case when post_execution_status <> 'PASSED'
+            then 'Successful recovery verification is required.'
+            when error_type <> 'SCHEMA_DRIFT'
+            then 'Deterministic prevention controls are missing.' end as reason
+        from incidents"""),
 }

@@ -297,4 +297,6 @@ def run(spark: SparkSession, raw: DataFrame, root: str, batch_id: str, ingested_
     for name, table in gold(rows).items():
         paths[name] = f"{root}/gold/{name}"
         sinks.overwrite_parquet(table, paths[name])
+    paths["data_quality_scorecard"] = f"{root}/gold/data_quality_scorecard"
+    sinks.copy_record(spark, paths["scorecard"], paths["data_quality_scorecard"])
     return paths

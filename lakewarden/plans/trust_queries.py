@@ -481,7 +481,7 @@ ORACLES = {
           from orders_after group by o_orderkey),
         j as (
           select coalesce(b.o_orderkey, a.o_orderkey) as o_orderkey,
-            case when b.o_orderkey is null then 0 else 1 end as n_before,
+            cast(case when b.o_orderkey is null then 0 else 1 end as bigint) as n_before,
             coalesce(n_after, 0) as n_after, b.o_orderstatus as s0, b.price_cents as p0,
             b.o_custkey as k0, b.o_orderdate as d0, s, p, k, d
           from orders_before b full join a on a.o_orderkey = b.o_orderkey),

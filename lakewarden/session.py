@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import SparkSession
 
@@ -36,25 +37,22 @@ def build_session(app_name: str = "lakewarden", master: str | None = None,
     return builder.getOrCreate()
 
 
+@cache
+def _local_root() -> str:
+    return tempfile.mkdtemp(prefix="lakewarden-")
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``, which all executors can reach.
 
     Only a local session may go without the setting; it gets a temporary folder.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
-    context = spark.sparkContext
-    current = context.getCheckpointDir()
     if root:
-        if not current:
-            context.setCheckpointDir(root)
         return root.rstrip("/")
-    if current:
-        return current.rstrip("/")
-    if not context.master.startswith("local"):
+    if not spark.conf.get("spark.master", "").startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-    root = tempfile.mkdtemp(prefix="lakewarden-")
-    context.setCheckpointDir(root)
-    return root
+    return _local_root()
 
 
 def work_folder(spark: SparkSession, purpose: str) -> str:

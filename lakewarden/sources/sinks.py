@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Mapping
 
 from pyspark.errors import AnalysisException
@@ -31,6 +32,19 @@ def write_record(one_row: DataFrame, folder: str) -> None:
     one_row.coalesce(1).write.mode("overwrite").json(folder)
 
 
+def copy_record(spark: SparkSession, source: str, target: str) -> bool:
+    """Copy a single JSON record; warns and returns False when there is none."""
+    try:
+        record = spark.read.text(source)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        warnings.warn(f"no record at {source}", stacklevel=2)
+        return False
+    record.coalesce(1).write.mode("overwrite").text(target)
+    return True
+
+
 def published(spark: SparkSession, registry: str) -> DataFrame:
     """What has been published so far: incident_id, strategy_id, target."""
     schema = "incident_id string, strategy_id string, target string"

@@ -136,3 +136,10 @@ def test_decision_audit(spark, rows):
     assert got == [(1, "COMPLETED", None), (2, "BLOCKED", "Decision and risk evaluation conflict."),
                    (3, "BLOCKED", "Unknown recommended strategy: 7."),
                    (4, "BLOCKED", "Risk evaluation or recovery decision is missing.")]
+
+
+def test_decision_factors(spark):
+    got = risk.factors(scored(spark, (1, 5, 8, 2), (1, 6, 9, 1), (1, 7, None, 1), (2, 5, None, 1)))
+    assert [tuple(r) for r in got.collect()] == [(1, 2, [
+        "5 has the lowest weighted risk score (8, X) among 2 evaluated strategies.",
+        "5 scope: 2 assets.", "Data-loss risk for 5 is 'LOW'."])]

@@ -271,3 +271,57 @@ def test_publish_once(spark, tmp_path):
     other = spark.createDataFrame([], schema)
     assert sinks.publish(spark, "I", "T", other, {"gold": source}, str(tmp_path), registry) \
         == "No authorization record found."
+
+
+def test_prevention_status(spark):
+    df = spark.createDataFrame([(1, "SCHEMA_CONTRACT_VIOLATION", "PASSED"),
+                                (2, "SCHEMA_CONTRACT_VIOLATION", None), (3, "UNKNOWN", "PASSED")],
+                               "incident_key int, classification string, post_execution_status string")
+    got = incidents.prevention_status(df, ["incident_key"]).collect()
+    assert [(r.prevention_status, r.n_controls) for r in got] \
+        == [("COMPLETED", 4), ("BLOCKED", 0), ("BLOCKED", 0)]
+    assert got[2].reason == "Deterministic prevention controls are missing."
+
+
+def test_investigation_summary(spark):
+    df = spark.createDataFrame([("SCHEMA_DRIFT", ["a", "c"], ["a", "b"], ["b"], ["c"])],
+                               f"error_type string, {LISTS}")
+    got = incidents.investigate(incidents.root_cause(df)).collect()[0].investigation_summary
+    assert got == (f"SCHEMA_CONTRACT_VIOLATION: {fixed.ROOT_CAUSES[0][2]} Unexpected column(s): b. "
+                   "Missing required column(s): c.")
+
+
+def test_workflow_status(spark, rows):
+    seen = spark.createDataFrame([(1, "COMPLETED"), (2, "COMPLETED"), (3, "BLOCKED"), (4, "COMPLETED"),
+                                  (5, "COMPLETED")], "incident_key int, investigation_status string")
+    chosen = spark.createDataFrame(
+        [(1, 7, "COMPLETED"), (2, 7, "COMPLETED"), (3, 7, "COMPLETED"), (4, 7, "BLOCKED")],
+        "incident_key int, recommended_strategy_key int, status string")
+    tried = spark.createDataFrame([(1, 7, "PASSED"), (2, 7, "WARNING"), (3, 7, "PASSED"),
+                                   (4, 7, "PASSED")],
+                                  "incident_key int, strategy_key int, preview_status string")
+    got = rows(incidents.workflow_status(seen, chosen, tried), "incident_key", "workflow_status",
+               "next_required_action")
+    blocked = ("BLOCKED", "Resolve blocked analysis or simulation prerequisites.")
+    assert got == [(1, "WAITING_FOR_HUMAN_APPROVAL", "Human approval for 7 is required.")] + [
+        (i, *blocked) for i in (2, 3, 4, 5)]
+
+
+def test_resolution(spark):
+    def side(columns, *values):
+        return spark.createDataFrame(list(values), f"incident_key int, {columns}")
+    base = side("incident_id string", (1, "a"), (2, "b"), (3, "c"))
+    when = dt.datetime(2024, 1, 1)
+    got = incidents.resolution(
+        base, side("strategy_key int", (1, 7)), side("executed_at timestamp", (1, when), (2, when)),
+        side("post_execution_status string", (1, "PASSED"), (2, "PASSED")),
+        side("data_verification_status string", (1, "PASSED"), (2, "FAILED"))).collect()
+    assert {r.incident_key: r.resolution_status for r in got} == {1: "RESOLVED", 2: "OPEN", 3: "OPEN"}
+
+
+def test_copy_of_a_missing_record_warns(spark, tmp_path):
+    with pytest.warns(UserWarning, match="no record"):
+        assert sinks.copy_record(spark, str(tmp_path / "none"), str(tmp_path / "out")) is False
+    sinks.write_record(spark.range(1), str(tmp_path / "one"))
+    assert sinks.copy_record(spark, str(tmp_path / "one"), str(tmp_path / "out")) is True
+    assert spark.read.json(str(tmp_path / "out")).collect()[0].id == 0
