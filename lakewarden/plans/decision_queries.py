@@ -42,11 +42,11 @@ def lineage_multi(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What is known of the parts, as a catalogue; every third part is not in it."""
+    """What is known of the parts, as a catalogue; the largest parts are not in it."""
     part = inputs.table(spark, sf_dir, "part")
     level = (F.when(F.col("p_size") > 33, "HIGH").when(F.col("p_size") > 16, "MEDIUM")
              .otherwise("LOW"))
-    return part.filter(F.col("p_partkey") % 3 != 0).select(
+    return part.filter("p_size <= 40").select(
         F.col("p_partkey").alias("asset"), F.col("p_type").alias("asset_type"),
         level.alias("criticality"))
 
@@ -135,9 +135,9 @@ def decision_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def strategies_unrated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Strategies joined to risk rows that are missing for some of them, and the choice."""
+    """Strategies joined to risk rows, which unrated ones do not have, and the choice."""
     scored = _scored(spark, sf_dir)
-    rated = scored.filter(F.col(STRATEGY) % 5 != 0).select(
+    rated = scored.filter("risk_level <> 'UNRATED'").select(
         INCIDENT, STRATEGY, "risk_score", "risk_classification")
     joined = risk.with_risk(inputs.strategies(spark, sf_dir), rated, [INCIDENT, STRATEGY])
     return risk.decide(joined).select(INCIDENT, "recommended_strategy_key", "risk_score", "margin")
@@ -268,7 +268,7 @@ ORACLES = {
         select start, node as asset, depth, p_type as asset_type,
           case when p_partkey is null then null when p_size > 33 then 'HIGH'
             when p_size > 16 then 'MEDIUM' else 'LOW' end as criticality
-        from reached left join part on p_partkey = node and p_partkey % 3 <> 0
+        from reached left join part on p_partkey = node and p_size <= 40
         where depth > 0""", recursive=True),
     "risk_score": over("scored", """
         select incident_key, strategy_key, execution_points, runtime_points, data_loss_points,
@@ -320,7 +320,7 @@ ORACLES = {
     "strategies_unrated": over("scored", """
         , r as (
           select s.incident_key, s.strategy_key, s.scope_size,
-            case when s.strategy_key % 5 <> 0 then s.risk_score end as risk
+            case when s.risk_level <> 'UNRATED' then s.risk_score end as risk
           from scored s),
         o as (select *, row_number() over (partition by incident_key
           order by risk nulls last, scope_size, strategy_key) as place from r)

@@ -165,7 +165,13 @@ def approval_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
                                      _events(spark, sf_dir))
 
 
-def _authorized(spark: SparkSession, sf_dir: str, recommended: DataFrame) -> DataFrame:
+def _without_cause(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Incidents that carry no root cause; their recovery counts as executed already."""
+    return inputs.incidents(spark, sf_dir).filter(F.col("root_cause").isNull()).select(INCIDENT)
+
+
+def _authorized(spark: SparkSession, sf_dir: str, recommended: DataFrame,
+                executed: bool = True) -> DataFrame:
     """One request per incident; some ask for another strategy than was approved."""
     approved = _state(spark, sf_dir).withColumnRenamed("decided_at", "approved_at").join(
         recommended, INCIDENT, "left")
@@ -173,7 +179,7 @@ def _authorized(spark: SparkSession, sf_dir: str, recommended: DataFrame) -> Dat
         INCIDENT, F.col("post_execution_status").alias("verification_status"))
     requests = recommended.withColumn(STRATEGY, F.when(
         F.col(INCIDENT) % 10 == 4, F.lit(-1).cast("bigint")).otherwise(F.col(STRATEGY)))
-    done = requests.filter(F.col(INCIDENT) % 6 == 0)
+    done = requests.join(_without_cause(spark, sf_dir), INCIDENT) if executed else None
     return approvals.authorize(requests, approved, verified, done)
 
 
@@ -184,22 +190,24 @@ def authorization_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def publish_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests for the recommended strategies against the authorization records."""
     asked = _recommended(spark, sf_dir)
-    records = _authorized(spark, sf_dir, asked).filter(F.col(INCIDENT) % 8 != 1)
-    done = asked.filter(F.col(INCIDENT) % 6 == 0)
+    records = _authorized(spark, sf_dir, asked).filter("check_incident_match")
+    done = asked.join(_without_cause(spark, sf_dir), INCIDENT)
     return approvals.publish_gate(asked, records, done, True, True)
 
 
 def authorization_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A second run over records of which some are new and some have changed."""
-    records = _stored(_authorized(spark, sf_dir, _recommended(spark, sf_dir)), "authorizations")
-    k = F.col(INCIDENT)
-    earlier = F.lit("2024-01-15 00:00:00").cast("timestamp")
-    previous = (records.filter(k % 4 != 0).withColumns({
-        "authorized_at": earlier,
-        "execution_status": F.when(k % 5 == 0, "NOT_EXECUTED")
-        .otherwise(F.col("execution_status"))}))
-    current = records.filter(k % 7 != 0)
-    out = approvals.upsert_authorizations(previous, current, NOW)
+    """Records of the two upper severities, run again after some were executed: by then
+    the lower two severities are asked for."""
+    recommended = _recommended(spark, sf_dir)
+    severity = inputs.incidents(spark, sf_dir).select(INCIDENT, "severity")
+
+    def records(executed: bool, left_out: str) -> DataFrame:
+        wanted = severity.filter(F.col("severity") != left_out).select(INCIDENT)
+        return _authorized(spark, sf_dir, recommended, executed).join(wanted, INCIDENT)
+
+    previous = records(False, "P3").withColumn(
+        "authorized_at", F.lit("2024-01-15 00:00:00").cast("timestamp"))
+    out = approvals.upsert_authorizations(previous, records(True, "P1"), NOW)
     return plain(out.select(INCIDENT, STRATEGY, "authorization_status", "execution_status",
                             "authorized_at"))
 
@@ -251,15 +259,14 @@ def audit_trail(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def resolution_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Incidents with their authorization, execution and verification artifacts."""
-    k = F.col(INCIDENT)
     base = inputs.incidents(spark, sf_dir)
     records = _authorized(spark, sf_dir, _recommended(spark, sf_dir)).select(
         INCIDENT, STRATEGY, "authorization_status")
     ran = incidents.lifecycle(_all_stages(spark, sf_dir)).select(
         INCIDENT, F.col("executed_sandbox").alias("executed_at"))
     post = base.select(INCIDENT, F.col("post_execution_status").alias("post_execution_status"))
-    data = base.filter(k % 9 != 0).select(
-        INCIDENT, F.when(k % 7 == 0, "FAILED").otherwise("PASSED")
+    data = base.filter(F.col("actual_columns").isNotNull()).select(
+        INCIDENT, F.when(F.col("root_cause").isNull(), "FAILED").otherwise("PASSED")
         .alias("data_verification_status"))
     return plain(incidents.resolution(base.select(INCIDENT, "incident_id"), records, ran, post,
                                       data))
@@ -267,7 +274,7 @@ def resolution_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def orphan_artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Strategies and events that name an incident which is gone."""
-    kept = inputs.incidents(spark, sf_dir).filter(F.col(INCIDENT) % 19 != 0)
+    kept = inputs.incidents(spark, sf_dir).filter(F.col("root_cause").isNotNull())
     named = (inputs.strategies(spark, sf_dir).select(F.lit("strategy").alias("artifact"), INCIDENT)
              .union(_events(spark, sf_dir).select(F.lit("event").alias("artifact"), INCIDENT)))
     return incidents.orphan_artifacts(named, kept)
@@ -380,6 +387,7 @@ _AUTHORIZED = _STATE + """
   from decided),
 checked as (
   select r.incident_key, r.strategy_key, a.approved_by, a.decided_at as approved_at,
+    i.incident_key is not null and i.root_cause is null as done, i.severity,
     a.incident_key is not null as c1,
     a.incident_key is not null and coalesce(d.recommended_strategy_key = r.strategy_key, false)
       as c2,
@@ -394,9 +402,8 @@ authorized as (
   select incident_key, strategy_key,
     case when c1 and c2 and c3 and c4 and c5 and c6 then 'AUTHORIZED' else 'BLOCKED' end
       as authorization_status,
-    case when incident_key % 6 = 0 then 'EXECUTED_SANDBOX' else 'NOT_EXECUTED' end
-      as execution_status,
-    approved_by, approved_at, c1 as check_incident_match, c2 as check_strategy_match,
+    case when done then 'EXECUTED_SANDBOX' else 'NOT_EXECUTED' end as execution_status,
+    approved_by, approved_at, severity, c1 as check_incident_match, c2 as check_strategy_match,
     c3 as check_verification_passed, c4 as check_approval_status, c5 as check_approved_by_present,
     c6 as check_execution_allowed
   from checked)
@@ -523,32 +530,30 @@ ORACLES = {
           from audit_events where action in ('approval_granted', 'approval_rejected')) l
           on l.incident_key = i.incident_key and l.rn = 1"""),
     "authorization_gate": over("incidents audit_events decided",
-                               _AUTHORIZED + "select * from authorized"),
+                               _AUTHORIZED
+                               + "select * exclude (severity) from authorized"),
     "publish_gate": over("incidents audit_events decided", _AUTHORIZED + """
         , gate as (
           select d.incident_key, d.recommended_strategy_key as strategy_key,
-            d.incident_key % 6 = 0 as already_published,
+            i.root_cause is null as already_published,
             case when a.incident_key is null then 'No authorization record found.'
               when a.strategy_key <> d.recommended_strategy_key
                 then 'Authorization does not match the requested strategy.'
               when a.authorization_status <> 'AUTHORIZED' then 'Recovery is not authorized.'
               when not a.check_execution_allowed then 'Execution safety check failed.' end as why
-          from decided d left join authorized a on a.incident_key = d.incident_key
-            and a.incident_key % 8 <> 1)
+          from decided d left join incidents i on i.incident_key = d.incident_key
+          left join authorized a on a.incident_key = d.incident_key and a.check_incident_match)
         select incident_key, strategy_key, already_published,
           not already_published and why is null as publish_allowed,
           case when not already_published then why end as reason
         from gate"""),
     "authorization_upsert": over("incidents audit_events decided", _AUTHORIZED + """
         select incident_key, strategy_key, authorization_status,
-          case when incident_key % 7 = 0 and incident_key % 5 = 0 then 'NOT_EXECUTED'
-            else execution_status end as execution_status,
-          case when incident_key % 4 = 0 then timestamp '2024-02-01'
-            when incident_key % 7 = 0 then timestamp '2024-01-15'
-            when incident_key % 5 = 0 and execution_status <> 'NOT_EXECUTED'
-              then timestamp '2024-02-01'
-            else timestamp '2024-01-15' end as authorized_at
-        from authorized where incident_key % 4 <> 0 or incident_key % 7 <> 0"""),
+          case when severity = 'P1' then 'NOT_EXECUTED' else execution_status end
+            as execution_status,
+          case when severity = 'P1' or (severity = 'P2' and execution_status = 'NOT_EXECUTED')
+            then timestamp '2024-01-15' else timestamp '2024-02-01' end as authorized_at
+        from authorized"""),
     "lifecycle": over("audit_events", _STAGES + "select * from lifecycle"),
     "timeline": over("audit_events", _STAGES + f"""
         select incident_key, stage_number, stage, reached_at,
@@ -567,10 +572,10 @@ ORACLES = {
     "resolution_merge": over("incidents audit_events decided", _AUTHORIZED + _STAGES + """
         select i.incident_key, i.incident_id, a.strategy_key, a.authorization_status,
           l.executed_sandbox as executed_at, i.post_execution_status,
-          case when i.incident_key % 9 <> 0 then case when i.incident_key % 7 = 0 then 'FAILED'
+          case when i.actual_columns is not null then case when i.root_cause is null then 'FAILED'
             else 'PASSED' end end as data_verification_status,
-          case when i.post_execution_status = 'PASSED' and i.incident_key % 9 <> 0
-            and i.incident_key % 7 <> 0 and l.executed_sandbox is not null then 'RESOLVED'
+          case when i.post_execution_status = 'PASSED' and i.actual_columns is not null
+            and i.root_cause is not null and l.executed_sandbox is not null then 'RESOLVED'
             else 'OPEN' end as resolution_status
         from incidents i left join authorized a on a.incident_key = i.incident_key
         left join lifecycle l on l.incident_key = i.incident_key"""),
@@ -579,7 +584,7 @@ ORACLES = {
         from (select 'strategy' as artifact, incident_key from strategies union all
               select 'event', incident_key from audit_events)
         where incident_key not in (select incident_key from incidents
-          where incident_key % 19 <> 0)
+          where root_cause is not null)
         group by artifact, incident_key"""),
     "memory_facts": over("incidents strategies decided", _MEMORY + "select * from memory"),
     "similar_incidents": over("incidents strategies decided", _MEMORY + """
