@@ -48,11 +48,33 @@ def typed(raw: Column, spark_type: str) -> Column:
     return raw.try_cast(spark_type)
 
 
+# What a text must look like to be worth a cast; more than the casts accept.
+_NUMBER = r"^[\x00-\x20+\-.0-9eE]+\z"
+_BOOLEAN = r"(?i)^[\x00-\x20]*(t|true|y|yes|1|f|false|n|no|0)[\x00-\x20]*\z"
+_LOOKS_LIKE = {"int": _NUMBER, "bigint": _NUMBER, "decimal": _NUMBER, "boolean": _BOOLEAN}
+
+
+def typed_text(text: Column, spark_type: str) -> Column:
+    """``typed`` for a text column.
+
+    A failing cast raises and catches an exception inside the task, some
+    microseconds per row; text that cannot be a value is sorted out before.
+    """
+    pattern = _LOOKS_LIKE.get(spark_type.split("(")[0])
+    cast = text.try_cast(spark_type)
+    return F.when(text.rlike(pattern), cast) if pattern else cast
+
+
 def cast_failed(raw: Column, spark_type: str) -> Column:
     """True when a value is there and cannot be cast."""
     return raw.isNotNull() & raw.try_cast(spark_type).isNull()
 
 
+def text_cast_failed(text: Column, spark_type: str) -> Column:
+    """``cast_failed`` for a text column."""
+    return text.isNotNull() & typed_text(text, spark_type).isNull()
+
+
 # Numbers --------------------------------------------------------------------
 
 def at_least(value: Column, low: int) -> Column:

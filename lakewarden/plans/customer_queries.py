@@ -43,9 +43,9 @@ def csv_roundtrip_typed(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"]
     rows = tables.read_csv(spark, folder, ", ".join(f"{n} string" for n in names))
     types = {"c_custkey": "bigint", "c_nationkey": "int", "c_acctbal": "double"}
-    failed = [X.cast_failed(F.col(n), t) for n, t in types.items()]
+    failed = [X.text_cast_failed(F.col(n), t) for n, t in types.items()]
     return rows.select(
-        *[X.typed(F.col(n), types[n]).alias(n) if n in types else F.col(n) for n in names],
+        *[X.typed_text(F.col(n), types[n]).alias(n) if n in types else F.col(n) for n in names],
         (failed[0] | failed[1] | failed[2]).alias("cast_failed"),
         F.col("_corrupt_record").isNotNull().alias("corrupt"))
 
@@ -56,9 +56,9 @@ def cast_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.col("o_orderpriority")
     return orders.select(
         text.alias("value"),
-        X.typed(F.substring(text, 1, 1), "int").alias("as_int"),
-        X.cast_failed(text, "int").alias("int_failed"),
-        X.cast_failed(F.col("o_orderdate").cast("string"), "date").alias("date_failed"),
+        X.typed_text(F.substring(text, 1, 1), "int").alias("as_int"),
+        X.text_cast_failed(text, "int").alias("int_failed"),
+        X.text_cast_failed(F.col("o_orderdate").cast("string"), "date").alias("date_failed"),
     ).groupBy("value", "as_int", "int_failed", "date_failed").agg(
         F.count(F.lit(1)).alias("n"))
 

@@ -76,15 +76,19 @@ def standardize(rows: DataFrame) -> DataFrame:
 
 def set_types(rows: DataFrame) -> DataFrame:
     """Declared types for the columns that are there; text that does not fit is NULL."""
-    wanted = {n: t for n, t in SILVER_TYPES.items() if n in rows.columns}
-    return rows.withColumns({n: X.typed(_c(n), t) for n, t in wanted.items()})
+    present = dict(rows.dtypes)
+    return rows.withColumns({
+        n: (X.typed_text if present[n] == "string" else X.typed)(_c(n), t)
+        for n, t in SILVER_TYPES.items() if n in present})
 
 
 def cast_failures(rows: DataFrame) -> DataFrame:
     """Per column, how many values do not fit the declared type (before ``set_types``)."""
-    wanted = {n: t for n, t in SILVER_TYPES.items() if n in rows.columns}
-    counts = rows.agg(*[F.count_if(X.cast_failed(_c(n), t)).alias(n) for n, t in wanted.items()])
-    return counts.unpivot([], list(wanted), "column", "failed")
+    present = dict(rows.dtypes)
+    failed = {n: (X.text_cast_failed if present[n] == "string" else X.cast_failed)(_c(n), t)
+              for n, t in SILVER_TYPES.items() if n in present}
+    counts = rows.agg(*[F.count_if(c).alias(n) for n, c in failed.items()])
+    return counts.unpivot([], list(failed), "column", "failed")
 
 
 def order_value() -> Column:

@@ -57,6 +57,19 @@ def test_casts(spark):
     assert one(spark, X.typed(text("2024-02-30"), "date")) is None
 
 
+@pytest.mark.parametrize("kind", ["int", "bigint", "decimal(18,2)", "boolean", "date", "double"])
+def test_text_casts_equal_plain_casts(spark, kind):
+    values = ["1", " 7 ", "-3", "+4", "1.5", ".5", "5.", "1e2", "1E-1", "", " ", "x", "1x", "0x1F",
+              "1,000", "true", " T ", "NO", "yes", "0", "maybe", "NaN", "Infinity", "2024-01-02",
+              "99999999999", "\t3\n", "--1", "e", None]
+    df = spark.createDataFrame([(v,) for v in values], "v string")
+    got = df.select("v", X.typed(F.col("v"), kind).alias("a"), X.typed_text(F.col("v"), kind)
+                    .alias("b"), X.cast_failed(F.col("v"), kind).alias("c"),
+                    X.text_cast_failed(F.col("v"), kind).alias("d")).collect()
+    for r in got:
+        assert str(r.a) == str(r.b) and r.c == r.d, r
+
+
 @pytest.mark.parametrize("value,clamped,broken", [
     (-1, 0, True), (0, 0, False), (100, 100, False), (101, 100, True), (None, None, None)])
 def test_clamp(spark, value, clamped, broken):

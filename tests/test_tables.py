@@ -133,6 +133,12 @@ def test_silver_flags_everything_at_once(spark):
     assert row.lifetime_value_usd == Decimal("2000.00400") and row.is_high_value_customer
 
 
+def test_cast_failures(spark, rows):
+    feed = spark.createDataFrame([raw(), raw(total_revenue="x", date_of_birth="1990-13-01")], RAW)
+    failed = {c: n for c, n in rows(medallion.cast_failures(feed)) if n}
+    assert failed == {"support_tickets_count": 2, "total_revenue": 1, "date_of_birth": 1}
+
+
 def test_silver_boundaries(spark):
     exact = silver(spark, raw(lifetime_value="2000.00", total_orders="0", avg_order_value="9")
                    ).collect()[0]
