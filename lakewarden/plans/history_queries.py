@@ -196,8 +196,7 @@ def publish_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def authorization_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Records of the two upper severities, run again after some were executed: by then
-    the lower two severities are asked for."""
+    """Records of severities P1 and P3, run again for P1 and P2 after some were executed."""
     recommended = _recommended(spark, sf_dir)
     severity = inputs.incidents(spark, sf_dir).select(INCIDENT, "severity")
 
@@ -205,9 +204,9 @@ def authorization_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
         wanted = severity.filter(F.col("severity") != left_out).select(INCIDENT)
         return _authorized(spark, sf_dir, recommended, executed).join(wanted, INCIDENT)
 
-    previous = records(False, "P3").withColumn(
+    previous = records(False, "P2").withColumn(
         "authorized_at", F.lit("2024-01-15 00:00:00").cast("timestamp"))
-    out = approvals.upsert_authorizations(previous, records(True, "P1"), NOW)
+    out = approvals.upsert_authorizations(previous, records(True, "P3"), NOW)
     return plain(out.select(INCIDENT, STRATEGY, "authorization_status", "execution_status",
                             "authorized_at"))
 
@@ -549,9 +548,9 @@ ORACLES = {
         from gate"""),
     "authorization_upsert": over("incidents audit_events decided", _AUTHORIZED + """
         select incident_key, strategy_key, authorization_status,
-          case when severity = 'P1' then 'NOT_EXECUTED' else execution_status end
+          case when severity = 'P3' then 'NOT_EXECUTED' else execution_status end
             as execution_status,
-          case when severity = 'P1' or (severity = 'P2' and execution_status = 'NOT_EXECUTED')
+          case when severity = 'P3' or (severity = 'P1' and execution_status = 'NOT_EXECUTED')
             then timestamp '2024-01-15' else timestamp '2024-02-01' end as authorized_at
         from authorized"""),
     "lifecycle": over("audit_events", _STAGES + "select * from lifecycle"),
