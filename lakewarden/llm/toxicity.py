@@ -25,7 +25,7 @@ from itertools import chain as joined
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakewarden.llm.fingerprints import signatures
@@ -317,18 +317,18 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """Learn from a sample of labelled documents within ``bounds``, chosen by the hash of the id.
 
     ``labels`` has the id and the label (0 or 1, rows without either are passed over; an
-    id with both counts as toxic).  Only ids and labels are ranked; the sampled texts
+    id with both counts as toxic).  Each task keeps the least hashes of its own labels; the sampled texts
     are one bounded group.
     """
     bounds = bounds or Bounds()
     marked = labels.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{label_col}`").cast("int").alias("toxic")
                            ).filter("doc_id is not null and toxic in (0, 1)")
     marked = marked.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    order = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ranked = marked.withColumn("rank", F.row_number().over(order)).filter(
-        F.when(F.col("toxic") == 1, F.col("rank") <= bounds.toxic).otherwise(F.col("rank") <= bounds.clean))
+    least = [marked.filter(F.col("toxic") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
+             for value, n in ((1, bounds.toxic), (0, bounds.clean))]
+    ranked = least[0].unionAll(least[1])
     sample = id_and_text(docs, id_col, text_col).join(
-        F.broadcast(ranked.select("doc_id", "toxic")), "doc_id").filter(  # at most toxic + clean rows
+        F.broadcast(ranked), "doc_id").filter(  # at most toxic + clean rows
         F.length("text") <= bounds.characters).dropDuplicates(["doc_id"])
 
     def learned(group: pd.DataFrame) -> pd.DataFrame:
