@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakewarden.llm.text import whole
+from lakewarden.llm.text import SPACES, whole
 from lakewarden.session import work_folder
 
 DEPTH = 3
@@ -28,25 +28,28 @@ MIN_DOCS = 3
 
 
 def _words(line: Column) -> Column:
-    return F.filter(F.split(line, "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
+    """The words of a line, those with a digit as ``<*>``; no line is searched for one in vain."""
+    masked = F.when(line.rlike("[0-9]"), F.regexp_replace(
+        line, "[^\\x20\\x09-\\x0D0-9]*+[0-9][^\\x20\\x09-\\x0D]*", "<*>")).otherwise(line)
+    return F.split(F.btrim(masked, F.lit(SPACES)), "[\\x20\\x09-\\x0D]+")
+
+
+def _width(n: Column) -> Column:
+    """Words in each run but the last of a line."""
+    return F.greatest(F.ceil((n - DEPTH) / SEGMENTS), F.lit(1)).cast("int")
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, line (from 0), n (words), leaf, runs of the rest as an array of (place, words, hash)."""
+    """doc_id, line (from 0), n (words), runs: a hash of leaf, place and words for each run of the rest."""
     lines = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"),
                         F.posexplode(F.split(whole(text_col), "\n")).alias("line", "text"))
-    worded = lines.select("doc_id", "line", _words(F.regexp_replace(
-        "text", "[^\\x20\\x09-\\x0D]*[0-9][^\\x20\\x09-\\x0D]*", "<*>")).alias("words"))
-    n = F.size("words")
-    leaf = F.xxhash64(n, F.array_join(F.slice("words", 1, DEPTH), " "))
-    width = F.greatest(F.ceil((n - DEPTH) / SEGMENTS), F.lit(1)).cast("int")
-    runs = F.transform(F.sequence(F.lit(0), F.lit(SEGMENTS - 1)), lambda k: F.slice(
-        "words", k * width + DEPTH + 1, width))
-    named = F.filter(F.transform(runs, lambda r, k: F.struct(
-        k.alias("place"), F.size(r).alias("size"), F.xxhash64(F.col("leaf"), k, F.array_join(r, " ")).alias("run"))),
-        lambda r: r["size"] > 0)
-    return (worded.filter(n >= MIN_WORDS).withColumn("leaf", leaf)
-            .select("doc_id", "line", n.alias("n"), "leaf", named.alias("runs")))
+    worded = lines.select("doc_id", "line", _words(F.col("text")).alias("words"))
+    n, width = F.size("words"), _width(F.size("words"))
+    leaf = F.xxhash64(n, F.slice("words", 1, DEPTH))
+    runs = F.filter(F.array(*[F.when(n > DEPTH + width * k, F.xxhash64(
+        leaf, F.lit(k), F.slice("words", width * k + DEPTH + 1, width))) for k in range(SEGMENTS)]),
+        lambda r: r.isNotNull())
+    return worded.filter(n >= MIN_WORDS).select("doc_id", "line", n.alias("n"), runs.alias("runs"))
 
 
 def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -59,15 +62,17 @@ def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark, folder = docs.sparkSession, work_folder(docs.sparkSession, "lines")
     _lines(docs, id_col, text_col).filter("doc_id is not null").write.parquet(folder)
     lines = spark.read.parquet(folder)
-    runs = lines.select("doc_id", "line", "n", "leaf", F.explode("runs").alias("r")).select(
-        "doc_id", "line", "n", "leaf", "r.place", "r.size", "r.run")
+    size = F.least(_width(F.col("n")), F.col("n") - DEPTH - _width(F.col("n")) * F.col("place"))
+    # Line and words of the line in one number: these narrow rows are all that moves.
+    runs = lines.select("doc_id", "line", "n", F.posexplode("runs").alias("place", "run")).select(
+        "doc_id", "run", (F.col("line") * F.lit(2 ** 32) + F.col("n")).alias("at"), size.alias("size"))
     fixed = runs.groupBy("run").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b").select("run")
-    parsed = (runs.join(fixed, "run").groupBy("doc_id", "line", "n", "leaf").agg(
+    parsed = runs.join(fixed, "run").groupBy("doc_id", "at").agg(
         F.sum("size").alias("size"),
-        # One run a place: the sum of mixed hashes names the set of constant runs.
-        F.sum(F.xxhash64("place", "run").cast("decimal(20,0)")).alias("constants")))
-    templates = parsed.filter((F.col("size") + DEPTH) >= F.col("n") * constant).select(
-        "doc_id", "line", F.xxhash64("leaf", "constants").alias("template"))
+        # A run's hash holds its leaf and place: the sum of mixed hashes names the set of constant runs.
+        F.sum(F.xxhash64("run").cast("decimal(20,0)")).alias("constants"))
+    templates = parsed.filter(F.col("size") + DEPTH >= F.col("at") % 2 ** 32 * constant).select(
+        "doc_id", F.shiftright("at", 32).cast("int").alias("line"), F.xxhash64("constants").alias("template"))
     held = templates.groupBy("template", "doc_id").agg(F.lit(1).alias("x")).groupBy("template").agg(
         F.count("*").alias("docs"), F.min("doc_id").alias("first")).filter(F.col("docs") >= min_docs)
     return templates.join(held, "template").filter("doc_id <> first").select("doc_id", "line")
