@@ -13,10 +13,6 @@ from pyspark.sql import functions as F
 from lakewarden import fixed
 from lakewarden.operators import scan
 
-GATE_CHECKS = ["incident_match", "strategy_match", "verification_passed", "approval_status",
-               "approved_by_present", "execution_allowed"]
-
-
 def _holds(condition: Column) -> Column:
     return F.coalesce(condition, F.lit(False))
 
@@ -26,11 +22,13 @@ def approval_state(events: DataFrame, verified: DataFrame, chunk: Column,
                    order: str = "event_id") -> DataFrame:
     """Fold the approval events of each incident into its present state.
 
-    A request opens the decision.  The first rejection after it closes it until
-    the next request.  The first approval while it is open sticks for good, if
-    the incident's verification has passed; otherwise it is a blocked attempt and
-    the decision stays open.  Decisions without an open request have no effect.
-    A rejection logged as BLOCKED is such an attempt, not a decision.
+    A request opens the decision, and its own status says for good whether it may be
+    approved: PASSED if the recovery had been verified by then.  The first rejection
+    after it closes it until the next request.  The first approval while it is open
+    sticks, if the request passed; otherwise, or if it was logged as BLOCKED itself, it
+    is a blocked attempt, which counts whenever a request is open, and the decision
+    stays open.  Decisions without an open request have no effect.  A rejection logged as BLOCKED is such an attempt, not a
+    decision.  Execution also needs the verification to stand now.
 
     ``events`` has ``action``, ``status`` and ``actor``; ``verified`` one row per
     incident with ``verification_passed``.  ``chunk`` rises with time (see ``scan``).
@@ -43,19 +41,23 @@ def approval_state(events: DataFrame, verified: DataFrame, chunk: Column,
     blocked = _holds((action == "approval_rejected") & (status == "BLOCKED"))
     turns = events.filter(action.isin("approval_requested", "approval_granted",
                                       "approval_rejected"))
-    last_turn = F.when(request | reject, F.struct(moment.alias("at"), request.alias("open")))
+    passed = _holds(request & (status == "PASSED"))
+    last_turn = F.when(request | reject, F.struct(
+        moment.alias("at"), request.alias("open"), passed.alias("passed")))
     seen = scan.running_max(turns, [incident], [time, order], chunk, last_turn, "_before")
     open_ = _holds(F.col("_before.open"))
+    grants = approve & open_
+    valid = grants & _holds(F.col("_before.passed")) & ~_holds(status == "BLOCKED")
     who = F.struct(moment.alias("at"), F.col("actor"))
     folded = seen.groupBy(incident).agg(
-        F.min(F.when(approve & open_, who)).alias("_approve"),
+        F.min(F.when(valid, who)).alias("_approve"),
         F.max(F.when(reject & open_, who)).alias("_reject"),
         F.max(F.when(request, moment)).alias("_request"),
-        F.count_if(approve & open_).alias("_open_approvals"),
+        F.max(F.when(request, F.struct(moment, passed.alias("passed")))).alias("_asked"),
+        F.count_if(grants & ~valid).alias("_refused_approvals"),
         F.count_if(blocked).alias("_blocked"))
     state = folded.join(verified.select(incident, "verification_passed"), incident, "left")
-    allowed = _holds(F.col("verification_passed"))
-    approved = allowed & F.col("_approve").isNotNull()
+    approved = F.col("_approve").isNotNull()
     refused = _holds(F.col("_reject.at") > F.col("_request"))
     label = (F.when(approved, "APPROVED").when(refused, "REJECTED")
              .when(F.col("_request").isNotNull(), "PENDING").otherwise("NOT_REQUESTED"))
@@ -64,10 +66,9 @@ def approval_state(events: DataFrame, verified: DataFrame, chunk: Column,
         incident, label.alias("approval_status"),
         chosen["actor"].alias("approved_by"),
         chosen["at"][time].alias("decided_at"),
-        allowed.alias("approval_allowed"),
-        approved.alias("execution_allowed"),
-        (F.col("_blocked") + F.when(allowed, F.lit(0)).otherwise(F.col("_open_approvals")))
-        .cast("bigint").alias("blocked_attempts"))
+        _holds(F.col("_asked.passed")).alias("approval_allowed"),
+        (approved & _holds(F.col("verification_passed"))).alias("execution_allowed"),
+        (F.col("_blocked") + F.col("_refused_approvals")).cast("bigint").alias("blocked_attempts"))
 
 
 def latest_approval(incidents: DataFrame, events: DataFrame, incident: str = "incident_key",

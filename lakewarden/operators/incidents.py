@@ -62,10 +62,10 @@ def investigate(classified: DataFrame) -> DataFrame:
     """
     audited = contract.audit_evidence(classified)
     none = F.col("expected_columns").isNull() & F.col("actual_columns").isNull()
-    reason = (F.when(none, "Incident evidence is missing.")
+    reason = (F.when(none, "No evidence was recorded.")
               .when(F.col("evidence_state") == "malformed",
-                    "Schema evidence is incomplete or malformed.")
-              .when(F.col("evidence_state") == "conflicting", "Schema evidence is conflicting."))
+                    "Evidence of the schema lacks a part.")
+              .when(F.col("evidence_state") == "conflicting", "Evidence of the schema contradicts itself."))
     unknown = (F.col("classification") == fixed.UNKNOWN_CAUSE[0]) | F.col("cause").isNull()
     certainty = F.when(F.col("confidence") >= fixed.RCA_HIGH_CONFIDENCE, "HIGH").otherwise("MEDIUM")
 
@@ -78,7 +78,7 @@ def investigate(classified: DataFrame) -> DataFrame:
                        listed("Missing required", "reported_missing"))
     return audited.withColumns({
         "investigation_summary": F.coalesce(reason, F.when(
-            unknown, "The current evidence is insufficient to determine a root cause.")
+            unknown, "No cause follows from the evidence.")
             .otherwise(finding)),
         "investigation_status": F.when(reason.isNotNull(), "BLOCKED").otherwise("COMPLETED"),
         "investigation_confidence": F.when(reason.isNotNull() | unknown, "INSUFFICIENT_EVIDENCE")
@@ -119,8 +119,8 @@ def workflow_status(investigated: DataFrame, decisions: DataFrame, previews: Dat
     return rows.withColumns({
         "workflow_status": F.when(ready, "WAITING_FOR_HUMAN_APPROVAL").otherwise("BLOCKED"),
         "next_required_action": F.when(ready, F.concat(
-            F.lit("Human approval for "), F.col(strategy), F.lit(" is required.")))
-        .otherwise("Resolve blocked analysis or simulation prerequisites."),
+            F.lit("A person has to approve "), F.col(strategy), F.lit(" now.")))
+        .otherwise("Clear what blocks the analysis first."),
     })
 
 
@@ -259,8 +259,8 @@ def prevention_status(classified: DataFrame, keep: Sequence[str],
     kinds = [kind for kind, *_ in catalogue]
     n = X.looked_up(F.col("classification"), {k: kinds.count(k) for k in dict.fromkeys(kinds)}, 0)
     verified = F.coalesce(F.col("post_execution_status") == "PASSED", F.lit(False))
-    reason = (F.when(~verified, "Successful recovery verification is required.")
-              .when(n == 0, "Deterministic prevention controls are missing."))
+    reason = (F.when(~verified, "Successful recovery verification now.")
+              .when(n == 0, "There are no controls for this cause."))
     return classified.select(
         *keep, F.when(reason.isNull(), "COMPLETED").otherwise("BLOCKED").alias("prevention_status"),
         F.when(reason.isNull(), n).otherwise(0).alias("n_controls"), reason.alias("reason"))

@@ -24,11 +24,32 @@ def normalize(df: DataFrame, upper: Sequence[str]) -> DataFrame:
     return df.withColumns({c: F.upper(c) for c in upper})
 
 
+def schema_changes(spark: SparkSession, before: DataFrame, after: DataFrame) -> DataFrame:
+    """Columns on one side only (added, removed) and columns of another type (retyped)."""
+    old, new = dict(before.dtypes), dict(after.dtypes)
+    rows = [(c, "removed" if c not in new else "added" if c not in old else "retyped", old.get(c), new.get(c))
+            for c in dict.fromkeys([*old, *new]) if old.get(c) != new.get(c)]
+    return spark.createDataFrame(rows, "column string, change string, before_type string, after_type string")
+
+
+def alike(before: DataFrame, after: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both sides with the columns they share, those of differing types as text.
+
+    What this leaves out is the business of ``schema_changes``.
+    """
+    old, new = dict(before.dtypes), dict(after.dtypes)
+    shared = [c for c in before.columns if c in new]
+
+    def side(df: DataFrame) -> DataFrame:
+        return df.select(*[F.col(c) if old[c] == new[c] else F.col(c).cast("string").alias(c) for c in shared])
+    return side(before), side(after)
+
+
 def row_counts(before: DataFrame, after: DataFrame) -> DataFrame:
     """Each distinct row with ``n_before`` and ``n_after``."""
+    before, after = alike(before, after)
     columns = before.columns
-    tagged = before.withColumn("_after", F.lit(0)).union(
-        after.select(*columns).withColumn("_after", F.lit(1)))
+    tagged = before.withColumn("_after", F.lit(0)).union(after.withColumn("_after", F.lit(1)))
     return tagged.groupBy(*columns).agg(
         F.sum(1 - F.col("_after")).alias("n_before"), F.sum("_after").alias("n_after"))
 
@@ -58,7 +79,7 @@ def keyed_diff(before: DataFrame, after: DataFrame, keys: Sequence[str]) -> Data
     ``changed_columns`` the columns in which some value gave way to another.
     Rows are never paired within a key, so a key with many rows stays linear.
     """
-    values = [c for c in before.columns if c not in set(keys)]
+    values = [c for c in before.columns if c not in set(keys) and c in set(after.columns)]
     counts = row_counts(before, after)
     per_key = counts.groupBy(*keys).agg(
         F.sum("n_before").alias("n_before"), F.sum("n_after").alias("n_after"),
@@ -91,7 +112,8 @@ def report(spark: SparkSession, before: DataFrame, after: DataFrame, mode: str =
     """One row: schema, row count and value checks, and the overall status.
 
     Schemas match when names and types are equal in order.  Values are compared
-    on the columns both sides have, as a ``set`` or a ``bag``.
+    on the columns both sides have, as a ``set`` or a ``bag``; a column whose type
+    differs is compared as text.
     """
     if mode not in ("set", "bag"):
         raise ValueError("mode is set or bag")

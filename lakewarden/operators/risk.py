@@ -77,11 +77,13 @@ def rank(scored: DataFrame, incident: str = "incident_key", strategy: str = "str
          ids_per_chunk: int = 100_000) -> DataFrame:
     """Position of every strategy of an incident; 1 is the best.
 
-    Scanned in chunks of equal score and scope and a range of strategy numbers,
-    so an incident with very many strategies is not one task's work.
+    Scanned in chunks of equal score and scope and a range of strategy numbers (of
+    text ids: a common beginning), so an incident with very many strategies is not
+    one task's work.
     """
-    chunk = F.struct(F.col("risk_score").isNull(), F.col("risk_score"), F.col("scope_size"),
-                     F.floor(F.col(strategy) / ids_per_chunk))
+    text = dict(scored.dtypes)[strategy] == "string"
+    near = F.substring(strategy, 1, 8) if text else F.floor(F.col(strategy) / ids_per_chunk)
+    chunk = F.struct(F.col("risk_score").isNull(), F.col("risk_score"), F.col("scope_size"), near)
     return scan.row_numbers(scored, [incident], _preference(strategy), chunk, "strategy_rank")
 
 
@@ -126,14 +128,14 @@ def rejected(scored: DataFrame, incident: str = "incident_key",
     loss, won_loss = F.col("data_loss_risk"), F.col("_won_data_loss_risk")
     scope, won_scope = F.col("scope_size"), F.col("_won_scope_size")
     reasons = F.array_compact(F.array(
-        F.when(risk.isNull(), text("no risk evaluation.")),
+        F.when(risk.isNull(), text("not rated.")),
         F.when(risk > best, text("risk score ", risk, " (", F.col("risk_classification"),
                                  ") is higher than ", F.col("_won"), "'s ", best, ".")),
         F.when(risk == best, text("risk score ", risk, " equals ", F.col("_won"),
-                                  "'s; it comes after it by scope and id.")),
+                                  "'s, which wins by scope and id.")),
         F.when(loss != won_loss, text("data-loss risk is '", loss, "' vs '", won_loss,
-                                      "' for the recommended strategy.")),
-        F.when(scope > won_scope, text("larger blast radius (", scope, " assets vs ", won_scope,
+                                      "' of the winner.")),
+        F.when(scope > won_scope, text("touches more (", scope, " assets vs ", won_scope,
                                        ")."))))
     return both.select(incident, strategy, F.col("_won").alias(f"recommended_{strategy}"),
                        reasons.alias("reasons"))
@@ -145,9 +147,9 @@ def factors(scored: DataFrame, incident: str = "incident_key",
     evaluated = scored.groupBy(incident).agg(F.count("risk_score").alias("evaluated"))
     best = F.col(f"recommended_{strategy}").cast("string")
     reasons = F.array(
-        F.concat(best, F.lit(" has the lowest weighted risk score ("), F.col("risk_score"),
+        F.concat(best, F.lit(" has the least risk ("), F.col("risk_score"),
                  F.lit(", "), F.col("risk_classification"), F.lit(") among "), F.col("evaluated"),
-                 F.lit(" evaluated strategies.")),
+                 F.lit(" rated strategies.")),
         F.concat(best, F.lit(" scope: "), F.col("scope_size"), F.lit(" assets.")),
         F.concat(F.lit("Data-loss risk for "), best, F.lit(" is '"), F.col("data_loss_risk"),
                  F.lit("'.")))
@@ -174,12 +176,12 @@ def audit_decisions(decisions: DataFrame, strategies: DataFrame, risks: DataFram
     asked = decisions.withColumn("_strategy", F.col(f"recommended_{strategy}"))
     both = (asked.join(known, [incident, "_strategy"], "left")
             .join(scores, [incident, "_strategy"], "left"))
-    reason = (F.when(F.col("_strategy").isNull(), "Risk evaluation or recovery decision is missing.")
+    reason = (F.when(F.col("_strategy").isNull(), "There is no decision or no rating.")
               .when(F.col("_known").isNull() | F.col("_rated").isNull(),
-                    F.concat(F.lit("Unknown recommended strategy: "), F.col("_strategy"),
+                    F.concat(F.lit("The decision names no known strategy: "), F.col("_strategy"),
                              F.lit(".")))
               .when(~F.col("risk_score").eqNullSafe(F.col("evaluated_score")),
-                    "Decision and risk evaluation conflict."))
+                    "The decision and the rating differ."))
     return both.select(
         incident, f"recommended_{strategy}", "risk_score", "evaluated_score",
         F.when(reason.isNull(), "COMPLETED").otherwise("BLOCKED").alias("status"),

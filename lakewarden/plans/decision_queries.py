@@ -219,8 +219,8 @@ decision_audit as (
     s.risk_score as evaluated_score,
     case when s.risk_score = d.risk_score then 'COMPLETED' else 'BLOCKED' end as status,
     case when s.risk_score is null
-      then concat('Unknown recommended strategy: ', cast(d.recommended_strategy_key as varchar), '.')
-    when s.risk_score <> d.risk_score then 'Decision and risk evaluation conflict.' end as reason
+      then concat('The decision names no known strategy: ', cast(d.recommended_strategy_key as varchar), '.')
+    when s.risk_score <> d.risk_score then 'The decision and the rating differ.' end as reason
   from doubtful d left join scored s
     on s.incident_key = d.incident_key and s.strategy_key = d.recommended_strategy_key)
 """
@@ -230,7 +230,7 @@ INVESTIGATED = """
   select incident_key, error_type, expected_columns, actual_columns, unexpected_columns,
     missing_columns,
     case when actual_columns is null or expected_columns is null
-      then 'Schema evidence is incomplete or malformed.'
+      then 'Evidence of the schema lacks a part.'
     when list_sort([x for x in str_split(actual_columns, ',')
            if not list_contains(str_split(expected_columns, ','), x)])
          <> list_sort(case when unexpected_columns = '' then [] else
@@ -239,7 +239,7 @@ INVESTIGATED = """
            if not list_contains(str_split(actual_columns, ','), x)])
          <> list_sort(case when missing_columns = '' then [] else
               str_split(missing_columns, ',') end)
-      then 'Schema evidence is conflicting.' end as reason
+      then 'Evidence of the schema contradicts itself.' end as reason
   from incidents),
 investigated as (
   select incident_key,
@@ -250,7 +250,7 @@ investigated as (
       else 'HIGH' end as investigation_confidence,
     reason as investigation_reason,
     case when reason is not null then reason when error_type <> 'SCHEMA_DRIFT'
-        then 'The current evidence is insufficient to determine a root cause.'
+        then 'No cause follows from the evidence.'
       else concat('SCHEMA_CONTRACT_VIOLATION: Upstream source schema changed without an approved ',
         'schema contract update.',
         case when unexpected_columns <> '' then concat(' Unexpected column(s): ',
@@ -290,18 +290,18 @@ ORACLES = {
               r.risk_classification, ') is higher than ', w.strategy_key, '''s ', w.risk_score, '.')
               end,
             case when r.risk_score = w.risk_score then concat('risk score ', r.risk_score,
-              ' equals ', w.strategy_key, '''s; it comes after it by scope and id.') end,
+              ' equals ', w.strategy_key, '''s, which wins by scope and id.') end,
             case when r.data_loss_risk <> w.data_loss_risk then concat('data-loss risk is ''',
               r.data_loss_risk, ''' vs ''', w.data_loss_risk,
-              ''' for the recommended strategy.') end,
-            case when r.scope_size > w.scope_size then concat('larger blast radius (',
+              ''' of the winner.') end,
+            case when r.scope_size > w.scope_size then concat('touches more (',
               r.scope_size, ' assets vs ', w.scope_size, ').') end) as reasons
         from ranked r join ranked w on w.incident_key = r.incident_key and w.strategy_rank = 1
         where r.strategy_rank > 1"""),
     "decision_factors": over("decided", """
         select d.incident_key, n as evaluated, concat(recommended_strategy_key,
-          ' has the lowest weighted risk score (', risk_score, ', ', risk_classification, ') among ',
-          n, ' evaluated strategies. ', recommended_strategy_key, ' scope: ', scope_size,
+          ' has the least risk (', risk_score, ', ', risk_classification, ') among ',
+          n, ' rated strategies. ', recommended_strategy_key, ' scope: ', scope_size,
           ' assets. Data-loss risk for ', recommended_strategy_key, ' is ''', data_loss_risk,
           '''.') as factors
         from decided d join (select incident_key, count(*) as n from strategies
@@ -339,8 +339,8 @@ ORACLES = {
             as workflow_status,
           case when i.investigation_status = 'COMPLETED' and d.status = 'COMPLETED'
             and s.data_loss_risk <> 'HIGH'
-            then concat('Human approval for ', d.recommended_strategy_key, ' is required.')
-            else 'Resolve blocked analysis or simulation prerequisites.' end
+            then concat('A person has to approve ', d.recommended_strategy_key, ' now.')
+            else 'Clear what blocks the analysis first.' end
             as next_required_action
         from investigated i left join decision_audit d on d.incident_key = i.incident_key
         left join strategies s on s.incident_key = i.incident_key

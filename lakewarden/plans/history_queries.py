@@ -352,30 +352,33 @@ _STATE = """
 opened as (
   select *, coalesce(last_value(case when req or rej then req end ignore nulls) over (
     partition by incident_key order by ts, event_id
-    rows between unbounded preceding and 1 preceding), false) as is_open
+    rows between unbounded preceding and 1 preceding), false) as is_open,
+    coalesce(last_value(case when req or rej then req and status = 'PASSED' end ignore nulls) over (
+    partition by incident_key order by ts, event_id
+    rows between unbounded preceding and 1 preceding), false) and coalesce(status, '') <> 'BLOCKED' as is_valid
   from turns),
 folded as (
   select incident_key,
-    min(ts) filter (where apr and is_open) as t_apr,
-    arg_min(actor, (ts, event_id)) filter (where apr and is_open) as who_apr,
+    min(ts) filter (where apr and is_open and is_valid) as t_apr,
+    arg_min(actor, (ts, event_id)) filter (where apr and is_open and is_valid) as who_apr,
     max(ts) filter (where rej and is_open) as t_rej,
     arg_max(actor, (ts, event_id)) filter (where rej and is_open) as who_rej,
     max(ts) filter (where req) as t_req,
-    count(*) filter (where apr and is_open) as n_open,
+    arg_max(status = 'PASSED', (ts, event_id)) filter (where req) as asked,
+    count(*) filter (where apr and is_open and not is_valid) as n_refused,
     count(*) filter (where action = 'approval_rejected' and status = 'BLOCKED') as n_blocked
   from opened group by incident_key),
 judged as (
   select f.*, coalesce(i.post_execution_status = 'PASSED', false) as ok,
-    case when coalesce(i.post_execution_status = 'PASSED', false) and t_apr is not null
-      then 'APPROVED' when t_rej > t_req then 'REJECTED'
+    case when t_apr is not null then 'APPROVED' when t_rej > t_req then 'REJECTED'
       when t_req is not null then 'PENDING' else 'NOT_REQUESTED' end as state
   from folded f left join incidents i on i.incident_key = f.incident_key),
 approval_state as (
   select incident_key, state as approval_status,
     case state when 'APPROVED' then who_apr when 'REJECTED' then who_rej end as approved_by,
     case state when 'APPROVED' then t_apr when 'REJECTED' then t_rej end as decided_at,
-    ok as approval_allowed, state = 'APPROVED' as execution_allowed,
-    n_blocked + case when ok then 0 else n_open end as blocked_attempts
+    coalesce(asked, false) as approval_allowed, ok and state = 'APPROVED' as execution_allowed,
+    n_blocked + n_refused as blocked_attempts
   from judged)
 """
 
@@ -608,8 +611,8 @@ ORACLES = {
           case when post_execution_status = 'PASSED' and error_type = 'SCHEMA_DRIFT' then 4 else 0
             end as n_controls,
           case when post_execution_status <> 'PASSED'
-            then 'Successful recovery verification is required.'
+            then 'Successful recovery verification now.'
             when error_type <> 'SCHEMA_DRIFT'
-            then 'Deterministic prevention controls are missing.' end as reason
+            then 'There are no controls for this cause.' end as reason
         from incidents"""),
 }

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 AS_OF = "2002-01-01"
 BATCH_ID = "batch-0001"
 INGESTED_AT = "2002-01-01 00:00:00"
+SUPPLIER_KEYS = 1_000_000_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,9 +33,9 @@ def _pick(key: Column, divisor: int, cases: dict[int, Column], other: Column) ->
 
 
 def customer_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order totals per customer; one customer in ten is left without orders."""
+    """Order totals per customer."""
     orders = table(spark, sf_dir, "orders")
-    return orders.filter(F.col("o_custkey") % 10 != 7).groupBy("o_custkey").agg(
+    return orders.groupBy("o_custkey").agg(
         F.count(F.lit(1)).alias("n_orders"),
         F.sum(cents(F.col("o_totalprice"))).alias("rev_cents"),
         F.min("o_orderdate").cast("date").alias("first_d"),
@@ -43,8 +44,15 @@ def customer_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def raw_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customer master with noise, stale duplicates and rows without a key."""
-    customer = table(spark, sf_dir, "customer")
+    """Customer master with noise, stale duplicates and rows without a key.
+
+    Suppliers are in it too, under keys of their own, as customers who never ordered.
+    """
+    columns = ["c_custkey", "c_name", "c_nationkey", "c_mktsegment", "c_acctbal"]
+    customer = table(spark, sf_dir, "customer").select(*columns).unionAll(
+        table(spark, sf_dir, "supplier").select(
+            (F.col("s_suppkey") + SUPPLIER_KEYS).alias("c_custkey"), "s_name", "s_nationkey",
+            F.lit("BUSINESS"), "s_acctbal"))
     nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
     base = (customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
             .join(customer_orders(spark, sf_dir), F.col("c_custkey") == F.col("o_custkey"), "left"))

@@ -8,10 +8,12 @@ with oa as (
          cast(sum(cast(round(o_totalprice * 100) as bigint)) as bigint) as rev_cents,
          min(cast(o_orderdate as date)) as first_d, max(cast(o_orderdate as date)) as last_d,
          max(o_orderdate) as last_ts
-  from orders where o_custkey % 10 <> 7 group by o_custkey),
+  from orders group by o_custkey),
 b as (
   select c.c_custkey as k, c.*, n.n_name, oa.*
-  from customer c join nation n on c.c_nationkey = n.n_nationkey
+  from (select c_custkey, c_name, c_nationkey, c_mktsegment, c_acctbal from customer
+    union all select s_suppkey + 1000000000000, s_name, s_nationkey, 'BUSINESS', s_acctbal
+    from supplier) c join nation n on c.c_nationkey = n.n_nationkey
   left join oa on c.c_custkey = oa.o_custkey),
 one as (
   select k as customer_id,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import warnings
 from collections.abc import Mapping
 
@@ -63,8 +64,12 @@ def publish(spark: SparkSession, incident_id: str, strategy_id: str, gate: DataF
     ``gate`` is the publish gate's output.  Returns ALREADY_PUBLISHED, the first
     failing reason, or PUBLISHED.  The registry entry is written last, so a run
     that was cut short is repeated in full: its targets are replaced, never the
-    source tables.
+    source tables.  Ids become part of a path, so ids with other than letters, digits,
+    hyphens and underscores are refused.
     """
+    for value in (incident_id, strategy_id):
+        if not re.fullmatch(r"[A-Za-z0-9][A-Za-z0-9_-]*", str(value)):
+            raise ValueError(f"not an id: {value!r}")
     mine = (F.col("incident_id") == incident_id) & (F.col("strategy_id") == strategy_id)
     if not published(spark, registry).filter(mine).isEmpty():
         return "ALREADY_PUBLISHED"

@@ -12,22 +12,26 @@ ACTIONS = ["approval_requested", "approval_granted", "approval_rejected", "agent
 STATES = ["PASSED", "BLOCKED", "REJECTED", None]
 
 
-def fold(events, passed):
+def fold(events):
     """The approval file of one incident after its events, one after the other."""
-    state, by, blocked = "NOT_REQUESTED", None, 0
+    state, by, blocked, open_, passed = "NOT_REQUESTED", None, 0, False, False
     for action, status, actor in events:
         is_attempt = action == "approval_rejected" and status == "BLOCKED"
         if is_attempt:
             blocked += 1
-        elif action == "approval_requested" and state != "APPROVED":
-            state, by = "PENDING", None
-        elif action == "approval_granted" and state == "PENDING":
-            if passed:
-                state, by = "APPROVED", actor
-            else:
+        elif action == "approval_requested":
+            open_, passed = True, status == "PASSED"
+            if state != "APPROVED":
+                state, by = "PENDING", None
+        elif action == "approval_granted" and open_:
+            if not passed or status == "BLOCKED":
                 blocked += 1
-        elif action == "approval_rejected" and status is not None and state == "PENDING":
-            state, by = "REJECTED", actor
+            elif state != "APPROVED":
+                state, by = "APPROVED", actor
+        elif action == "approval_rejected" and status is not None and open_:
+            open_ = False
+            if state != "APPROVED":
+                state, by = "REJECTED", actor
     return state, by, blocked
 
 
@@ -48,7 +52,7 @@ def test_approval_fold(spark, seed):
     per = defaultdict(list)
     for i, k, action, status, actor, m in sorted(log, key=lambda e: (e[5], e[0])):
         per[k].append((action, status, actor))
-    want = {k: fold(v, passed.get(k) is True) for k, v in per.items()
+    want = {k: fold(v) for k, v in per.items()
             if any(a != "agent_invoked" for a, _, _ in v)}
     assert got == want
 

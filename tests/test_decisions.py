@@ -113,9 +113,9 @@ def test_rejected_reasons(spark, rows):
         "data_loss_risk string, scope_size bigint")
     got = dict(rows(risk.rejected(df), "strategy_key", F.array_join("reasons", " / ")))
     assert got == {
-        "B": "risk score 8 equals A's; it comes after it by scope and id. / data-loss risk is "
-             "'HIGH' vs 'LOW' for the recommended strategy. / larger blast radius (3 assets vs 2).",
-        "C": "risk score 11 (H) is higher than A's 8.", "D": "no risk evaluation."}
+        "B": "risk score 8 equals A's, which wins by scope and id. / data-loss risk is "
+             "'HIGH' vs 'LOW' of the winner. / touches more (3 assets vs 2).",
+        "C": "risk score 11 (H) is higher than A's 8.", "D": "not rated."}
 
 
 def test_candidates_and_tradeoffs(spark, rows):
@@ -133,13 +133,13 @@ def test_decision_audit(spark, rows):
     decisions = spark.createDataFrame([(1, 5, 8), (2, 5, 9), (3, 7, 8), (4, None, None)],
                                       "incident_key int, recommended_strategy_key int, risk_score bigint")
     got = rows(risk.audit_decisions(decisions, known, known), "incident_key", "status", "reason")
-    assert got == [(1, "COMPLETED", None), (2, "BLOCKED", "Decision and risk evaluation conflict."),
-                   (3, "BLOCKED", "Unknown recommended strategy: 7."),
-                   (4, "BLOCKED", "Risk evaluation or recovery decision is missing.")]
+    assert got == [(1, "COMPLETED", None), (2, "BLOCKED", "The decision and the rating differ."),
+                   (3, "BLOCKED", "The decision names no known strategy: 7."),
+                   (4, "BLOCKED", "There is no decision or no rating.")]
 
 
 def test_decision_factors(spark):
     got = risk.factors(scored(spark, (1, 5, 8, 2), (1, 6, 9, 1), (1, 7, None, 1), (2, 5, None, 1)))
     assert [tuple(r) for r in got.collect()] == [(1, 2, [
-        "5 has the lowest weighted risk score (8, X) among 2 evaluated strategies.",
+        "5 has the least risk (8, X) among 2 rated strategies.",
         "5 scope: 2 assets.", "Data-loss risk for 5 is 'LOW'."])]

@@ -43,14 +43,16 @@ def state(spark, steps, passed=True, chunk=60):
      True, ("APPROVED", "ann", 0)),
     ([(ASK, "PASSED", "x"), (NO, "BLOCKED", "ann"), (YES, "PASSED", "ann")], True,
      ("APPROVED", "ann", 1)),
-    ([(ASK, "PASSED", "x"), (YES, "PASSED", "ann")], False, ("PENDING", None, 1)),
-    ([(ASK, "PASSED", "x"), (YES, "PASSED", "ann")], None, ("PENDING", None, 1)),
+    ([(ASK, "PASSED", "x"), (YES, "PASSED", "ann")], False, ("APPROVED", "ann", 0)),
+    ([(ASK, "BLOCKED", "x"), (YES, "PASSED", "ann")], None, ("PENDING", None, 1)),
+    ([(ASK, "BLOCKED", "x"), (YES, "PASSED", "ann"), (ASK, "PASSED", "x"), (YES, "PASSED", "bob")], True,
+     ("APPROVED", "bob", 1)),
     ([(YES, "PASSED", "ann")], True, ("NOT_REQUESTED", None, 0)),
 ])
 def test_approval_fold(spark, steps, passed, want, chunk):
     got = state(spark, steps, passed, chunk)[0]
     assert (got.approval_status, got.approved_by, got.blocked_attempts) == want
-    assert got.execution_allowed is (want[0] == "APPROVED")
+    assert got.execution_allowed is (want[0] == "APPROVED" and passed is True)
 
 
 def test_latest_badge(spark, rows):
@@ -280,7 +282,7 @@ def test_prevention_status(spark):
     got = incidents.prevention_status(df, ["incident_key"]).collect()
     assert [(r.prevention_status, r.n_controls) for r in got] \
         == [("COMPLETED", 4), ("BLOCKED", 0), ("BLOCKED", 0)]
-    assert got[2].reason == "Deterministic prevention controls are missing."
+    assert got[2].reason == "There are no controls for this cause."
 
 
 def test_investigation_summary(spark):
@@ -302,8 +304,8 @@ def test_workflow_status(spark, rows):
                                   "incident_key int, strategy_key int, preview_status string")
     got = rows(incidents.workflow_status(seen, chosen, tried), "incident_key", "workflow_status",
                "next_required_action")
-    blocked = ("BLOCKED", "Resolve blocked analysis or simulation prerequisites.")
-    assert got == [(1, "WAITING_FOR_HUMAN_APPROVAL", "Human approval for 7 is required.")] + [
+    blocked = ("BLOCKED", "Clear what blocks the analysis first.")
+    assert got == [(1, "WAITING_FOR_HUMAN_APPROVAL", "A person has to approve 7 now.")] + [
         (i, *blocked) for i in (2, 3, 4, 5)]
 
 
