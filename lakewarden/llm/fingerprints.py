@@ -10,17 +10,18 @@ from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakewarden.llm.components import components
 from lakewarden.llm.text import WordCodes, id_and_text, in_slices
 from lakewarden.session import work_folder
 
 PERMUTATIONS = 128
 SHINGLE = 5
 SIMILAR = 0.8
-BANDS = 16
+# Four values a band: a pair at the limit of similarity meets in none of 32 once in ten million.
+BANDS = 32
 EMPTY = np.uint16(0xFFFF)
 _CODES = WordCodes()
 
@@ -101,6 +102,54 @@ def _binary(rows: np.ndarray) -> pa.Array:
     return pa.array([r.tobytes() for r in rows.astype(">u2")], pa.binary())
 
 
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, class (a hash of the set of shingles), bands and the shingles themselves."""
+    def computed(batches):
+        for ids, texts in in_slices(batches):
+            values, counts = shingles(texts)
+            ends = np.cumsum(counts)
+            sets = [np.unique(values[b - n:b]) for n, b in zip(counts, ends)]
+            rows = signatures(texts).reshape(len(texts), BANDS, -1)
+            bands = [[xxhash.xxh64_intdigest(r.tobytes(), k) - 2 ** 63 for k, r in enumerate(row)] for row in rows]
+            names = [xxhash.xxh64_intdigest(x.tobytes()) - 2 ** 63 for x in sets]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids, pa.int64()), pa.array(names, pa.int64()), pa.array(bands, pa.list_(pa.int64())),
+                 pa.array([x.astype(np.int64) for x in sets], pa.list_(pa.int64()))],
+                names=["doc_id", "class", "bands", "shingles"])
+
+    return id_and_text(docs, id_col, text_col).mapInArrow(
+        computed, "doc_id long, class long, bands array<long>, shingles array<long>")
+
+
+def search(docs: DataFrame, queried: Column | None = None, similar: float = SIMILAR, id_col: str = "doc_id",
+           text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Documents alike to those of a query set, by default the ids divisible by 100.
+
+    Texts with equal shingles are one class.  Signature bands of queried classes are
+    joined with those of all classes, and the Jaccard similarity of each pair that
+    meets is computed from the shingles.  Returns the pairs of classes (query_class,
+    class, jaccard) from ``similar`` up, each class with itself included, and the
+    members (doc_id, class) of all classes; texts without words are one class.
+    """
+    folder = work_folder(docs.sparkSession, "minhash")
+    classes(docs, id_col, text_col).write.parquet(folder)
+    rows = docs.sparkSession.read.parquet(folder)
+    queried = F.col("doc_id") % 100 == 0 if queried is None else queried
+    asked = rows.filter(queried).select("class").distinct()
+    each = rows.dropDuplicates(["class"]).select("class", "bands", "shingles")
+    wanted = each.join(asked, "class", "left_semi")
+    meeting = wanted.select(F.col("class").alias("query_class"), F.explode("bands").alias("band")).join(
+        each.select("class", F.explode("bands").alias("band")), "band").select("query_class", "class").distinct()
+    sets = each.select("class", "shingles")
+    pairs = meeting.join(sets, "class").join(
+        wanted.select(F.col("class").alias("query_class"), F.col("shingles").alias("asked")), "query_class")
+    both = F.size(F.array_intersect("shingles", "asked"))
+    either = F.size("shingles") + F.size("asked") - both
+    jaccard = F.when(either == 0, F.lit(1.0)).otherwise(both / either)
+    return (pairs.select("query_class", "class", jaccard.alias("jaccard")).filter(F.col("jaccard") >= similar),
+            rows.select("doc_id", "class"))
+
+
 def edited(text: str, following: str) -> str:
     """The last quarter of the code points gives way to as many from the start of the next text."""
     m = len(text) // 4

@@ -311,3 +311,22 @@ def test_packing_wastes_little(spark):
     bins = got.groupBy("bin_id").agg(F.max("bin_length").alias("room"), F.sum("length").alias("used"))
     total = bins.agg(F.sum("used") / F.sum("room")).first()[0]
     assert total > 0.95
+
+
+def test_search_finds_all_alike(spark, rough, texts):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    docs = docs.unionByName(rough.filter("doc_id in (2, 3, 4)").selectExpr("doc_id + 10000 as doc_id", "text"))
+    pairs, members = fingerprints.search(docs, F.col("doc_id") % 10 == 0)
+    of = defaultdict(set)
+    for r in members.collect():
+        of[r["class"]].add(r["doc_id"])
+    found = {(a, b): r["jaccard"] for r in pairs.collect() for a in of[r["query_class"]] for b in of[r["class"]]}
+    sets = {i: plain_shingles(t) for i, t in texts(docs)}
+    for i in (i for i in sets if i % 10 == 0):
+        for k, other in sets.items():
+            either = len(sets[i] | other)
+            alike = len(sets[i] & other) / either if either else 1.0
+            assert (alike >= 0.8) == ((i, k) in found)
+            assert alike < 0.8 or found[i, k] == pytest.approx(alike)
+    assert len(found) > len([i for i in sets if i % 10 == 0])
+    assert fingerprints.search(docs.limit(0))[0].count() == 0
