@@ -91,12 +91,17 @@ def check_contract(verdicts: DataFrame) -> DataFrame:
         *_row("schema_contract", F.col("n") == 0, F.col("n"), F.lit(0)))
 
 
-def check_row_count(df: DataFrame, baseline: DataFrame, tolerance: int = 0) -> DataFrame:
-    """Row counts of the table and its baseline differ by at most ``tolerance`` rows."""
+def check_row_count(df: DataFrame, baseline: DataFrame, tolerance: int = 0,
+                    percent: int = 0) -> DataFrame:
+    """Row counts of the table and its baseline differ by at most ``tolerance`` rows.
+
+    ``percent`` of the baseline's rows are allowed too, whichever is more.
+    """
     sides = df.agg(F.count(F.lit(1)).alias("n"), F.lit(0).cast("bigint").alias("b")).union(
         baseline.agg(F.lit(0).cast("bigint"), F.count(F.lit(1))))
     return sides.agg(F.sum("n").alias("n"), F.sum("b").alias("b")).select(
-        *_row("row_count", F.abs(F.col("n") - F.col("b")) <= tolerance, F.col("n"), F.col("b")))
+        *_row("row_count", F.abs(F.col("n") - F.col("b")) * 100 <= F.greatest(
+            F.lit(tolerance * 100), F.col("b") * percent), F.col("n"), F.col("b")))
 
 
 def check_nulls(df: DataFrame, required: Sequence[str]) -> DataFrame:

@@ -42,11 +42,11 @@ def lineage_multi(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What is known of the parts, as a catalogue; the largest parts are not in it."""
+    """What is known of the parts, as a catalogue."""
     part = inputs.table(spark, sf_dir, "part")
     level = (F.when(F.col("p_size") > 33, "HIGH").when(F.col("p_size") > 16, "MEDIUM")
              .otherwise("LOW"))
-    return part.filter("p_size <= 40").select(
+    return part.select(
         F.col("p_partkey").alias("asset"), F.col("p_type").alias("asset_type"),
         level.alias("criticality"))
 
@@ -268,7 +268,7 @@ ORACLES = {
         select start, node as asset, depth, p_type as asset_type,
           case when p_partkey is null then null when p_size > 33 then 'HIGH'
             when p_size > 16 then 'MEDIUM' else 'LOW' end as criticality
-        from reached left join part on p_partkey = node and p_size <= 40
+        from reached left join part on p_partkey = node
         where depth > 0""", recursive=True),
     "risk_score": over("scored", """
         select incident_key, strategy_key, execution_points, runtime_points, data_loss_points,

@@ -236,7 +236,7 @@ def audit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def audit_trail(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events appended as JSON lines in two runs, read back oldest first."""
+    """Events appended as JSON lines in two runs, read back oldest first, and those refused."""
     folder = work_folder(spark, "audit")
     events = _events(spark, sf_dir).select(
         F.col("event_id").cast("string").alias("event_id"),
@@ -246,12 +246,15 @@ def audit_trail(spark: SparkSession, sf_dir: str) -> DataFrame:
         .alias("action"), "status",
         F.create_map(F.lit("props"), F.col("props"), F.lit("token"), F.col("actor"))
         .alias("details"))
-    valid, _ = audit.prepare(events)
-    first = F.col("timestamp") < F.lit("2024-01-16").cast("timestamp")
-    sinks.append_events(valid.filter(first), folder)
-    sinks.append_events(valid.filter(~first), folder)
-    trail = audit.trail(tables.read_events(spark, folder))
-    return plain(trail.select("event_id", "incident_id", "timestamp", "actor", "action", "status",
+    valid, refused = audit.prepare(events)
+    first = F.coalesce(F.col("timestamp") < F.lit("2024-01-16").cast("timestamp"), F.lit(False))
+    for part in (first, ~first):
+        sinks.append_events(valid.filter(part), folder)
+        sinks.quarantine_events(refused.filter(part), folder)
+    kept = audit.trail(tables.read_events(spark, folder)).withColumn("outcome", F.lit("stored"))
+    held = audit.trail(tables.read_events(spark, f"{folder}-quarantine")).withColumn(
+        "outcome", F.lit("quarantined"))
+    return plain(kept.unionByName(held).select("outcome", "event_id", "incident_id", "timestamp", "actor", "action", "status",
                               F.col("details")["props"].alias("props"),
                               F.size("details").alias("n_details")))
 
@@ -569,8 +572,10 @@ ORACLES = {
     "audit_trail": over("audit_events", """
         select cast(event_id as varchar) as event_id,
           concat('INC-20240101-', lpad(cast(incident_key % 1000 as varchar), 3, '0')) as incident_id,
-          ts as timestamp, actor, action, status, props, 1 as n_details
-        from audit_events where event_id % 50 <> 0"""),
+          ts as timestamp, actor, case when event_id % 50 = 0 then 'unheard_of' else action end as action,
+          status, props, 1 as n_details,
+          case when event_id % 50 = 0 then 'quarantined' else 'stored' end as outcome
+        from audit_events"""),
     "resolution_merge": over("incidents audit_events decided", _AUTHORIZED + _STAGES + """
         select i.incident_key, i.incident_id, a.strategy_key, a.authorization_status,
           l.executed_sandbox as executed_at, i.post_execution_status,

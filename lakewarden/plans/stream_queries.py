@@ -43,11 +43,11 @@ def _run_per_arrival(spark: SparkSession, parts: list[DataFrame], purpose: str,
 
 
 def _thirds(events: DataFrame) -> list[DataFrame]:
-    """The events of the month in three parts, by time."""
+    """The events of the month in three parts, by time; those without a time come last."""
     cuts = [F.lit(d).cast("timestamp") for d in ("2024-01-11", "2024-01-21")]
     return [events.filter(F.col("ts") < cuts[0]),
             events.filter((F.col("ts") >= cuts[0]) & (F.col("ts") < cuts[1])),
-            events.filter(F.col("ts") >= cuts[1])]
+            events.filter((F.col("ts") >= cuts[1]) | F.col("ts").isNull())]
 
 
 def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,6 +28,11 @@ def append_events(events: DataFrame, folder: str) -> None:
      .partitionBy("event_date").json(folder))
 
 
+def quarantine_events(events: DataFrame, folder: str) -> None:
+    """Keep refused events beside the log, with ``invalid``: what is wrong with them."""
+    events.write.mode("append").option("timestampFormat", MICROS).json(f"{folder}-quarantine")
+
+
 def write_record(one_row: DataFrame, folder: str) -> None:
     """A single record, such as a scorecard, as one JSON file."""
     one_row.coalesce(1).write.mode("overwrite").json(folder)
