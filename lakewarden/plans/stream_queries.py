@@ -67,33 +67,46 @@ def _resent(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
     return [*_thirds(events), again]
 
 
+def _held_back(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    """As ``_resent``, but the first day's errors arrive with the last part only."""
+    held = F.coalesce((F.col("ts") < F.lit(FIRST_DAY).cast("timestamp"))
+                      & (F.col("event_type") == "error"), F.lit(False))
+    first, *later = _resent(spark, sf_dir)
+    return [first.filter(~held), *later]
+
+
 def _deduplicate(arriving: DataFrame, to: str) -> StreamingQuery:
-    return stream.write_append(stream.deduplicated(arriving, ["event_id"], "ts", "2 days"),
-                               f"{to}/rows", f"{to}/checkpoint")
+    stream.write_split(arriving, "ts", "2 days", to, f"{to}/split")
+    on_time = stream.read_on_time(arriving.sparkSession, to, arriving.schema)
+    return stream.write_append(stream.deduplicated(on_time, ["event_id"], "ts", "2 days"),
+                               f"{to}/kept", f"{to}/checkpoint")
 
 
 def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events sent again are dropped: recent ones as copies, old ones as late."""
+    """Events sent again are dropped: recent ones as copies, old ones go to a side table."""
     folder, _ = _run_per_arrival(spark, _resent(spark, sf_dir), "dedup", _deduplicate)
-    return plain(spark.read.parquet(f"{folder}/rows"))
+    return plain(spark.read.parquet(f"{folder}/kept"))
 
 
 def stream_late(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many rows came later than the watermark allows, per run."""
-    _, runs = _run_per_arrival(spark, _resent(spark, sf_dir), "late", _deduplicate)
-    counts = [(i, sum(n for _, n in stream.dropped_as_late(q))) for i, q in enumerate(runs)]
-    return spark.createDataFrame(counts, "run int, late_rows bigint")
+    """Rows that came later than allowed, per micro-batch, and those never seen in time."""
+    schema = _events(spark, sf_dir).schema
+    folder, _ = _run_per_arrival(spark, _held_back(spark, sf_dir), "late", _deduplicate)
+    kept = spark.read.parquet(f"{folder}/kept")
+    return stream.late_counts(spark, folder, schema, kept, ["event_id"])
 
 
 def stream_window_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Audit events per day and action, kept up to date while they arrive."""
     def count(arriving: DataFrame, to: str) -> StreamingQuery:
-        counted = stream.window_counts(arriving, "ts", "1 day", ["action"], "3 days")
-        return stream.write_updates(counted, f"{to}/rows", f"{to}/checkpoint")
+        stream.write_split(arriving, "ts", "3 days", to, f"{to}/split", "1 day")
+        on_time = stream.read_on_time(spark, to, arriving.schema)
+        counted = stream.window_counts(on_time, "ts", "1 day", ["action"], "3 days")
+        return stream.write_updates(counted, f"{to}/counts", f"{to}/checkpoint")
 
     folder, _ = _run_per_arrival(spark, _thirds(inputs.audit_events(spark, sf_dir)), "windows",
                                  count)
-    return plain(stream.latest_update(spark, f"{folder}/rows", ["window_start", "action"],
+    return plain(stream.latest_update(spark, f"{folder}/counts", ["window_start", "action"],
                                       "n_events"))
 
 
@@ -139,9 +152,11 @@ ORACLES = {
         from events""",
     "stream_dedup": "select * from events",
     "stream_late": f"""
-        select run, case when run = 3 then n else 0 end as late_rows
-        from (select count(*) as n from events where ts < timestamp '{FIRST_DAY}'),
-          (values (0), (1), (2), (3)) t(run)""",
+        select batch::int as batch, case when batch = 3 then n else 0 end as late_rows,
+          case when batch = 3 then held else 0 end as new_keys
+        from (select count(*) as n, count(*) filter (where event_type = 'error') as held
+              from events where ts < timestamp '{FIRST_DAY}'),
+          (values (0), (1), (2), (3)) t(batch)""",
     "stream_window_counts": over("audit_events", """
         select date_trunc('day', ts) as window_start, action, count(*) as n_events
         from audit_events group by all"""),

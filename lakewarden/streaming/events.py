@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import StructType
+from pyspark.sql.types import BooleanType, IntegerType, StructField, StructType
 
 from lakewarden.operators import rules
 from lakewarden.operators.rules import Rule
@@ -40,7 +40,7 @@ def utc(column: str) -> Column:
 def deduplicated(stream: DataFrame, keys: Sequence[str], time: str, delay: str) -> DataFrame:
     """First row per key; copies within ``delay`` are dropped, and so are later ones, as late.
 
-    State is kept for ``delay`` only.
+    State is kept for ``delay`` only.  Behind ``write_split`` nothing is late here.
     """
     return stream.withWatermark(time, delay).dropDuplicatesWithinWatermark(list(keys))
 
@@ -113,12 +113,73 @@ def total_scorecard(spark: SparkSession, folder: str) -> DataFrame:
     return batches.agg(*[F.sum(c).alias(c) for c in batches.columns])
 
 
-def dropped_as_late(query: StreamingQuery) -> list[tuple[int, int]]:
-    """Per recent micro-batch, the rows that stateful operators dropped as late.
+# Late rows ----------------------------------------------------------------------
 
-    For ``deduplicated`` these are input rows; in a grouped aggregation Spark counts
-    partially aggregated groups instead.  The numbers are Spark's monitoring
-    counters: they cover the last hundred batches, and repeated tasks may add to them.
+def write_split(stream: DataFrame, time: str, delay: str, folder: str, checkpoint: str,
+                width: str | None = None) -> StreamingQuery:
+    """Store the rows of every micro-batch with a column ``late``, so that none is lost.
+
+    A row is late if its time lies ``delay`` or more behind the latest time of the
+    batches before it: the bound of a watermark, but taken from the data.  With a
+    window ``width`` the end of the row's tumbling window counts instead of its time,
+    and a row without a time, which no window holds, is set aside with the late ones;
+    otherwise it is kept.  Beside the rows, each batch stores the latest time so far
+    in ``<folder>/marks``, which the next batch reads.  Both are replaced when the
+    batch runs again.
+    """
+    spark = stream.sparkSession
+    rows_in, marks_in = f"{folder}/rows", f"{folder}/marks"
+
+    def marked(rows: DataFrame, bound: Column) -> DataFrame:
+        if not width:
+            return rows.withColumn("late", F.coalesce(F.col(time) <= bound, F.lit(False)))
+        # The window function drops rows without a time; those take another way.
+        ends = rows.withColumn("_end", F.window(time, width)["end"])
+        late = ends.withColumn("late", F.coalesce(F.col("_end") <= bound, F.lit(False)))
+        return late.drop("_end").unionByName(
+            rows.filter(F.col(time).isNull()).withColumn("late", F.lit(True)))
+
+    def write(rows: DataFrame, batch: int) -> None:
+        seen = (spark.read.schema("mark timestamp").parquet(f"{marks_in}/batch={batch - 1}")
+                .first()["mark"] if batch else None)
+        bound = F.lit(seen).cast("timestamp") - F.expr(f"interval '{delay}'")
+        (marked(rows, bound).write.mode("overwrite").partitionBy("late")
+         .parquet(f"{rows_in}/batch={batch}"))
+        stored = spark.read.schema(rows.schema).parquet(f"{rows_in}/batch={batch}")
+        (stored.agg(F.greatest(F.max(time), F.lit(seen).cast("timestamp")).alias("mark"))
+         .write.mode("overwrite").parquet(f"{marks_in}/batch={batch}"))
+
+    return _run(stream.writeStream.foreachBatch(write), checkpoint)
+
+
+def _split_schema(schema: StructType) -> StructType:
+    return StructType([*schema.fields, StructField("batch", IntegerType()),
+                       StructField("late", BooleanType())])
+
+
+def read_on_time(spark: SparkSession, folder: str, schema: StructType) -> DataFrame:
+    """The rows behind ``write_split`` that were not late, as a stream."""
+    return (spark.readStream.schema(_split_schema(schema)).parquet(f"{folder}/rows")
+            .filter(~F.col("late")).drop("batch", "late"))
+
+
+def late_rows(spark: SparkSession, folder: str, schema: StructType) -> DataFrame:
+    """The side table behind ``write_split``: late rows with their ``batch``."""
+    return (spark.read.schema(_split_schema(schema)).parquet(f"{folder}/rows")
+            .filter("late").drop("late"))
+
+
+def late_counts(spark: SparkSession, folder: str, schema: StructType, kept: DataFrame,
+                keys: Sequence[str]) -> DataFrame:
+    """Per micro-batch, its late rows, and how many of their keys ``kept`` does not hold.
+
+    Both are counted from stored rows.
     """
-    return [(p["batchId"], sum(s["numRowsDroppedByWatermark"] for s in p["stateOperators"]))
-            for p in query.recentProgress]
+    batches = spark.read.schema(_split_schema(schema)).parquet(f"{folder}/rows")
+    late = batches.filter("late").select("batch", *keys)
+    lost = (late.distinct().join(kept.select(*keys).distinct(), list(keys), "left_anti")
+            .groupBy("batch").agg(F.count(F.lit(1)).alias("new_keys")))
+    zero = F.lit(0).cast("bigint")
+    return (batches.groupBy("batch").agg(F.count_if("late").alias("late_rows"))
+            .join(lost, "batch", "left")
+            .select("batch", "late_rows", F.coalesce("new_keys", zero).alias("new_keys")))

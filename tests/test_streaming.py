@@ -22,18 +22,60 @@ def source(spark, folder):
     return stream.read_files(spark, f"{folder}/in", SCHEMA)
 
 
-def test_dedup_across_restarts(spark, folder):
-    def run():
-        return stream.write_append(stream.deduplicated(source(spark, folder), ["id"], "ts",
-                                                       "10 minutes"),
-                                   f"{folder}/out", f"{folder}/checkpoint")
-    arrive(spark, folder, (1, 0, "a"), (2, 100, "a"))
-    run()
-    arrive(spark, folder, (1, 0, "a"), (2, 100, "a"), (3, 101, "b"))
-    late = sum(n for _, n in stream.dropped_as_late(run()))
-    run()  # nothing new
-    assert sorted(r.id for r in spark.read.parquet(f"{folder}/out").collect()) == [1, 2, 3]
-    assert late == 1
+def run_dedup(spark, folder, files_per_batch=None):
+    arriving = stream.read_files(spark, f"{folder}/in", SCHEMA, files_per_batch)
+    stream.write_split(arriving, "ts", "10 minutes", folder, f"{folder}/split")
+    on_time = stream.read_on_time(spark, folder, arriving.schema)
+    stream.write_append(stream.deduplicated(on_time, ["id"], "ts", "10 minutes"),
+                        f"{folder}/out", f"{folder}/checkpoint")
+    return arriving.schema
+
+
+def test_late_rows_go_to_a_side_table(spark, folder, rows):
+    arrive(spark, folder, (1, 0, "a"), (2, 100, "a"), (9, None, "a"))
+    run_dedup(spark, folder)
+    # A copy, a row at the bound and one before it, and new rows.
+    arrive(spark, folder, (1, 0, "a"), (2, 100, "a"), (3, 101, "b"), (4, 90, "b"), (5, 91, "b"), (5, 91, "b"))
+    schema = run_dedup(spark, folder)
+    run_dedup(spark, folder)  # nothing new
+    out = spark.read.parquet(f"{folder}/out")
+    assert [r[0] for r in rows(out, "id")] == [1, 2, 3, 5, 9]
+    assert rows(stream.late_rows(spark, folder, schema), "batch", "id") == [(1, 1), (1, 4)]
+    assert rows(stream.late_counts(spark, folder, schema, out, ["id"])) == [(0, 0, 0), (1, 2, 1)]
+
+
+def test_late_rows_of_more_than_a_hundred_batches(spark, folder, rows):
+    """Every third file holds a row that is late; all are counted."""
+    n = 105
+    (spark.range(n).repartitionByRange(n, "id").select(
+        F.col("id").cast("int").alias("id"),
+        F.timestamp_seconds(F.when(F.col("id") % 3 == 2, 0).otherwise(F.col("id") * 60) + 864000).alias("ts"),
+        F.lit("a").alias("kind")).write.parquet(f"{folder}/in"))
+    schema = run_dedup(spark, folder, 1)
+    got = stream.late_rows(spark, folder, schema)
+    in_order, top, want = [r.id for r in spark.read.schema(_with_batch(schema)).parquet(f"{folder}/rows")
+                           .orderBy("batch").collect()], None, []
+    for i in in_order:
+        minute = 0 if i % 3 == 2 else i
+        if top is not None and minute <= top - 10:
+            want.append(i)
+        top = minute if top is None else max(top, minute)
+    assert len(in_order) == n and len(want) > 20
+    assert [r[0] for r in rows(got.select(F.format_string("%03d", "id")))] == [f"{i:03d}" for i in sorted(want)]
+
+
+def _with_batch(schema):
+    return stream._split_schema(schema)
+
+
+def test_window_split_sets_rows_without_a_time_aside(spark, folder, rows):
+    arrive(spark, folder, (1, 0, "a"), (2, 300, "a"), (3, None, "a"))
+    for _ in range(2):
+        arriving = source(spark, folder)
+        stream.write_split(arriving, "ts", "2 hours", folder, f"{folder}/split", "1 hour")
+        # The window of minute 130 ends at 180, the bound, that of minute 190 after it.
+        arrive(spark, folder, (4, 130, "a"), (5, 190, "a"))
+    assert rows(stream.late_rows(spark, folder, arriving.schema), "batch", "id") == [(0, 3), (1, 4)]
 
 
 def test_window_counts(spark, folder, rows):
