@@ -17,9 +17,8 @@ def _holds(condition: Column) -> Column:
     return F.coalesce(condition, F.lit(False))
 
 
-def approval_state(events: DataFrame, verified: DataFrame, chunk: Column,
-                   incident: str = "incident_key", time: str = "ts",
-                   order: str = "event_id") -> DataFrame:
+def approval_state(events: DataFrame, verified: DataFrame, incident: str = "incident_key",
+                   time: str = "ts", order: str = "event_id") -> DataFrame:
     """Fold the approval events of each incident into its present state.
 
     A request opens the decision, and its own status says for good whether it may be
@@ -27,11 +26,12 @@ def approval_state(events: DataFrame, verified: DataFrame, chunk: Column,
     after it closes it until the next request.  The first approval while it is open
     sticks, if the request passed; otherwise, or if it was logged as BLOCKED itself, it
     is a blocked attempt, which counts whenever a request is open, and the decision
-    stays open.  Decisions without an open request have no effect.  A rejection logged as BLOCKED is such an attempt, not a
-    decision.  Execution also needs the verification to stand now.
+    stays open.  Decisions without an open request have no effect.  A rejection logged
+    as BLOCKED is such an attempt, not a decision.  Execution also needs the
+    verification to stand now.
 
     ``events`` has ``action``, ``status`` and ``actor``; ``verified`` one row per
-    incident with ``verification_passed``.  ``chunk`` rises with time (see ``scan``).
+    incident with ``verification_passed``.
     """
     action, status = F.col("action"), F.col("status")
     moment = F.struct(F.col(time), F.col(order))
@@ -44,7 +44,7 @@ def approval_state(events: DataFrame, verified: DataFrame, chunk: Column,
     passed = _holds(request & (status == "PASSED"))
     last_turn = F.when(request | reject, F.struct(
         moment.alias("at"), request.alias("open"), passed.alias("passed")))
-    seen = scan.running_max(turns, [incident], [time, order], chunk, last_turn, "_before")
+    seen = scan.running_max(turns, [incident], [time, order], last_turn, "_before")
     open_ = _holds(F.col("_before.open"))
     grants = approve & open_
     valid = grants & _holds(F.col("_before.passed")) & ~_holds(status == "BLOCKED")

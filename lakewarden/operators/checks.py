@@ -44,14 +44,14 @@ def unaccepted_values(df: DataFrame, accepted: Mapping[str, Sequence[str]]) -> D
             .agg(F.count(F.lit(1)).alias("n")))
 
 
-def late_rows(df: DataFrame, keys: Sequence[str], arrival: Sequence[str], chunk: Column,
-              event_time: str, allowed: str = "0 seconds") -> DataFrame:
+def late_rows(df: DataFrame, keys: Sequence[str], arrival: Sequence[str], event_time: str,
+              allowed: str = "0 seconds") -> DataFrame:
     """Rows whose event time lies behind the latest one that arrived before for the key.
 
     ``allowed`` is the lateness that is still accepted.  Adds ``seen_until``, the
     highest event time before the row, and the boolean ``late``.
     """
-    out = scan.running_max(df, keys, arrival, chunk, F.col(event_time), "seen_until")
+    out = scan.running_max(df, keys, arrival, F.col(event_time), "seen_until")
     bound = F.col("seen_until") - F.expr(f"interval '{allowed}'")
     return out.withColumn("late", F.coalesce(F.col(event_time) < bound, F.lit(False)))
 

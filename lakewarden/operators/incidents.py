@@ -11,7 +11,6 @@ from lakewarden import fixed
 from lakewarden.functions import collections as C
 from lakewarden.functions import columns as X
 from lakewarden.operators import contract
-from lakewarden.operators.lookup import salted_lookup
 
 
 def listing(incidents: DataFrame) -> DataFrame:
@@ -233,7 +232,7 @@ def similar_groups(memories: DataFrame, incident: str = "incident_key") -> DataF
         incident, F.col("recovery.verification_completed").alias("verified"),
         C.fingerprint(F.col("incident_signature")).alias("signature_id"))
     groups = rows.groupBy("signature_id").agg(F.count_if("verified").alias("_verified_n"))
-    return salted_lookup(rows, groups, ["signature_id"], [incident], "left").select(
+    return rows.join(groups, "signature_id", "left").select(
         incident, "signature_id", "verified",
         (F.col("_verified_n") - F.col("verified").cast("bigint")).alias("similar_verified"))
 

@@ -15,7 +15,6 @@ from lakewarden import fixed
 from lakewarden.functions import collections as C
 from lakewarden.functions import columns as X
 from lakewarden.operators import scan
-from lakewarden.operators.lookup import salted_lookup
 
 LOSER_COLUMNS = ["risk_score", "risk_classification", "data_loss_risk", "scope_size"]
 
@@ -73,18 +72,14 @@ def _preference(strategy: str) -> list[Column]:
     return [F.asc_nulls_last("risk_score"), F.asc("scope_size"), F.asc(strategy)]
 
 
-def rank(scored: DataFrame, incident: str = "incident_key", strategy: str = "strategy_key",
-         ids_per_chunk: int = 100_000) -> DataFrame:
+def rank(scored: DataFrame, incident: str = "incident_key",
+         strategy: str = "strategy_key") -> DataFrame:
     """Position of every strategy of an incident; 1 is the best.
 
-    Scanned in chunks of equal score and scope and a range of strategy numbers (of
-    text ids: a common beginning), so an incident with very many strategies is not
-    one task's work.
+    Ids may be numbers or texts.  An incident with very many strategies is not one
+    task's work (see ``scan``).
     """
-    text = dict(scored.dtypes)[strategy] == "string"
-    near = F.substring(strategy, 1, 8) if text else F.floor(F.col(strategy) / ids_per_chunk)
-    chunk = F.struct(F.col("risk_score").isNull(), F.col("risk_score"), F.col("scope_size"), near)
-    return scan.row_numbers(scored, [incident], _preference(strategy), chunk, "strategy_rank")
+    return scan.row_numbers(scored, [incident], _preference(strategy), "strategy_rank")
 
 
 def decide(scored: DataFrame, incident: str = "incident_key", strategy: str = "strategy_key",
@@ -118,7 +113,7 @@ def rejected(scored: DataFrame, incident: str = "incident_key",
         incident, F.col(f"recommended_{strategy}").alias("_won"),
         *[F.col(c).alias(f"_won_{c}") for c in LOSER_COLUMNS])
     all_rows = scored.select(incident, strategy, *LOSER_COLUMNS)
-    both = salted_lookup(all_rows, won, [incident], [strategy]).filter(
+    both = all_rows.join(won, incident).filter(
         F.col("_won").isNotNull() & (F.col(strategy) != F.col("_won")))
     risk, best = F.col("risk_score"), F.col("_won_risk_score")
 

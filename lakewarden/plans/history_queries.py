@@ -153,7 +153,7 @@ def investigation_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _state(spark: SparkSession, sf_dir: str) -> DataFrame:
     verified = inputs.incidents(spark, sf_dir).select(
         INCIDENT, (F.col("post_execution_status") == "PASSED").alias("verification_passed"))
-    return approvals.approval_state(_events(spark, sf_dir), verified, F.to_date("ts"))
+    return approvals.approval_state(_events(spark, sf_dir), verified)
 
 
 def approval_state(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -46,7 +46,7 @@ def test_approval_fold(spark, seed):
     ).withColumn("ts", F.timestamp_seconds(F.col("m") * 60))
     verified = spark.createDataFrame(list(passed.items()),
                                      "incident_key int, verification_passed boolean")
-    out = approvals.approval_state(events, verified, F.floor(F.col("m") / 50))
+    out = approvals.approval_state(events, verified)
     got = {r.incident_key: (r.approval_status, r.approved_by, r.blocked_attempts)
            for r in out.collect()}
     per = defaultdict(list)
@@ -123,8 +123,8 @@ def test_latest_late_and_rank(spark):
                       for k in (1, 2, 3)}
 
     times = df.withColumn("t", F.timestamp_seconds("s"))
-    late = checks.late_rows(times, ["incident_key"], ["strategy_key"],
-                            F.floor(F.col("strategy_key") / 30), "t", "5 seconds")
+    late = checks.late_rows(times, ["incident_key"], ["strategy_key"], "t",
+                            "5 seconds")
     seen, want = {}, set()
     for i, k, s, *_ in data:
         if k in seen and s < seen[k] - 5:
@@ -132,7 +132,7 @@ def test_latest_late_and_rank(spark):
         seen[k] = max(s, seen.get(k, s))
     assert {r.strategy_key for r in late.filter("late").collect()} == want
 
-    place = {r.strategy_key: r.strategy_rank for r in risk.rank(df, ids_per_chunk=10).collect()}
+    place = {r.strategy_key: r.strategy_rank for r in risk.rank(df).collect()}
     for k in (1, 2, 3, None):
         mine = sorted((r for r in data if r[1] == k),
                       key=lambda r: (r[3] is None, r[3] or 0, r[4], r[0]))

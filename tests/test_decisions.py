@@ -99,7 +99,7 @@ def test_decision(spark, records, best, margin, confidence):
 
 def test_rank_is_total(spark, rows):
     data = [(1, s, s % 3, s % 2) for s in range(30)] + [(1, 99, None, 0), (2, 1, 5, 5)]
-    got = rows(risk.rank(scored(spark, *data), ids_per_chunk=4), "incident_key", "strategy_rank",
+    got = rows(risk.rank(scored(spark, *data)), "incident_key", "strategy_rank",
                "strategy_key")
     order = sorted(data[:30], key=lambda r: (r[2], r[3], r[1]))
     assert sorted(got) == [(1, i + 1, r[1]) for i, r in enumerate(order)] + [(1, 31, 99), (2, 1, 1)]

@@ -21,13 +21,11 @@ def log(spark, *steps):
         "ts", F.timestamp_seconds(F.col("event_id") * 60))
 
 
-def state(spark, steps, passed=True, chunk=60):
+def state(spark, steps, passed=True):
     verified = spark.createDataFrame([(1, passed)], "incident_key int, verification_passed boolean")
-    return approvals.approval_state(log(spark, *steps), verified,
-                                    F.floor(F.unix_seconds("ts") / chunk)).collect()
+    return approvals.approval_state(log(spark, *steps), verified).collect()
 
 
-@pytest.mark.parametrize("chunk", [60, 100_000])
 @pytest.mark.parametrize("steps,passed,want", [
     ([(ASK, "PASSED", "x")], True, ("PENDING", None, 0)),
     ([(ASK, "PASSED", "x"), (YES, "PASSED", "ann")], True, ("APPROVED", "ann", 0)),
@@ -49,8 +47,8 @@ def state(spark, steps, passed=True, chunk=60):
      ("APPROVED", "bob", 1)),
     ([(YES, "PASSED", "ann")], True, ("NOT_REQUESTED", None, 0)),
 ])
-def test_approval_fold(spark, steps, passed, want, chunk):
-    got = state(spark, steps, passed, chunk)[0]
+def test_approval_fold(spark, steps, passed, want):
+    got = state(spark, steps, passed)[0]
     assert (got.approval_status, got.approved_by, got.blocked_attempts) == want
     assert got.execution_allowed is (want[0] == "APPROVED" and passed is True)
 

@@ -47,6 +47,6 @@ def test_approval_counts_as_of_its_request(spark, asked, granted, state, refused
         "event_id int, incident_key int, s int, action string, status string, actor string").withColumn(
         "ts", F.timestamp_seconds("s"))
     verified = spark.createDataFrame([(7, True)], "incident_key int, verification_passed boolean")
-    got = approvals.approval_state(events, verified, F.to_date("ts")).first()
+    got = approvals.approval_state(events, verified).first()
     assert (got["approval_status"], got["blocked_attempts"]) == (state, refused)
     assert got["execution_allowed"] == (state == "APPROVED")

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lakewarden import fixed
-from lakewarden.operators import dedup, lookup, rules, scan
+from lakewarden.operators import dedup, risk, rules, scan
 from lakewarden.plans import medallion
 from lakewarden.sources import tables
 
@@ -37,13 +37,13 @@ def test_hot_key_is_cut_down_before_the_shuffle(spark):
     assert "row_number(), 1, Partial" in plan
 
 
-@pytest.mark.parametrize("width", [1, 3, 1000])
-def test_running_max_does_not_depend_on_chunks(spark, rows, width):
-    rng = random.Random(width)
+@pytest.mark.parametrize("partitions", [1, 7, 100])
+def test_running_max_does_not_depend_on_chunks(spark, rows, partitions):
+    rng = random.Random(partitions)
     data = [(rng.choice([1, 2, None]), i, rng.choice([None, rng.randint(0, 50)]))
             for i in range(200)]
     df = spark.createDataFrame(data, "k int, i int, v int")
-    got = rows(scan.running_max(df, ["k"], ["i"], F.floor(F.col("i") / width), F.col("v"), "m"))
+    got = rows(scan.running_max(df, ["k"], ["i"], F.col("v"), "m", partitions))
     seen, want = {}, []
     for k, i, v in data:
         want.append((k, i, v, seen.get(k)))
@@ -52,11 +52,11 @@ def test_running_max_does_not_depend_on_chunks(spark, rows, width):
     assert got == sorted(want, key=lambda r: tuple((x is None, str(x)) for x in r))
 
 
-@pytest.mark.parametrize("width", [1, 7, 1000])
-def test_row_numbers(spark, rows, width):
+@pytest.mark.parametrize("partitions", [1, 7, 100])
+def test_row_numbers(spark, rows, partitions):
     data = [(k, i) for k in (1, None) for i in range(50)]
     df = spark.createDataFrame(data, "k int, i int").repartition(5)
-    got = rows(scan.row_numbers(df, ["k"], [F.asc("i")], F.floor(F.col("i") / width), "n"))
+    got = rows(scan.row_numbers(df, ["k"], [F.asc("i")], "n", partitions))
     assert all(n == i + 1 for _, i, n in got) and len(got) == 100
 
 
@@ -64,7 +64,7 @@ def test_scan_shuffles_the_rows_once(spark):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         df = spark.range(1000).select((F.col("id") % 3).alias("k"), F.col("id").alias("i"))
-        out = scan.running_max(df, ["k"], ["i"], F.floor(F.col("i") / 10), F.col("i"), "m")
+        out = scan.running_max(df, ["k"], ["i"], F.col("i"), "m")
         out.collect()
         plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
         # chunk summaries, summaries by key, and rows with the carried values by chunk
@@ -73,15 +73,24 @@ def test_scan_shuffles_the_rows_once(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
-@pytest.mark.parametrize("how", ["inner", "left"])
-def test_salted_lookup_equals_a_join(spark, rows, how):
-    many = spark.range(300).select(F.when(F.col("id") % 3 == 0, 1).otherwise(F.col("id") % 5)
-                                   .alias("k"), "id")
-    one = spark.createDataFrame([(1, "a"), (2, "b"), (9, "c")], "k bigint, v string")
-    assert rows(lookup.salted_lookup(many, one, ["k"], ["id"], how), "k", "id", "v") \
-        == rows(many.join(one, "k", how), "k", "id", "v")
-    with pytest.raises(ValueError):
-        lookup.salted_lookup(many, one, ["k"], ["id"], "full")
+def test_chunks_of_a_hot_key_shrink_as_partitions_rise(spark):
+    """A third of the rows share a key, and most of those a day."""
+    df = spark.range(30_000).select(
+        F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("k"),
+        F.when(F.col("id") % 10 < 9, 5).otherwise(F.col("id") % 50).alias("day"), "id")
+    largest = []
+    for partitions in (4, 16, 64):
+        parts = scan._chunked(df, ["k"], [F.col("day"), F.col("id")], F.lit(1), partitions)
+        largest.append(parts.groupBy("_part").count().agg(F.max("count")).first()[0])
+    assert largest[0] > 2 * largest[1] > 4 * largest[2]
+
+
+def test_rank_of_text_ids(spark, rows):
+    data = [(1, f"REC-{i:03d}", i % 4, 1) for i in range(40)]
+    df = spark.createDataFrame(data, "incident_key int, strategy_key string, risk_score bigint, scope_size bigint")
+    want = sorted(data, key=lambda r: (r[2], r[1]))
+    got = risk.rank(df).orderBy("strategy_rank").collect()
+    assert [(r.strategy_rank, r.strategy_key) for r in got] == [(i + 1, r[1]) for i, r in enumerate(want)]
 
 
 def test_rules_run_in_order(spark, rows):
