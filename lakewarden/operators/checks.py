@@ -136,6 +136,24 @@ def check_freshness(df: DataFrame, time: str, as_of: str, sla: str) -> DataFrame
         *_row("freshness", F.col("t") >= bound, F.col("t"), bound))
 
 
+def check_table(df: DataFrame, baseline: DataFrame, required: Sequence[str], time: str, as_of: str,
+                sla: str, tolerance: int = 0, percent: int = 0) -> DataFrame:
+    """Row count, null check and freshness, as three rows from one pass over each table."""
+    missing = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in required])
+    zero = F.lit(0).cast("bigint")
+    sides = df.agg(F.count(F.lit(1)).alias("n"), zero.alias("b"), F.count_if(missing).alias("m"),
+                   F.max(time).cast("timestamp").alias("t")).union(
+        baseline.agg(zero, F.count(F.lit(1)), zero, F.lit(None).cast("timestamp")))
+    n, b, m, t = [F.col(c) for c in "nbmt"]
+    bound = F.lit(as_of).cast("timestamp") - F.expr(f"interval '{sla}'")
+    near = F.abs(n - b) * 100 <= F.greatest(F.lit(tolerance * 100), b * percent)
+    found = sides.agg(F.sum("n").alias("n"), F.sum("b").alias("b"), F.sum("m").alias("m"),
+                      F.max("t").alias("t"))
+    return found.select(F.inline(F.array(*[F.struct(*columns) for columns in (
+        _row("row_count", near, n, b), _row("null_check", m == 0, m, F.lit(0)),
+        _row("freshness", t >= bound, t, bound))])))
+
+
 def run(checks: Sequence[DataFrame]) -> DataFrame:
     """All checks in one table."""
     return reduce(DataFrame.unionByName, checks)

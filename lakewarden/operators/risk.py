@@ -138,7 +138,12 @@ def rejected(scored: DataFrame, incident: str = "incident_key",
 
 def factors(scored: DataFrame, incident: str = "incident_key",
             strategy: str = "strategy_key") -> DataFrame:
-    """What spoke for the recommended strategy of each incident, as texts."""
+    """What spoke for the recommended strategy of each incident, as texts.
+
+    Rows that went through ``critical_scope`` add the critical assets in scope.
+    """
+    critical = "business_critical_assets_in_scope"
+    keep = [critical] if critical in scored.columns else []
     evaluated = scored.groupBy(incident).agg(F.count("risk_score").alias("evaluated"))
     best = F.col(f"recommended_{strategy}").cast("string")
     reasons = F.array(
@@ -147,8 +152,11 @@ def factors(scored: DataFrame, incident: str = "incident_key",
                  F.lit(" rated strategies.")),
         F.concat(best, F.lit(" scope: "), F.col("scope_size"), F.lit(" assets.")),
         F.concat(F.lit("Data-loss risk for "), best, F.lit(" is '"), F.col("data_loss_risk"),
-                 F.lit("'.")))
-    return (decide(scored, incident, strategy).filter(best.isNotNull())
+                 F.lit("'.")),
+        *[F.concat(F.lit("Critical assets in scope of "), best, F.lit(": "),
+                   F.when(F.size(c) > 0, F.array_join(c, ", ")).otherwise("none"), F.lit("."))
+          for c in keep])
+    return (decide(scored, incident, strategy, keep).filter(best.isNotNull())
             .join(evaluated, incident).select(incident, "evaluated", reasons.alias("factors")))
 
 

@@ -105,6 +105,14 @@ def strategy_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
                              "risk_classification", "business_critical_assets_in_scope"))
 
 
+def decision_critical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What spoke for the choice among the known strategies, with the critical assets."""
+    rows = risk.score(risk.candidates(inputs.incidents(spark, sf_dir).select(INCIDENT)))
+    rows = risk.critical_scope(rows, [a for a, *_ in fixed.IMPACT_CATALOGUE])
+    out = risk.factors(rows, strategy="strategy_id")
+    return plain(out.withColumn("factors", F.array_join("factors", " ")))
+
+
 def decision_tradeoffs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The choice among the known strategies, and what it leaves as it is."""
     rows = risk.score(risk.candidates(inputs.incidents(spark, sf_dir).select(INCIDENT)))
@@ -165,6 +173,7 @@ QUERIES = {
     "decision_confidence": decision_confidence,
     "decision_rejected": decision_rejected,
     "decision_factors": decision_factors,
+    "decision_critical": decision_critical,
     "strategy_candidates": strategy_candidates,
     "decision_tradeoffs": decision_tradeoffs,
     "decision_audit": decision_audit,
@@ -311,6 +320,14 @@ ORACLES = {
           risk_classification,
           'customer_gold_pipeline,gold.customer_summary' as business_critical_assets_in_scope
         from incidents, templates"""),
+    "decision_critical": over("incidents", _TEMPLATES + """
+        select incident_key, cast(n as bigint) as evaluated, concat(strategy_id,
+          ' has the least risk (', risk_score, ', ', risk_classification, ') among ', n,
+          ' rated strategies. ', strategy_id, ' scope: ', scope_size,
+          ' assets. Data-loss risk for ', strategy_id, ' is ''LOW''. Critical assets in scope of ',
+          strategy_id, ': customer_gold_pipeline, gold.customer_summary.') as factors
+        from incidents, (select *, count(*) over () as n from templates)
+        where strategy_id = 'REC-002'"""),
     "decision_tradeoffs": over("incidents", """
         select incident_key, 'REC-002' as recommended_strategy_id, cast(8 as bigint) as risk_score,
           cast(3 as bigint) as margin, 'HIGH' as confidence,

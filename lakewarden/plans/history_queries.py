@@ -16,6 +16,7 @@ from lakewarden.session import work_folder
 from lakewarden.sources import sinks, tables
 
 INCIDENT, STRATEGY = "incident_key", "strategy_key"
+ASKED_INCIDENT = "INC-20240101-002"
 NOW = "2024-02-01 00:00:00"
 
 
@@ -307,6 +308,11 @@ def similar_incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return incidents.similar_groups(_memory(spark, sf_dir)).drop("signature_id")
 
 
+def similar_partners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verified incidents that are like one given incident."""
+    return incidents.similar_to(_memory(spark, sf_dir), ASKED_INCIDENT)
+
+
 def prevention_controls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return incidents.controls(_classified(spark, sf_dir), [INCIDENT])
 
@@ -338,6 +344,7 @@ QUERIES = {
     "orphan_artifacts": orphan_artifacts,
     "memory_facts": memory_facts,
     "similar_incidents": similar_incidents,
+    "similar_partners": similar_partners,
     "prevention_controls": prevention_controls,
     "prevention_status": prevention_status,
 }
@@ -600,6 +607,12 @@ ORACLES = {
             (partition by error_type, unexpected_columns)
             - case when verification_completed then 1 else 0 end as bigint) as similar_verified
         from memory"""),
+    "similar_partners": over("incidents strategies decided", _MEMORY + f"""
+        select o.incident_id, o.incident_type, o.pipeline, o.selected_strategy
+        from memory o, memory m
+        where m.incident_id = '{ASKED_INCIDENT}' and o.incident_id <> m.incident_id
+          and o.verification_completed and o.error_type = m.error_type
+          and o.unexpected_columns = m.unexpected_columns"""),
     "prevention_controls": over("incidents", """
         select incident_key, 'SCHEMA_CONTRACT_VIOLATION' as classification, control_id,
           control_name, control_type, "trigger"

@@ -249,13 +249,12 @@ def _suite(spark: SparkSession, sf_dir: str) -> DataFrame:
         contract.diff(contract.schema_rows(spark, {"orders": after}), agreed), agreed)
     return checks.run([
         checks.check_contract(verdicts),
-        checks.check_row_count(after, before),
-        checks.check_nulls(after, ["o_orderkey", "o_custkey", "o_orderstatus"]),
+        checks.check_table(after, before, ["o_orderkey", "o_custkey", "o_orderstatus"],
+                           "o_orderdate", inputs.AS_OF, "1000 days"),
         checks.check_duplicates(after, ORDER_KEYS),
         checks.check_references(inputs.table(spark, sf_dir, "lineitem"), "l_orderkey", after,
                                 "o_orderkey"),
-        checks.check_rederived(_customer_totals(before), _customer_totals(after)),
-        checks.check_freshness(after, "o_orderdate", inputs.AS_OF, "1000 days")])
+        checks.check_rederived(_customer_totals(before), _customer_totals(after))])
 
 
 def checklist(spark: SparkSession, sf_dir: str) -> DataFrame:
