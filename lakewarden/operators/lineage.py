@@ -2,52 +2,57 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakewarden.session import work_folder
 
 
-def reach(edges: DataFrame, starts: DataFrame, max_depth: int | None = None) -> DataFrame:
+def reach(edges: DataFrame, starts: DataFrame, max_depth: int | None = None, hops: int = 3) -> DataFrame:
     """All nodes downstream of each start: ``start``, ``node`` and least ``depth``.
 
     ``edges`` has ``src`` and ``dst``; ``starts`` has ``start``.  A start is listed
     with depth 0; cycles and nodes reached twice are visited once.
 
-    Breadth first: every round joins the newest nodes with the edges and drops
-    what was visited before.  Each round is written to the shared folder, which
-    ends the plan's growth and survives lost executors, and lets Spark plan the
-    next joins by the true size of the round: a small one is broadcast, a large
-    one is shuffled with adaptive skew handling.  The number of jobs is the depth
-    of the graph, not its size.
+    Breadth first, ``hops`` levels a round: the newest level is joined with the edges
+    that many times, each node keeps its least depth, and nodes of earlier rounds are
+    dropped.  So visited rows are read and moved once in ``hops`` levels; in exchange a
+    round walks up to ``hops - 1`` steps past a node that was visited before.  Each
+    round is written to the shared folder, which ends the plan's growth and survives
+    lost executors, and lets Spark plan the next joins by the true size of the round: a
+    small one is broadcast, a large one is shuffled with adaptive skew handling.  The
+    number of jobs is the depth of the graph over ``hops``, not its size.
     """
     spark = edges.sparkSession
     folder = work_folder(spark, "reach")
     kind = dict(starts.dtypes)["start"]
-    rows = f"start {kind}, node {kind}"
-    edges = edges.select("src", "dst").filter(F.col("src") != F.col("dst")).persist()
-
-    def path(level: int) -> str:
-        return f"{folder}/depth={level}"
-
+    rows = f"start {kind}, node {kind}, depth int"
+    edges = edges.select("src", "dst").filter((F.col("src") != F.col("dst")) & F.col("dst").isNotNull()).persist()
+    paths = [f"{folder}/round=0"]
     (starts.filter(F.col("start").isNotNull()).select("start").distinct()
-     .select("start", F.col("start").alias("node")).write.parquet(path(0)))
-    level = 0
+     .select("start", F.col("start").alias("node"), F.lit(0).alias("depth")).write.parquet(paths[0]))
+    depth = 0
     try:
-        while max_depth is None or level < max_depth:
-            newest = spark.read.schema(rows).parquet(path(level))
-            visited = spark.read.schema(rows).parquet(*[path(i) for i in range(level + 1)])
-            step = (newest.join(edges, newest["node"] == edges["src"])
-                    .select("start", F.col("dst").alias("node"))
-                    .filter(F.col("node").isNotNull()).distinct()
-                    .join(visited, ["start", "node"], "left_anti"))
-            level += 1
-            step.write.parquet(path(level))
-            if spark.read.schema(rows).parquet(path(level)).isEmpty():
+        while max_depth is None or depth < max_depth:
+            level = spark.read.schema(rows).parquet(paths[-1]).filter(F.col("depth") == depth)
+            if level.isEmpty():
                 break
+            last = depth + hops if max_depth is None else min(depth + hops, max_depth)
+            levels = []
+            while depth < last:
+                depth += 1
+                level = level.join(edges, level["node"] == edges["src"]).select(
+                    "start", F.col("dst").cast(kind).alias("node"), F.lit(depth).alias("depth")).distinct()
+                levels.append(level)
+            least = reduce(DataFrame.unionAll, levels).groupBy("start", "node").agg(F.min("depth").alias("depth"))
+            visited = spark.read.schema(rows).parquet(*paths)
+            paths.append(f"{folder}/round={len(paths)}")
+            least.join(visited, ["start", "node"], "left_anti").write.parquet(paths[-1])
     finally:
         edges.unpersist()
-    return spark.read.schema(f"{rows}, depth int").parquet(folder)
+    return spark.read.schema(rows).parquet(*paths)
 
 
 def blast_radius(reached: DataFrame, edges: DataFrame) -> DataFrame:
