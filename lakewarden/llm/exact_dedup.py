@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakewarden.llm.text import whole, without_spaces
+from lakewarden.llm.text import id_and_text, numbered, restored, whole, without_spaces
 
 TOP = "9223372036854775807"
 # A length and an id as one number, which aggregates without sorting.
@@ -52,7 +52,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     read; an empty table gives an empty result.
     """
     best = (F.lit(TOP).cast("decimal(20,0)") - F.col("__best") % F.lit(SCALE).cast("decimal(21,0)")).cast("long")
-    return _judged(docs, id_col, text_col).select(
+    return _judged(id_and_text(docs, id_col, text_col), "doc_id", "text").select(
         F.col("__id").alias("doc_id"),
         F.when(F.col("__size").isNull(), F.col("__id")).otherwise(best).alias("keep_id"),
         F.coalesce("__size", F.lit(1)).alias("group_size"), F.col("__kept").alias("kept"),
@@ -60,8 +60,9 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows that stay, with the columns they came with."""
-    return _judged(docs, id_col, text_col).filter("__kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The rows that stay, with the columns they came with, whatever their names."""
+    rows, number, text = numbered(docs, id_col, text_col)
+    return restored(_judged(rows, number, text).filter("__kept"), docs.columns)
 
 
 SQL = r"""

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakewarden.llm.text import SPACES, whole
+from lakewarden.llm.text import SPACES, numbered, whole
 from lakewarden.session import work_folder
 
 DEPTH = 3
@@ -86,12 +86,17 @@ def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """
     gone = recurring_lines(docs, id_col, text_col, **options).distinct().groupBy("doc_id").agg(
         F.collect_list("line").alias("__lines")).withColumnRenamed("doc_id", "__id")
-    joined = docs.join(gone, F.col(f"`{id_col}`").cast("long") == F.col("__id"), "left")
-    lines = F.split(F.col(f"`{text_col}`"), "\n")
-    kept = F.filter(lines, lambda _, k: ~F.array_contains(F.col("__lines"), k))
-    text = F.when(F.col("__lines").isNull(), F.col(f"`{text_col}`")).otherwise(F.array_join(kept, "\n"))
-    others = [text.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns if c != "dropped_lines"]
-    return joined.select(*others, F.coalesce(F.size("__lines"), F.lit(0)).alias("dropped_lines"))
+    rows, number, content = numbered(docs, id_col, text_col)
+    joined = rows.join(gone, F.col(number).cast("long") == F.col("__id"), "left")
+    # Exploding an array of one element holds the split text, so that each line is found without splitting again.
+    held = joined.withColumn("__all", F.explode(F.array(
+        F.when(F.col("__lines").isNotNull(), F.split(F.col(content), "\n")))))
+    left = F.array_except(F.sequence(F.lit(0), F.size("__all") - 1), F.col("__lines"))
+    text = F.when(F.col("__all").isNull(), F.col(content)).otherwise(
+        F.array_join(F.transform(left, lambda k: F.get("__all", k)), "\n"))
+    out = held.withColumn(content, text).withColumn("__dropped", F.when(F.col("__lines").isNull(), 0).otherwise(F.size("__lines")))
+    others = [F.col(f"c{k}").alias(c) for k, c in enumerate(docs.columns) if c != "dropped_lines"]
+    return out.select(*others, F.col("__dropped").alias("dropped_lines"))
 
 
 def line_report(docs: DataFrame) -> DataFrame:

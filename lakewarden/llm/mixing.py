@@ -18,7 +18,7 @@ from itertools import accumulate
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lakewarden.llm.text import whole, word_count
+from lakewarden.llm.text import numbered, restored, whole, word_count
 from lakewarden.session import work_folder
 
 GOLDEN = (math.sqrt(5) - 1) / 2
@@ -191,6 +191,7 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     taken = mix(docs, id_col, text_col, **options).groupBy(F.col("doc_id").alias("__id")).agg(
         F.ceil(F.try_divide(F.sum("taken"), F.sum("size"))).cast("int").alias("__copies")).filter("__copies > 0")
-    joined = docs.join(taken, F.col(f"`{id_col}`").eqNullSafe(F.col("__id")))
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), "__copies"))).filter(
-        word_count(whole(text_col)) > 0).select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows, number, text = numbered(docs, id_col, text_col)
+    joined = rows.join(taken, F.col(number).eqNullSafe(F.col("__id")))
+    return restored(joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), "__copies"))).filter(
+        word_count(whole(text)) > 0), docs.columns)

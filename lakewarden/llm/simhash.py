@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakewarden.llm.components import components
-from lakewarden.llm.text import id_and_text, in_slices
+from lakewarden.llm.text import id_and_text, in_slices, numbered, restored
 from lakewarden.session import work_folder
 
 SEED = 42
@@ -285,4 +285,5 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """
     gone = near_duplicates(docs, id_col, text_col).filter("doc_id <> component_id").select(
         F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col(f"`{id_col}`").cast("long") == F.col("__gone"), "left_anti")
+    rows, number = numbered(docs, id_col)
+    return restored(rows.join(gone, F.col(number).cast("long") == F.col("__gone"), "left_anti"), docs.columns)

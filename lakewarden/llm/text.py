@@ -35,6 +35,16 @@ def id_and_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
 
 
+def numbered(docs: DataFrame, *named: str) -> tuple:
+    """The rows with columns ``c0``, ``c1``, ..., so that no name can clash, and the new names of some."""
+    return (docs.toDF(*[f"c{k}" for k in range(len(docs.columns))]), *[f"c{docs.columns.index(n)}" for n in named])
+
+
+def restored(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """Numbered columns under the names they had."""
+    return rows.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(columns)])
+
+
 def fold(id_col: str, folds: int) -> Column:
     """The remainder of crc32 of the id as text; null without an id."""
     return F.crc32(F.col(f"`{id_col}`").cast("string").cast("binary")) % folds

@@ -15,7 +15,8 @@ def rough(spark):
         (12, "one", "en", "a", 5), (13, "one", "en", "z", 5)]
     names = ["doc_id", "text", "lang", "source", "n_chars"]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
-    for extra in ("kept", "score", "size", "bucket", "number", "label", "print", "root", "line", "key", "words"):
+    for extra in ("kept", "score", "size", "bucket", "number", "label", "print", "root", "line", "key", "words",
+                  "__id", "__n", "__hash", "__kept", "__gone", "__copies", "__copy", "__lines", "node", "c1", "a.b"):
         df = df.selectExpr("*", f"'x' as `{extra}`")
     assert df.columns[:5] == names
     return df.cache()
