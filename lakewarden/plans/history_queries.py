@@ -132,6 +132,19 @@ def incident_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return incidents.listing(tables.read_incidents(spark, folder, one_per_file=False))
 
 
+def incident_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One incident per supplier, stored as a JSON document in a file of its own, read back and listed."""
+    folder = work_folder(spark, "incident-files")
+    supplier = inputs.table(spark, sf_dir, "supplier")
+    supplier.select(
+        F.concat(F.lit("SUP-"), F.col("s_suppkey").cast("string")).alias("incident_id"),
+        F.lit("supplier_pipeline").alias("pipeline_name"),
+        F.when(F.col("s_acctbal") < 0, "P1").otherwise("P3").alias("severity"),
+        F.lit("DETECTED").alias("status"), F.lit("NEGATIVE_BALANCE").alias("error_type"),
+        F.array("s_name").alias("affected_assets")).write.option("maxRecordsPerFile", 1).json(folder)
+    return incidents.listing(tables.read_incidents(spark, folder))
+
+
 def evidence_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
     bundle = incidents.evidence(_documents(spark, sf_dir))
     first = incidents.first_evidence(
@@ -328,6 +341,7 @@ QUERIES = {
     "fingerprint": fingerprint,
     "citations": citations,
     "incident_list": incident_list,
+    "incident_files": incident_files,
     "evidence_bundle": evidence_bundle,
     "rca": rca,
     "investigation_status": investigation_status,
@@ -518,6 +532,11 @@ ORACLES = {
     "incident_list": over("incidents", """
         select incident_id, pipeline_name, severity, 'DETECTED' as status, error_type
         from incidents"""),
+    "incident_files": """
+        select concat('SUP-', s_suppkey) as incident_id, 'supplier_pipeline' as pipeline_name,
+          case when s_acctbal < 0 then 'P1' else 'P3' end as severity, 'DETECTED' as status,
+          'NEGATIVE_BALANCE' as error_type
+        from supplier""",
     "evidence_bundle": over("incidents", """
         select incident_id, pipeline_name, error_type,
           'silver.customers,customer_gold_pipeline' as affected_assets, root_cause,
