@@ -61,9 +61,9 @@ class Efficiency:
 
     def random(self, text: str, ratio: float = RATIO) -> bool:
         """Whether a string is neither a known digest nor an identifier, and costs many tokens."""
-        if DIGEST.fullmatch(text) or UUID.fullmatch(text) or not any(c.isdigit() for c in text):
+        if DIGEST.fullmatch(text) or UUID.fullmatch(text) or IDENTIFIER.fullmatch(text):
             return False
-        if IDENTIFIER.fullmatch(text):
+        if not any(c.isalnum() for c in text):  # a ruled line
             return False
         return len(text) < ratio * len(self.encoding.encode_ordinary(text))
 

@@ -1,6 +1,8 @@
 """Language, tokens and secrets of single texts, against plain code."""
 
+import random
 import re
+import string
 from collections import Counter
 from hashlib import sha256
 
@@ -126,3 +128,18 @@ def test_prose_holds_no_random_strings(spark):
     found = queries.op8_secret_scan(spark, SF)
     clean = found.filter(F.col("n_assign") + F.col("n_access") + F.col("n_hex") == 0)
     assert clean.filter("n_random > 0").count() <= 0.01 * clean.count()
+
+
+def test_random_letters_are_found_and_compounds_are_not():
+    efficiency = secret_scan.Efficiency(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    draw = random.Random(7)
+    for letters in (string.ascii_letters, string.ascii_letters + string.digits):
+        for n in (20, 24, 32, 40):
+            keys = ["".join(draw.choices(letters, k=n)) for _ in range(500)]
+            # Few read as camel case by chance, or as words.
+            kept = [k for k in keys if not secret_scan.IDENTIFIER.fullmatch(k)]
+            assert len(kept) >= 480 and sum(map(efficiency.random, kept)) >= 0.99 * len(kept)
+    for word in ("Donaudampfschifffahrtsgesellschaft", "internationalization_of_names", "getHTTPResponseCodeForURL",
+                 "counterrevolutionaries", "/usr/share/Documentation/README", "state-of-the-art-Solutions",
+                 "ANTIDISESTABLISHMENTARIANISM", "-=-=-=-=-=-=-=-=-=-=-=-=", "_/+_/+_/+_/+_/+_/+_/+_/+"):
+        assert not efficiency.random(word)
