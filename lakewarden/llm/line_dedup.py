@@ -3,10 +3,11 @@
 A line goes down a tree of fixed depth: by its number of words, then by its first
 ``DEPTH`` words, with words that hold a digit as ``<*>``.  Within a leaf the rest of the
 line is cut into up to ``SEGMENTS`` runs of words.  A run that occurs at its place in
-several documents is constant; one that does not is a variable field, ``<*>``.  A line's
-template is its leaf with its constant runs.  Templates that recur across documents,
-and of which at least ``CONSTANT`` of the words are constant, are dropped in all
-documents but the one with the least id.
+several documents may be constant; one that does not is a variable field, ``<*>``.  A
+template is a leaf with constant runs: all that may be, or any set of them, so that a
+field whose values recur is still a field.  Templates that recur across documents, and
+of which at least ``CONSTANT`` of the words are constant, are dropped in all documents
+but the one with the least id.  Lines that are equal word for word need fewer documents.
 
 All of it is grouping, joining and expressions of the JVM.  Lines are narrow rows of
 numbers once they are parsed; texts are read again only to put the result together.
@@ -14,6 +15,9 @@ numbers once they are parsed; texts are read again only to put the result togeth
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add, and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +29,10 @@ SEGMENTS = 4
 CONSTANT = 0.6
 MIN_WORDS = 5
 MIN_DOCS = 3
+# The place of a whole line among its runs.
+WHOLE = SEGMENTS
+# The query: fields may recur.
+ALL = {"wildcards": True}
 
 
 def _words(line: Column) -> Column:
@@ -39,43 +47,93 @@ def _width(n: Column) -> Column:
     return F.greatest(F.ceil((n - DEPTH) / SEGMENTS), F.lit(1)).cast("int")
 
 
-def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, line (from 0), n (words), runs: a hash of leaf, place and words for each run of the rest."""
+def _lines(docs: DataFrame, id_col: str, text_col: str, constant: float, same: bool, short: bool) -> DataFrame:
+    """doc_id, line (from 0), n (words), digits (whether a word holds one), runs (place and hash).
+
+    Places from 0 are runs of the rest, hashed with leaf and place.  A short line is one
+    run at place 0, if enough of its words are constant.  ``WHOLE`` is the place of all
+    words as they stand, for lines in which words with a digit were made fields.
+    """
     lines = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"),
                         F.posexplode(F.split(whole(text_col), "\n")).alias("line", "text"))
-    worded = lines.select("doc_id", "line", _words(F.col("text")).alias("words"))
+    worded = lines.select("doc_id", "line", "text", _words(F.col("text")).alias("words"))
     n, width = F.size("words"), _width(F.size("words"))
+    long, digits = n >= MIN_WORDS, F.col("text").rlike("[0-9]")
     leaf = F.xxhash64(n, F.slice("words", 1, DEPTH))
-    runs = F.filter(F.array(*[F.when(n > DEPTH + width * k, F.xxhash64(
-        leaf, F.lit(k), F.slice("words", width * k + DEPTH + 1, width))) for k in range(SEGMENTS)]),
-        lambda r: r.isNotNull())
-    return worded.filter(n >= MIN_WORDS).select("doc_id", "line", n.alias("n"), runs.alias("runs"))
+    runs = [F.when(long & (n > DEPTH + width * k), F.xxhash64(
+        leaf, F.lit(k), F.slice("words", width * k + DEPTH + 1, width))) for k in range(SEGMENTS)]
+    if short:
+        fields = F.size(F.filter("words", lambda w: w == "<*>"))
+        runs[0] = F.when(long, runs[0]).when(n - fields >= n * constant, F.xxhash64(n, F.lit(-1), "words"))
+    if same:
+        runs.append(F.when(digits & (long | F.lit(short)), F.xxhash64(
+            n, F.lit(WHOLE), F.split(F.btrim("text", F.lit(SPACES)), "[\\x20\\x09-\\x0D]+"))))
+    placed = F.filter(F.array(*[F.struct(F.lit(k).alias("place"), r.alias("run")) for k, r in enumerate(runs)]),
+                      lambda r: r["run"].isNotNull())
+    # A line without words splits into one empty word.
+    kept = worded.filter(long | F.lit(short) & (F.get("words", F.lit(0)) != ""))
+    return kept.select("doc_id", "line", n.alias("n"), digits.alias("digits"), placed.alias("runs"))
+
+
+def _templates(parsed: DataFrame, min_docs: int, constant: float, wildcards: bool, same_docs: int | None,
+               short_docs: int | None) -> DataFrame:
+    """doc_id, line, template and the documents it needs: one row for each template of a line."""
+    n = F.col("n")
+    sizes = [F.least(_width(n), n - DEPTH - _width(n) * k) for k in range(SEGMENTS)]
+    held = [F.col(f"r{k}").isNotNull() for k in range(SEGMENTS)]
+    long, found = n >= MIN_WORDS, []
+    for subset in range(1, 1 << SEGMENTS):
+        inside = [k for k in range(SEGMENTS) if subset >> k & 1]
+        fits = reduce(and_, [held[k] for k in inside]) & long & (
+            reduce(add, [sizes[k] for k in inside]) + DEPTH >= n * constant)
+        if not wildcards:
+            fits = reduce(and_, [~held[k] for k in range(SEGMENTS) if k not in inside], fits)
+        # A run's hash holds its leaf and place, so these name the set.
+        found.append(F.when(fits, F.struct(F.xxhash64(*[f"r{k}" for k in inside]).alias("template"),
+                                           F.lit(min_docs).alias("need"))))
+    if short_docs is not None:
+        found.append(F.when(~long & held[0], F.struct(F.col("r0").alias("template"), F.lit(short_docs).alias("need"))))
+    if same_docs is not None:
+        need = F.when(long, F.lit(same_docs)).otherwise(F.lit(short_docs)).alias("need")
+        size = reduce(add, [F.when(h, x).otherwise(0) for h, x in zip(held, sizes)])
+        found.append(F.when(F.col(f"r{WHOLE}").isNotNull(), F.struct(F.col(f"r{WHOLE}").alias("template"), need)).when(
+            long & ~F.col("digits") & (size + DEPTH == n), F.struct(
+                F.xxhash64(F.lit(WHOLE), *[f"r{k}" for k in range(SEGMENTS)]).alias("template"), need)))
+    some = F.filter(F.array(*found), lambda t: t.isNotNull())
+    return parsed.select("doc_id", "line", F.inline(some))
 
 
 def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                    min_docs: int = MIN_DOCS, constant: float = CONSTANT) -> DataFrame:
+                    min_docs: int = MIN_DOCS, constant: float = CONSTANT, wildcards: bool = False,
+                    same_docs: int | None = None, short_docs: int | None = None) -> DataFrame:
     """doc_id and line (from 0) of the lines whose template recurs, without each template's first document.
 
-    Null counts as empty.  Lines of fewer than ``MIN_WORDS`` words are left alone, and so are
-    rows without an id.
+    By default a line has one template, of all its runs that two documents share, and
+    lines of fewer than ``MIN_WORDS`` words are left alone.  With ``wildcards`` each set
+    of one or more of those runs with enough words is a template.  A line that is equal
+    word for word, digits included, in ``same_docs`` documents recurs, too.  Short lines
+    recur in ``short_docs`` documents, equal but for words with a digit if enough words
+    are without.  Null counts as empty; rows without an id are left alone.
     """
     spark, folder = docs.sparkSession, work_folder(docs.sparkSession, "lines")
-    _lines(docs, id_col, text_col).filter("doc_id is not null").write.parquet(folder)
+    same_docs = short_docs if same_docs is None and short_docs is not None else same_docs
+    _lines(docs, id_col, text_col, constant, same_docs is not None, short_docs is not None).filter(
+        "doc_id is not null").write.parquet(folder)
     lines = spark.read.parquet(folder)
-    size = F.least(_width(F.col("n")), F.col("n") - DEPTH - _width(F.col("n")) * F.col("place"))
-    # Line and words of the line in one number: these narrow rows are all that moves.
-    runs = lines.select("doc_id", "line", "n", F.posexplode("runs").alias("place", "run")).select(
-        "doc_id", "run", (F.col("line") * F.lit(2 ** 32) + F.col("n")).alias("at"), size.alias("size"))
+    # Line, digits and words of the line in one number: these narrow rows are all that moves.
+    at = F.col("line") * F.lit(2 ** 32) + F.when(F.col("digits"), F.lit(2 ** 31)).otherwise(F.lit(0)) + F.col("n")
+    runs = lines.select("doc_id", at.alias("at"), F.inline("runs"))
     fixed = runs.groupBy("run").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b").select("run")
-    parsed = runs.join(fixed, "run").groupBy("doc_id", "at").agg(
-        F.sum("size").alias("size"),
-        # A run's hash holds its leaf and place: the sum of mixed hashes names the set of constant runs.
-        F.sum(F.xxhash64("run").cast("decimal(20,0)")).alias("constants"))
-    templates = parsed.filter(F.col("size") + DEPTH >= F.col("at") % 2 ** 32 * constant).select(
-        "doc_id", F.shiftright("at", 32).cast("int").alias("line"), F.xxhash64("constants").alias("template"))
-    held = templates.groupBy("template", "doc_id").agg(F.lit(1).alias("x")).groupBy("template").agg(
-        F.count("*").alias("docs"), F.min("doc_id").alias("first")).filter(F.col("docs") >= min_docs)
-    return templates.join(held, "template").filter("doc_id <> first").select("doc_id", "line")
+    grouped = runs.join(fixed, "run").groupBy("doc_id", "at").agg(*[
+        F.max(F.when(F.col("place") == k, F.col("run"))).alias(f"r{k}") for k in range(WHOLE + 1)])
+    parsed = grouped.select("doc_id", F.shiftright("at", 32).cast("int").alias("line"), (
+        F.col("at") % 2 ** 31).cast("int").alias("n"), (F.col("at") % 2 ** 32 >= 2 ** 31).alias("digits"),
+        *[f"r{k}" for k in range(WHOLE + 1)])
+    templates = _templates(parsed, min_docs, constant, wildcards, same_docs, short_docs)
+    held = templates.groupBy("template", "need", "doc_id").agg(F.lit(1).alias("x")).groupBy("template", "need").agg(
+        F.count("*").alias("docs"), F.min("doc_id").alias("first")).filter(F.col("docs") >= F.col("need")).select(
+        "template", "first")
+    return templates.join(held, "template").filter("doc_id <> first").select("doc_id", "line").distinct()
 
 
 def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -102,6 +160,6 @@ def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
 def line_report(docs: DataFrame) -> DataFrame:
     """doc_id, n_lines, dropped_lines and the digest of what is left of each text; null counts as empty."""
     left = drop_recurring_lines(docs.select("doc_id", whole("text").alias("text"),
-                                            F.size(F.split(whole("text"), "\n")).cast("long").alias("n_lines")))
+                                            F.size(F.split(whole("text"), "\n")).cast("long").alias("n_lines")), **ALL)
     return left.select("doc_id", "n_lines", F.col("dropped_lines").cast("long").alias("dropped_lines"),
                        F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))

@@ -3,6 +3,7 @@
 import re
 from collections import Counter, defaultdict
 from hashlib import sha256
+from itertools import combinations
 
 import duckdb
 import numpy as np
@@ -330,3 +331,47 @@ def test_search_finds_all_alike(spark, rough, texts):
             assert alike < 0.8 or found[i, k] == pytest.approx(alike)
     assert len(found) > len([i for i in sets if i % 10 == 0])
     assert fingerprints.search(docs.limit(0))[0].count() == 0
+
+
+def plain_recurring(rows, wildcards, same_docs, short_docs):
+    """Doc and line of recurring lines by brute force over the sets of runs."""
+    held, lines = defaultdict(set), []
+    for i, t in rows:
+        for n, line in enumerate(t.split("\n")):
+            raw = [w for w in SPACE.split(line) if w]
+            words = ["<*>" if re.search("[0-9]", w) else w for w in raw]
+            if raw and i is not None:
+                width = max(1, -(-(len(words) - 3) // 4))
+                runs = [(k, r) for k in range(4) if (r := tuple(words[3 + k * width:3 + (k + 1) * width]))]
+                lines.append((i, n, raw, words, (len(words), *words[:3]), runs))
+    docs = defaultdict(set)
+    for i, _, _, _, leaf, runs in lines:
+        for r in runs:
+            docs[leaf, r].add(i)
+    found = []
+    for i, n, raw, words, leaf, runs in lines:
+        names = []
+        if len(raw) >= 5:
+            shared = [r for r in runs if len(docs[leaf, r]) > 1]
+            sets = [c for k in range(1, 5) for c in combinations(shared, k)] if wildcards else [tuple(shared)]
+            names += [(3, leaf, c) for c in sets if c and sum(len(r) for _, r in c) + 3 >= 0.6 * len(raw)]
+        if same_docs and len(raw) >= 5 or short_docs and len(raw) < 5:
+            names.append((same_docs if len(raw) >= 5 else short_docs, "same", tuple(raw)))
+        if short_docs and len(raw) < 5 and len(raw) - words.count("<*>") >= 0.6 * len(raw):
+            names.append((short_docs, "short", tuple(words)))
+        for name in names:
+            held[name].add(i)
+            found.append((i, n, name))
+    return {(i, n) for i, n, name in found if len(held[name]) >= name[0] and i != min(held[name])}
+
+
+def test_fields_whose_values_recur(spark, documents, rough, texts):
+    # Each city and each topic in five documents, each pair in one.
+    made = spark.createDataFrame([(5 * a + b, f"Posted by the office of {'ABCDE'[a]}city for all readers on {'VWXYZ'[b]}topic today")
+                                  for a in range(5) for b in range(5)], "doc_id long, text string")
+    assert line_dedup.recurring_lines(made).count() == 0
+    for docs in (made, documents, rough, rough.limit(0)):
+        got = [tuple(r) for r in line_dedup.recurring_lines(docs, wildcards=True).collect()]
+        assert len(got) == len(set(got)) and set(got) == plain_recurring(texts(docs), True, None, None)
+    assert {r["doc_id"]: r["dropped_lines"] for r in line_dedup.line_report(made).collect()} == {
+        k: int(k > 0) for k in range(25)}
