@@ -31,8 +31,8 @@ MIN_WORDS = 5
 MIN_DOCS = 3
 # The place of a whole line among its runs.
 WHOLE = SEGMENTS
-# The query: fields may recur.
-ALL = {"wildcards": True}
+# The query: fields may recur, and equal lines need two documents.
+ALL = {"wildcards": True, "same_docs": 2}
 
 
 def _words(line: Column) -> Column:

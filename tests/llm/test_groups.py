@@ -375,3 +375,16 @@ def test_fields_whose_values_recur(spark, documents, rough, texts):
         assert len(got) == len(set(got)) and set(got) == plain_recurring(texts(docs), True, None, None)
     assert {r["doc_id"]: r["dropped_lines"] for r in line_dedup.line_report(made).collect()} == {
         k: int(k > 0) for k in range(25)}
+
+
+def test_equal_lines_of_two_documents(spark, documents, rough, texts):
+    line = "This long passage of the year 2024 stands in two documents word for word"
+    made = spark.createDataFrame([(1, line + "\nNo digit is in this line of text either"), (2, line.replace("2024", "2023")),
+                                  (3, "x\n" + line + "\nNo digit is in this line of text either")], "doc_id long, text string")
+    for docs in (made, documents, rough):
+        for wildcards in (False, True):
+            got = [tuple(r) for r in line_dedup.recurring_lines(docs, wildcards=wildcards, same_docs=2).collect()]
+            assert len(got) == len(set(got)) and set(got) == plain_recurring(texts(docs), wildcards, 2, None)
+    two = made.filter("doc_id <> 2")
+    assert {r["doc_id"]: r["dropped_lines"] for r in line_dedup.line_report(two).collect()} == {1: 0, 3: 2}
+    assert {r["doc_id"]: r["dropped_lines"] for r in line_dedup.line_report(made.filter("doc_id < 3")).collect()} == {1: 0, 2: 0}
