@@ -31,8 +31,8 @@ MIN_WORDS = 5
 MIN_DOCS = 3
 # The place of a whole line among its runs.
 WHOLE = SEGMENTS
-# The query: fields may recur, and equal lines need two documents.
-ALL = {"wildcards": True, "same_docs": 2}
+# The query: fields may recur; equal lines need two documents, lines of fewer than MIN_WORDS words three.
+ALL = {"wildcards": True, "same_docs": 2, "short_docs": 3}
 
 
 def _words(line: Column) -> Column:

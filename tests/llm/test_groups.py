@@ -388,3 +388,13 @@ def test_equal_lines_of_two_documents(spark, documents, rough, texts):
     two = made.filter("doc_id <> 2")
     assert {r["doc_id"]: r["dropped_lines"] for r in line_dedup.line_report(two).collect()} == {1: 0, 3: 2}
     assert {r["doc_id"]: r["dropped_lines"] for r in line_dedup.line_report(made.filter("doc_id < 3")).collect()} == {1: 0, 2: 0}
+
+
+def test_short_lines(spark, documents, rough, texts):
+    made = spark.createDataFrame([(k, f"All rights reserved.\nPage {k}\n \t\nCopyright {k} Some Company\nonly {'abc'[k]}\n7") for k in range(3)],
+                                 "doc_id long, text string")
+    for docs in (made, documents, rough):
+        got = [tuple(r) for r in line_dedup.recurring_lines(docs, **line_dedup.ALL).collect()]
+        assert len(got) == len(set(got)) and set(got) == plain_recurring(texts(docs), True, 2, 3)
+    assert {r["doc_id"]: r["dropped_lines"] for r in line_dedup.line_report(made).collect()} == {0: 0, 1: 3, 2: 3}
+    assert line_dedup.recurring_lines(made.filter("doc_id < 2"), **line_dedup.ALL).count() == 0
