@@ -88,6 +88,10 @@ def _templates(parsed: DataFrame, min_docs: int, constant: float, wildcards: boo
             reduce(add, [sizes[k] for k in inside]) + DEPTH >= n * constant)
         if not wildcards:
             fits = reduce(and_, [~held[k] for k in range(SEGMENTS) if k not in inside], fits)
+        elif len(inside) > 1:
+            # A set that fits without one of its runs recurs only where the smaller set does, and not before it.
+            least = reduce(F.least, [sizes[k] for k in inside])
+            fits = fits & (reduce(add, [sizes[k] for k in inside]) - least + DEPTH < n * constant)
         # A run's hash holds its leaf and place, so these name the set.
         found.append(F.when(fits, F.struct(F.xxhash64(*[f"r{k}" for k in inside]).alias("template"),
                                            F.lit(min_docs).alias("need"))))
