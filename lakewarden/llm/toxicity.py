@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakewarden.llm.fingerprints import signatures
-from lakewarden.llm.text import id_and_text, in_slices
+from lakewarden.llm.text import id_and_text, in_slices, numbered, restored
 
 ROW = 128
 CLIP = 12.0
@@ -258,7 +258,8 @@ def train(texts: list[str], toxic: list[int], bounds: Bounds) -> Field:
         gain = sum(np.where(x > 0, x * np.log(np.where(x > 0, x, 1) / (n * np.maximum(y, 1e-12))), 0)
                    for x, n, y in ((bad, n_bad, share), (n_bad - bad, n_bad, 1 - share),
                                    (good, n_good, share), (n_good - good, n_good, 1 - share)))
-    marks = (2 * gain >= 30) & (bad / n_bad >= 20 * (good + 0.5) / n_good)
+    # Twice the gain of a feature without meaning passes 2 ln(m) about once among m features, whatever the number of labels.
+    marks = (2 * gain >= 2 * np.log(max((bad > 1).sum(), 2))) & (bad / n_bad >= 20 * (good + 0.5) / n_good)
     toxic_form = np.zeros(len(forms), bool)
     toxic_form[form_of[marks[feature_of]]] = True
     y = (toxic_form[ids] & label[text_of]).astype(float)
@@ -317,7 +318,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """Learn from a sample of labelled documents within ``bounds``, chosen by the hash of the id.
 
     ``labels`` has the id and the label (0 or 1, rows without either are passed over; an
-    id with both counts as toxic).  Each task keeps the least hashes of its own labels; the sampled texts
+    id with both counts as toxic).  Labelled rows without a text, or with one of more than
+    ``bounds.characters``, are not learned from.  Each task keeps the least hashes of its own labels; the sampled texts
     are one bounded group.
     """
     bounds = bounds or Bounds()
@@ -365,8 +367,14 @@ def score(docs: DataFrame, model: Field, id_col: str = "doc_id", text_col: str =
 
 
 def drop_toxic(docs: DataFrame, model: Field, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows whose text is not predicted toxic, with the columns they came with."""
+    """The rows whose text is not predicted toxic, with the columns they came with.
+
+    Null counts as empty, and an empty text is scored like one without a toxic word;
+    repeated rows are judged alike; an empty table stays empty.  Columns may have any
+    name, dots included.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    rows, _ = numbered(docs, text_col)
     place, key = docs.columns.index(text_col), uuid.uuid4().hex
 
     def kept(batches):
@@ -378,7 +386,7 @@ def drop_toxic(docs: DataFrame, model: Field, id_col: str = "doc_id", text_col:
                 keep.append(shared.value.score(texts[k:k + size], known)[0] < 0.5)
             yield batch.filter(pa.array(np.concatenate(keep) if keep else np.zeros(0, bool)))
 
-    return docs.mapInArrow(kept, docs.schema)
+    return restored(rows.mapInArrow(kept, rows.schema), docs.columns)
 
 
 def _cuts(texts: list[str], budget: int = 4_000_000):

@@ -82,3 +82,12 @@ def test_rough_rows(spark, rough):
         kept = toxicity.drop_toxic(rough, model)
         assert kept.columns == rough.columns and kept.count() == got.filter("predicted = 0").count()
     assert toxicity.score(rough.limit(0), model).count() == 0
+    assert toxicity.drop_toxic(rough.limit(0), model).columns == rough.columns
+
+
+@pytest.mark.parametrize("sf, share", [("sf0.001", 0.5), ("sf0.01", 0.6)])
+def test_few_labels(spark, sf, share):
+    docs, labels = (spark.read.parquet(f"/root/testdata/{sf}/{t}.parquet") for t in ("documents", "labels"))
+    got = toxicity.score(docs, toxicity.fit(docs, labels)).join(labels, "doc_id").cache()
+    assert got.filter("predicted = 1 and toxic = 1").count() >= share * got.filter("toxic = 1").count()
+    assert got.filter("predicted = 1 and toxic = 0").count() == 0
