@@ -13,6 +13,7 @@ from lakewarden.llm import (
     line_dedup,
     mixing,
     packing,
+    pii,
     runs,
     secret_scan,
     simhash,
@@ -78,7 +79,11 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.run_report(runs.periodic_runs(runs.with_repeats(_documents(spark, sf_dir))))
 
 
+def op12_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.scan(_documents(spark, sf_dir))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_language_id, op2_token_counts, op3_exact_dedup, op4_line_dedup, op5_mixing, op6_fingerprints, op7_packing,
-    op8_secret_scan, op9_toxicity, op10_simhash, op11_periodic_runs)}
+    op8_secret_scan, op9_toxicity, op10_simhash, op11_periodic_runs, op12_pii)}
 ORACLES = {"op3_exact_dedup": exact_dedup.SQL}
