@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakewarden.llm import (
+    conversations,
     exact_dedup,
     fingerprints,
     language_id,
@@ -83,7 +84,12 @@ def op12_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.scan(_documents(spark, sf_dir))
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return conversations.repair_report(conversations.damaged(rows), rows.select("conv_id"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_language_id, op2_token_counts, op3_exact_dedup, op4_line_dedup, op5_mixing, op6_fingerprints, op7_packing,
-    op8_secret_scan, op9_toxicity, op10_simhash, op11_periodic_runs, op12_pii)}
+    op8_secret_scan, op9_toxicity, op10_simhash, op11_periodic_runs, op12_pii, op13_conversation_repair)}
 ORACLES = {"op3_exact_dedup": exact_dedup.SQL}
