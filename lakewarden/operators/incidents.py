@@ -11,6 +11,7 @@ from lakewarden import fixed
 from lakewarden.functions import collections as C
 from lakewarden.functions import columns as X
 from lakewarden.operators import contract
+from lakewarden.session import stored
 
 
 def listing(incidents: DataFrame) -> DataFrame:
@@ -56,32 +57,23 @@ def investigate(classified: DataFrame) -> DataFrame:
     """Status and confidence of the investigation of each incident.
 
     Needs ``classification``, ``cause``, ``confidence`` and the four column lists.
-    Missing, malformed or conflicting evidence blocks it; an unknown cause
-    completes it without a conclusion.  The summary says what was found.
+    ``investigation_reason`` is NO_EVIDENCE, INCOMPLETE_EVIDENCE or CONFLICTING_EVIDENCE
+    and blocks it; an unknown cause completes it without a conclusion.  ``finding`` is
+    the classification where there is one; the columns it rests on are
+    ``reported_unexpected`` and ``reported_missing``.
     """
     audited = contract.audit_evidence(classified)
     none = F.col("expected_columns").isNull() & F.col("actual_columns").isNull()
-    reason = (F.when(none, "No evidence was recorded.")
-              .when(F.col("evidence_state") == "malformed",
-                    "Evidence of the schema lacks a part.")
-              .when(F.col("evidence_state") == "conflicting", "Evidence of the schema contradicts itself."))
+    reason = (F.when(none, "NO_EVIDENCE")
+              .when(F.col("evidence_state") == "malformed", "INCOMPLETE_EVIDENCE")
+              .when(F.col("evidence_state") == "conflicting", "CONFLICTING_EVIDENCE"))
     unknown = (F.col("classification") == fixed.UNKNOWN_CAUSE[0]) | F.col("cause").isNull()
     certainty = F.when(F.col("confidence") >= fixed.RCA_HIGH_CONFIDENCE, "HIGH").otherwise("MEDIUM")
-
-    def listed(label: str, column: str) -> Column:
-        return F.when(F.size(column) > 0, F.concat(
-            F.lit(f" {label} column(s): "), F.array_join(column, ", "), F.lit("."))).otherwise("")
-
-    finding = F.concat(F.col("classification"), F.lit(": "), F.col("cause"),
-                       listed("Unexpected", "reported_unexpected"),
-                       listed("Missing required", "reported_missing"))
+    open_end = reason.isNotNull() | unknown
     return audited.withColumns({
-        "investigation_summary": F.coalesce(reason, F.when(
-            unknown, "No cause follows from the evidence.")
-            .otherwise(finding)),
+        "finding": F.when(~open_end, F.col("classification")),
         "investigation_status": F.when(reason.isNotNull(), "BLOCKED").otherwise("COMPLETED"),
-        "investigation_confidence": F.when(reason.isNotNull() | unknown, "INSUFFICIENT_EVIDENCE")
-        .otherwise(certainty),
+        "investigation_confidence": F.when(open_end, "INSUFFICIENT_EVIDENCE").otherwise(certainty),
         "investigation_reason": reason,
     })
 
@@ -117,9 +109,7 @@ def workflow_status(investigated: DataFrame, decisions: DataFrame, previews: Dat
     ready = F.coalesce(ready, F.lit(False))
     return rows.withColumns({
         "workflow_status": F.when(ready, "WAITING_FOR_HUMAN_APPROVAL").otherwise("BLOCKED"),
-        "next_required_action": F.when(ready, F.concat(
-            F.lit("A person has to approve "), F.col(strategy), F.lit(" now.")))
-        .otherwise("Clear what blocks the analysis first."),
+        "next_step": F.when(ready, "APPROVE").otherwise("UNBLOCK"),
     })
 
 
@@ -188,16 +178,15 @@ def orphan_artifacts(artifacts: DataFrame, incidents: DataFrame,
 
 # Memory -----------------------------------------------------------------------
 
-def memory(incidents: DataFrame, strategy_counts: DataFrame, chosen: DataFrame,
-           previews: DataFrame, control_counts: DataFrame,
-           incident: str = "incident_key") -> DataFrame:
+def memory(incidents: DataFrame, *parts: DataFrame, incident: str = "incident_key") -> DataFrame:
     """One record per incident for reuse: what happened, what was done, did it hold.
 
-    The other inputs have one row per incident: ``strategies_evaluated``,
-    ``selected_strategy``, ``simulation_completed`` and ``controls_generated``.
+    The other inputs have one row per incident; together they bring
+    ``strategies_evaluated``, ``selected_strategy``, ``simulation_completed`` and
+    ``controls_generated``.
     """
     rows = incidents
-    for part in (strategy_counts, chosen, previews, control_counts):
+    for part in parts:
         rows = rows.join(part, incident, "left")
     verified = F.coalesce(F.col("post_execution_status") == "PASSED", F.lit(False))
     return rows.select(
@@ -232,7 +221,7 @@ def similar_groups(memories: DataFrame, incident: str = "incident_key") -> DataF
         incident, F.col("recovery.verification_completed").alias("verified"),
         C.fingerprint(F.col("incident_signature")).alias("signature_id"))
     groups = rows.groupBy("signature_id").agg(F.count_if("verified").alias("_verified_n"))
-    return rows.join(groups, "signature_id", "left").select(
+    return rows.join(stored(groups, "signatures"), "signature_id", "left").select(
         incident, "signature_id", "verified",
         (F.col("_verified_n") - F.col("verified").cast("bigint")).alias("similar_verified"))
 
@@ -254,12 +243,14 @@ def similar_to(memories: DataFrame, incident_id: str) -> DataFrame:
 def prevention_status(classified: DataFrame, keep: Sequence[str],
                       catalogue: Sequence[tuple[str, ...]] = fixed.PREVENTION_CONTROLS
                       ) -> DataFrame:
-    """Whether prevention can be reviewed: only after a verified recovery, with controls."""
+    """Whether prevention can be reviewed: only after a verified recovery, with controls.
+
+    ``reason`` is NOT_VERIFIED or NO_CONTROLS where it cannot.
+    """
     kinds = [kind for kind, *_ in catalogue]
     n = X.looked_up(F.col("classification"), {k: kinds.count(k) for k in dict.fromkeys(kinds)}, 0)
     verified = F.coalesce(F.col("post_execution_status") == "PASSED", F.lit(False))
-    reason = (F.when(~verified, "Successful recovery verification now.")
-              .when(n == 0, "There are no controls for this cause."))
+    reason = F.when(~verified, "NOT_VERIFIED").when(n == 0, "NO_CONTROLS")
     return classified.select(
         *keep, F.when(reason.isNull(), "COMPLETED").otherwise("BLOCKED").alias("prevention_status"),
         F.when(reason.isNull(), n).otherwise(0).alias("n_controls"), reason.alias("reason"))

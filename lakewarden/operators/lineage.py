@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakewarden.session import work_folder
+from lakewarden.session import stored, work_folder
 
 
 def reach(edges: DataFrame, starts: DataFrame, max_depth: int | None = None, hops: int = 3) -> DataFrame:
@@ -63,7 +63,7 @@ def blast_radius(reached: DataFrame, edges: DataFrame) -> DataFrame:
     """
     fan_out = (edges.groupBy(F.col("src").alias("node"))
                .agg(F.count(F.lit(1)).alias("out_edges")))
-    return (reached.join(fan_out, "node", "left").groupBy("start").agg(
+    return (reached.join(stored(fan_out, "fan-out"), "node", "left").groupBy("start").agg(
         F.count_if(F.col("depth") > 0).alias("impacted"),
         F.max("depth").alias("max_depth"),
         F.coalesce(F.sum("out_edges"), F.lit(0).cast("bigint")).alias("listed")))

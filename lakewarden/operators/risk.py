@@ -15,6 +15,7 @@ from lakewarden import fixed
 from lakewarden.functions import collections as C
 from lakewarden.functions import columns as X
 from lakewarden.operators import scan
+from lakewarden.session import stored
 
 LOSER_COLUMNS = ["risk_score", "risk_classification", "data_loss_risk", "scope_size"]
 
@@ -106,58 +107,52 @@ def decide(scored: DataFrame, incident: str = "incident_key", strategy: str = "s
         .alias("confidence"))
 
 
+def outcome(scored: DataFrame, more: Mapping[str, Column], incident: str = "incident_key",
+            strategy: str = "strategy_key") -> DataFrame:
+    """Per incident the best rated strategy, ``best_<strategy>``, and other aggregates, in one pass."""
+    order = F.struct(F.col("risk_score"), F.col("scope_size"), F.col(strategy))
+    best = F.min(F.when(F.col("risk_score").isNotNull(), order))
+    return scored.groupBy(incident).agg(
+        best[strategy].alias(f"best_{strategy}"), *[c.alias(n) for n, c in more.items()])
+
+
 def rejected(scored: DataFrame, incident: str = "incident_key",
              strategy: str = "strategy_key") -> DataFrame:
-    """The strategies that were not recommended, with the reasons."""
+    """The strategies that were not recommended, and in what they fall behind the winner.
+
+    ``reasons`` are codes: UNRATED, HIGHER_RISK, EQUAL_RISK (scope and id decided),
+    OTHER_DATA_LOSS, WIDER_SCOPE.  The compared values of both stand beside them.
+    """
     won = decide(scored, incident, strategy).select(
-        incident, F.col(f"recommended_{strategy}").alias("_won"),
-        *[F.col(c).alias(f"_won_{c}") for c in LOSER_COLUMNS])
-    all_rows = scored.select(incident, strategy, *LOSER_COLUMNS)
-    both = all_rows.join(won, incident).filter(
-        F.col("_won").isNotNull() & (F.col(strategy) != F.col("_won")))
-    risk, best = F.col("risk_score"), F.col("_won_risk_score")
-
-    def text(*parts: str | Column) -> Column:
-        return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
-
-    loss, won_loss = F.col("data_loss_risk"), F.col("_won_data_loss_risk")
-    scope, won_scope = F.col("scope_size"), F.col("_won_scope_size")
-    reasons = F.array_compact(F.array(
-        F.when(risk.isNull(), text("not rated.")),
-        F.when(risk > best, text("risk score ", risk, " (", F.col("risk_classification"),
-                                 ") is higher than ", F.col("_won"), "'s ", best, ".")),
-        F.when(risk == best, text("risk score ", risk, " equals ", F.col("_won"),
-                                  "'s, which wins by scope and id.")),
-        F.when(loss != won_loss, text("data-loss risk is '", loss, "' vs '", won_loss,
-                                      "' of the winner.")),
-        F.when(scope > won_scope, text("touches more (", scope, " assets vs ", won_scope,
-                                       ")."))))
-    return both.select(incident, strategy, F.col("_won").alias(f"recommended_{strategy}"),
-                       reasons.alias("reasons"))
+        incident, F.col(f"recommended_{strategy}"),
+        *[F.col(c).alias(f"best_{c}") for c in LOSER_COLUMNS])
+    both = scored.select(incident, strategy, *LOSER_COLUMNS).join(
+        stored(won, "recommended"), incident).filter(F.col(strategy) != F.col(f"recommended_{strategy}"))
+
+    def behind(column: str) -> tuple[Column, Column]:
+        return F.col(column), F.col(f"best_{column}")
+
+    (risk, least), (loss, other), (scope, smallest) = map(
+        behind, ("risk_score", "data_loss_risk", "scope_size"))
+    cases = {"UNRATED": risk.isNull(), "HIGHER_RISK": risk > least, "EQUAL_RISK": risk == least,
+             "OTHER_DATA_LOSS": loss != other, "WIDER_SCOPE": scope > smallest}
+    reasons = F.array_compact(F.array(*[F.when(c, F.lit(code)) for code, c in cases.items()]))
+    return both.withColumn("reasons", reasons)
 
 
 def factors(scored: DataFrame, incident: str = "incident_key",
             strategy: str = "strategy_key") -> DataFrame:
-    """What spoke for the recommended strategy of each incident, as texts.
+    """What spoke for the recommended strategy of each incident, as values.
 
-    Rows that went through ``critical_scope`` add the critical assets in scope.
+    Beside the winner's own, ``evaluated`` is the number of rated strategies.  Rows that
+    went through ``critical_scope`` add the critical assets in scope.
     """
     critical = "business_critical_assets_in_scope"
     keep = [critical] if critical in scored.columns else []
     evaluated = scored.groupBy(incident).agg(F.count("risk_score").alias("evaluated"))
-    best = F.col(f"recommended_{strategy}").cast("string")
-    reasons = F.array(
-        F.concat(best, F.lit(" has the least risk ("), F.col("risk_score"),
-                 F.lit(", "), F.col("risk_classification"), F.lit(") among "), F.col("evaluated"),
-                 F.lit(" rated strategies.")),
-        F.concat(best, F.lit(" scope: "), F.col("scope_size"), F.lit(" assets.")),
-        F.concat(F.lit("Data-loss risk for "), best, F.lit(" is '"), F.col("data_loss_risk"),
-                 F.lit("'.")),
-        *[F.concat(F.lit("Critical assets in scope of "), best, F.lit(": "),
-                   F.when(F.size(c) > 0, F.array_join(c, ", ")).otherwise("none"), F.lit("."))
-          for c in keep])
-    return (decide(scored, incident, strategy, keep).filter(best.isNotNull())
-            .join(evaluated, incident).select(incident, "evaluated", reasons.alias("factors")))
+    best = f"recommended_{strategy}"
+    return (decide(scored, incident, strategy, keep).filter(F.col(best).isNotNull())
+            .join(evaluated, incident).select(incident, best, "evaluated", *LOSER_COLUMNS, *keep))
 
 
 def tradeoffs(decided: DataFrame, upstream: Sequence[str] = fixed.UPSTREAM_ASSETS) -> DataFrame:
@@ -171,6 +166,7 @@ def audit_decisions(decisions: DataFrame, strategies: DataFrame, risks: DataFram
     """Check each decision against the strategies and their risk rows.
 
     ``decisions`` has the incident, ``recommended_<strategy>`` and ``risk_score``.
+    ``reason`` is NO_DECISION, UNKNOWN_STRATEGY or SCORE_DIFFERS where the status is BLOCKED.
     """
     known = strategies.select(incident, F.col(strategy).alias("_strategy"),
                               F.lit(True).alias("_known"))
@@ -179,12 +175,9 @@ def audit_decisions(decisions: DataFrame, strategies: DataFrame, risks: DataFram
     asked = decisions.withColumn("_strategy", F.col(f"recommended_{strategy}"))
     both = (asked.join(known, [incident, "_strategy"], "left")
             .join(scores, [incident, "_strategy"], "left"))
-    reason = (F.when(F.col("_strategy").isNull(), "There is no decision or no rating.")
-              .when(F.col("_known").isNull() | F.col("_rated").isNull(),
-                    F.concat(F.lit("The decision names no known strategy: "), F.col("_strategy"),
-                             F.lit(".")))
-              .when(~F.col("risk_score").eqNullSafe(F.col("evaluated_score")),
-                    "The decision and the rating differ."))
+    reason = (F.when(F.col("_strategy").isNull(), "NO_DECISION")
+              .when(F.col("_known").isNull() | F.col("_rated").isNull(), "UNKNOWN_STRATEGY")
+              .when(~F.col("risk_score").eqNullSafe(F.col("evaluated_score")), "SCORE_DIFFERS"))
     return both.select(
         incident, f"recommended_{strategy}", "risk_score", "evaluated_score",
         F.when(reason.isNull(), "COMPLETED").otherwise("BLOCKED").alias("status"),

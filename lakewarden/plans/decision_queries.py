@@ -88,13 +88,11 @@ def decision_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def decision_rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = risk.rejected(_scored(spark, sf_dir))
-    return out.withColumn("reasons", F.array_join("reasons", " "))
+    return plain(risk.rejected(_scored(spark, sf_dir)))
 
 
 def decision_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = risk.factors(_scored(spark, sf_dir))
-    return out.withColumn("factors", F.array_join("factors", " "))
+    return risk.factors(_scored(spark, sf_dir))
 
 
 def strategy_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,8 +107,7 @@ def decision_critical(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What spoke for the choice among the known strategies, with the critical assets."""
     rows = risk.score(risk.candidates(inputs.incidents(spark, sf_dir).select(INCIDENT)))
     rows = risk.critical_scope(rows, [a for a, *_ in fixed.IMPACT_CATALOGUE])
-    out = risk.factors(rows, strategy="strategy_id")
-    return plain(out.withColumn("factors", F.array_join("factors", " ")))
+    return plain(risk.factors(rows, strategy="strategy_id"))
 
 
 def decision_tradeoffs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -227,9 +224,8 @@ decision_audit as (
   select d.incident_key, d.recommended_strategy_key, d.risk_score,
     s.risk_score as evaluated_score,
     case when s.risk_score = d.risk_score then 'COMPLETED' else 'BLOCKED' end as status,
-    case when s.risk_score is null
-      then concat('The decision names no known strategy: ', cast(d.recommended_strategy_key as varchar), '.')
-    when s.risk_score <> d.risk_score then 'The decision and the rating differ.' end as reason
+    case when s.risk_score is null then 'UNKNOWN_STRATEGY'
+      when s.risk_score <> d.risk_score then 'SCORE_DIFFERS' end as reason
   from doubtful d left join scored s
     on s.incident_key = d.incident_key and s.strategy_key = d.recommended_strategy_key)
 """
@@ -238,8 +234,7 @@ INVESTIGATED = """
 , audited as (
   select incident_key, error_type, expected_columns, actual_columns, unexpected_columns,
     missing_columns,
-    case when actual_columns is null or expected_columns is null
-      then 'Evidence of the schema lacks a part.'
+    case when actual_columns is null or expected_columns is null then 'INCOMPLETE_EVIDENCE'
     when list_sort([x for x in str_split(actual_columns, ',')
            if not list_contains(str_split(expected_columns, ','), x)])
          <> list_sort(case when unexpected_columns = '' then [] else
@@ -248,7 +243,7 @@ INVESTIGATED = """
            if not list_contains(str_split(actual_columns, ','), x)])
          <> list_sort(case when missing_columns = '' then [] else
               str_split(missing_columns, ',') end)
-      then 'Evidence of the schema contradicts itself.' end as reason
+      then 'CONFLICTING_EVIDENCE' end as reason
   from incidents),
 investigated as (
   select incident_key,
@@ -258,14 +253,8 @@ investigated as (
     case when reason is not null or error_type <> 'SCHEMA_DRIFT' then 'INSUFFICIENT_EVIDENCE'
       else 'HIGH' end as investigation_confidence,
     reason as investigation_reason,
-    case when reason is not null then reason when error_type <> 'SCHEMA_DRIFT'
-        then 'No cause follows from the evidence.'
-      else concat('SCHEMA_CONTRACT_VIOLATION: Upstream source schema changed without an approved ',
-        'schema contract update.',
-        case when unexpected_columns <> '' then concat(' Unexpected column(s): ',
-          replace(unexpected_columns, ',', ', '), '.') else '' end,
-        case when missing_columns <> '' then concat(' Missing required column(s): ',
-          replace(missing_columns, ',', ', '), '.') else '' end) end as investigation_summary
+    case when reason is null and error_type = 'SCHEMA_DRIFT' then 'SCHEMA_CONTRACT_VIOLATION' end as finding,
+    unexpected_columns as reported_unexpected, missing_columns as reported_missing
   from audited)
 """
 
@@ -293,26 +282,19 @@ ORACLES = {
         select incident_key, strategy_key, risk_score, strategy_rank from ranked"""),
     "decision_confidence": over("decided", "select * from decided"),
     "decision_rejected": over("ranked", """
-        select r.incident_key, r.strategy_key, w.strategy_key as recommended_strategy_key,
-          concat_ws(' ',
-            case when r.risk_score > w.risk_score then concat('risk score ', r.risk_score, ' (',
-              r.risk_classification, ') is higher than ', w.strategy_key, '''s ', w.risk_score, '.')
-              end,
-            case when r.risk_score = w.risk_score then concat('risk score ', r.risk_score,
-              ' equals ', w.strategy_key, '''s, which wins by scope and id.') end,
-            case when r.data_loss_risk <> w.data_loss_risk then concat('data-loss risk is ''',
-              r.data_loss_risk, ''' vs ''', w.data_loss_risk,
-              ''' of the winner.') end,
-            case when r.scope_size > w.scope_size then concat('touches more (',
-              r.scope_size, ' assets vs ', w.scope_size, ').') end) as reasons
+        select r.incident_key, r.strategy_key, r.risk_score, r.risk_classification,
+          r.data_loss_risk, r.scope_size, w.strategy_key as recommended_strategy_key,
+          w.risk_score as best_risk_score, w.risk_classification as best_risk_classification,
+          w.data_loss_risk as best_data_loss_risk, w.scope_size as best_scope_size,
+          concat_ws(',', case when r.risk_score > w.risk_score then 'HIGHER_RISK' end,
+            case when r.risk_score = w.risk_score then 'EQUAL_RISK' end,
+            case when r.data_loss_risk <> w.data_loss_risk then 'OTHER_DATA_LOSS' end,
+            case when r.scope_size > w.scope_size then 'WIDER_SCOPE' end) as reasons
         from ranked r join ranked w on w.incident_key = r.incident_key and w.strategy_rank = 1
         where r.strategy_rank > 1"""),
     "decision_factors": over("decided", """
-        select d.incident_key, n as evaluated, concat(recommended_strategy_key,
-          ' has the least risk (', risk_score, ', ', risk_classification, ') among ',
-          n, ' rated strategies. ', recommended_strategy_key, ' scope: ', scope_size,
-          ' assets. Data-loss risk for ', recommended_strategy_key, ' is ''', data_loss_risk,
-          '''.') as factors
+        select d.incident_key, recommended_strategy_key, n as evaluated, risk_score,
+          risk_classification, data_loss_risk, scope_size
         from decided d join (select incident_key, count(*) as n from strategies
           group by incident_key) s on s.incident_key = d.incident_key"""),
     "strategy_candidates": over("incidents", _TEMPLATES + """
@@ -321,11 +303,10 @@ ORACLES = {
           'customer_gold_pipeline,gold.customer_summary' as business_critical_assets_in_scope
         from incidents, templates"""),
     "decision_critical": over("incidents", _TEMPLATES + """
-        select incident_key, cast(n as bigint) as evaluated, concat(strategy_id,
-          ' has the least risk (', risk_score, ', ', risk_classification, ') among ', n,
-          ' rated strategies. ', strategy_id, ' scope: ', scope_size,
-          ' assets. Data-loss risk for ', strategy_id, ' is ''LOW''. Critical assets in scope of ',
-          strategy_id, ': customer_gold_pipeline, gold.customer_summary.') as factors
+        select incident_key, strategy_id as recommended_strategy_id, cast(n as bigint) as evaluated,
+          cast(risk_score as bigint) as risk_score, risk_classification, 'LOW' as data_loss_risk,
+          cast(scope_size as bigint) as scope_size,
+          'customer_gold_pipeline,gold.customer_summary' as business_critical_assets_in_scope
         from incidents, (select *, count(*) over () as n from templates)
         where strategy_id = 'REC-002'"""),
     "decision_tradeoffs": over("incidents", """
@@ -355,10 +336,7 @@ ORACLES = {
             and s.data_loss_risk <> 'HIGH' then 'WAITING_FOR_HUMAN_APPROVAL' else 'BLOCKED' end
             as workflow_status,
           case when i.investigation_status = 'COMPLETED' and d.status = 'COMPLETED'
-            and s.data_loss_risk <> 'HIGH'
-            then concat('A person has to approve ', d.recommended_strategy_key, ' now.')
-            else 'Clear what blocks the analysis first.' end
-            as next_required_action
+            and s.data_loss_risk <> 'HIGH' then 'APPROVE' else 'UNBLOCK' end as next_step
         from investigated i left join decision_audit d on d.incident_key = i.incident_key
         left join strategies s on s.incident_key = i.incident_key
           and s.strategy_key = d.recommended_strategy_key"""),

@@ -12,7 +12,7 @@ from lakewarden.plans.decision_queries import INVESTIGATED
 from lakewarden.plans.oracle_inputs import over
 from lakewarden.plans.shape import plain
 from lakewarden.plans.trust_queries import evidence_lists
-from lakewarden.session import work_folder
+from lakewarden.session import stored, work_folder
 from lakewarden.sources import sinks, tables
 
 INCIDENT, STRATEGY = "incident_key", "strategy_key"
@@ -40,15 +40,8 @@ def _decided(spark: SparkSession, sf_dir: str) -> DataFrame:
     return risk.decide(risk.score(inputs.strategies(spark, sf_dir)))
 
 
-def _stored(df: DataFrame, purpose: str) -> DataFrame:
-    """Written once and read where it is used: an artifact that several steps share."""
-    folder = work_folder(df.sparkSession, purpose)
-    sinks.overwrite_parquet(df, folder)
-    return df.sparkSession.read.parquet(folder)
-
-
 def _recommended(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _stored(_decided(spark, sf_dir).select(
+    return stored(_decided(spark, sf_dir).select(
         INCIDENT, F.col("recommended_strategy_key").alias(STRATEGY)), "recommended")
 
 
@@ -157,9 +150,9 @@ def rca(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def investigation_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return investigated(spark, sf_dir).select(
+    return plain(investigated(spark, sf_dir).select(
         INCIDENT, "classification", "investigation_status", "investigation_confidence",
-        "investigation_reason", "investigation_summary")
+        "investigation_reason", "finding", "reported_unexpected", "reported_missing"))
 
 
 # Approvals ----------------------------------------------------------------------
@@ -185,9 +178,9 @@ def _without_cause(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _authorized(spark: SparkSession, sf_dir: str, recommended: DataFrame,
-                executed: bool = True) -> DataFrame:
+                executed: bool = True, state: DataFrame | None = None) -> DataFrame:
     """One request per incident; some ask for another strategy than was approved."""
-    approved = _state(spark, sf_dir).withColumnRenamed("decided_at", "approved_at").join(
+    approved = (state or _state(spark, sf_dir)).withColumnRenamed("decided_at", "approved_at").join(
         recommended, INCIDENT, "left")
     verified = inputs.incidents(spark, sf_dir).select(
         INCIDENT, F.col("post_execution_status").alias("verification_status"))
@@ -211,12 +204,12 @@ def publish_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def authorization_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records of severities P1 and P3, run again for P1 and P2 after some were executed."""
-    recommended = _recommended(spark, sf_dir)
+    recommended, state = _recommended(spark, sf_dir), stored(_state(spark, sf_dir), "approvals")
     severity = inputs.incidents(spark, sf_dir).select(INCIDENT, "severity")
 
     def records(executed: bool, left_out: str) -> DataFrame:
         wanted = severity.filter(F.col("severity") != left_out).select(INCIDENT)
-        return _authorized(spark, sf_dir, recommended, executed).join(wanted, INCIDENT)
+        return _authorized(spark, sf_dir, recommended, executed, state).join(wanted, INCIDENT)
 
     previous = records(False, "P2").withColumn(
         "authorized_at", F.lit("2024-01-15 00:00:00").cast("timestamp"))
@@ -299,15 +292,15 @@ def orphan_artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Memory -------------------------------------------------------------------------
 
 def _memory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    strategies = inputs.strategies(spark, sf_dir)
-    evaluated = strategies.groupBy(INCIDENT).agg(F.count(F.lit(1)).alias("strategies_evaluated"))
-    chosen = _decided(spark, sf_dir).select(
-        INCIDENT, F.col("recommended_strategy_key").alias("selected_strategy"))
-    previews = strategies.groupBy(INCIDENT).agg(
-        F.bool_or(F.col("data_loss_risk") != "HIGH").alias("simulation_completed"))
+    """What is known of each incident; its strategies are aggregated in one pass."""
+    scored = risk.score(inputs.strategies(spark, sf_dir))
     made = (incidents.controls(_classified(spark, sf_dir), [INCIDENT]).groupBy(INCIDENT)
             .agg(F.count(F.lit(1)).alias("controls_generated")))
-    return incidents.memory(_incidents(spark, sf_dir), evaluated, chosen, previews, made)
+    tried = risk.outcome(scored, {
+        "strategies_evaluated": F.count(F.lit(1)),
+        "simulation_completed": F.bool_or(F.col("data_loss_risk") != "HIGH")})
+    return incidents.memory(_incidents(spark, sf_dir), tried.withColumnRenamed(
+        f"best_{STRATEGY}", "selected_strategy"), made)
 
 
 def memory_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -648,8 +641,6 @@ ORACLES = {
           case when post_execution_status = 'PASSED' and error_type = 'SCHEMA_DRIFT' then 4 else 0
             end as n_controls,
           case when post_execution_status <> 'PASSED'
-            then 'Successful recovery verification now.'
-            when error_type <> 'SCHEMA_DRIFT'
-            then 'There are no controls for this cause.' end as reason
+            then 'NOT_VERIFIED' when error_type <> 'SCHEMA_DRIFT' then 'NO_CONTROLS' end as reason
         from incidents"""),
 }

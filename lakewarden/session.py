@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from functools import cache
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app_name: str = "lakewarden", master: str | None = None,
@@ -58,3 +58,15 @@ def checkpoint_root(spark: SparkSession) -> str:
 def work_folder(spark: SparkSession, purpose: str) -> str:
     """A new folder name under the shared root; each call gets its own."""
     return f"{checkpoint_root(spark)}/lakewarden/{purpose}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, purpose: str) -> DataFrame:
+    """The rows, written once to the shared folder and read back.
+
+    For results that several steps share, and for the small side of a join with a key
+    that may hold much of the other: behind an aggregation on that key adaptive
+    execution cannot split it, behind a scan it can.
+    """
+    folder = work_folder(df.sparkSession, purpose)
+    df.write.parquet(folder)
+    return df.sparkSession.read.parquet(folder)

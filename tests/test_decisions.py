@@ -111,11 +111,10 @@ def test_rejected_reasons(spark, rows):
          (1, "D", None, None, "LOW", 2)],
         "incident_key int, strategy_key string, risk_score bigint, risk_classification string, "
         "data_loss_risk string, scope_size bigint")
-    got = dict(rows(risk.rejected(df), "strategy_key", F.array_join("reasons", " / ")))
-    assert got == {
-        "B": "risk score 8 equals A's, which wins by scope and id. / data-loss risk is "
-             "'HIGH' vs 'LOW' of the winner. / touches more (3 assets vs 2).",
-        "C": "risk score 11 (H) is higher than A's 8.", "D": "not rated."}
+    got = rows(risk.rejected(df), "strategy_key", "recommended_strategy_key", "risk_score", "best_risk_score",
+               F.array_join("reasons", ","))
+    assert got == [("B", "A", 8, 8, "EQUAL_RISK,OTHER_DATA_LOSS,WIDER_SCOPE"), ("C", "A", 11, 8, "HIGHER_RISK"),
+                   ("D", "A", None, 8, "UNRATED")]
 
 
 def test_candidates_and_tradeoffs(spark, rows):
@@ -133,13 +132,17 @@ def test_decision_audit(spark, rows):
     decisions = spark.createDataFrame([(1, 5, 8), (2, 5, 9), (3, 7, 8), (4, None, None)],
                                       "incident_key int, recommended_strategy_key int, risk_score bigint")
     got = rows(risk.audit_decisions(decisions, known, known), "incident_key", "status", "reason")
-    assert got == [(1, "COMPLETED", None), (2, "BLOCKED", "The decision and the rating differ."),
-                   (3, "BLOCKED", "The decision names no known strategy: 7."),
-                   (4, "BLOCKED", "There is no decision or no rating.")]
+    assert got == [(1, "COMPLETED", None), (2, "BLOCKED", "SCORE_DIFFERS"),
+                   (3, "BLOCKED", "UNKNOWN_STRATEGY"), (4, "BLOCKED", "NO_DECISION")]
 
 
 def test_decision_factors(spark):
     got = risk.factors(scored(spark, (1, 5, 8, 2), (1, 6, 9, 1), (1, 7, None, 1), (2, 5, None, 1)))
-    assert [tuple(r) for r in got.collect()] == [(1, 2, [
-        "5 has the least risk (8, X) among 2 rated strategies.",
-        "5 scope: 2 assets.", "Data-loss risk for 5 is 'LOW'."])]
+    assert [tuple(r)[:4] for r in got.collect()] == [(1, 5, 2, 8)]
+
+
+def test_outcome_is_the_decision(spark, rows):
+    df = scored(spark, (1, 5, 8, 2), (1, 6, 8, 1), (1, 4, 8, 1), (1, 7, None, 0), (2, 5, None, 1), (3, 9, 3, 1))
+    got = rows(risk.outcome(df, {"n": F.count("risk_score")}))
+    assert got == [(1, 4, 3), (2, None, 0), (3, 9, 1)]
+    assert [r[:2] for r in got] == rows(risk.decide(df), "incident_key", "recommended_strategy_key")

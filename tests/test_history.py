@@ -280,15 +280,19 @@ def test_prevention_status(spark):
     got = incidents.prevention_status(df, ["incident_key"]).collect()
     assert [(r.prevention_status, r.n_controls) for r in got] \
         == [("COMPLETED", 4), ("BLOCKED", 0), ("BLOCKED", 0)]
-    assert got[2].reason == "There are no controls for this cause."
+    assert [r.reason for r in got] == [None, "NOT_VERIFIED", "NO_CONTROLS"]
 
 
-def test_investigation_summary(spark):
-    df = spark.createDataFrame([("SCHEMA_DRIFT", ["a", "c"], ["a", "b"], ["b"], ["c"])],
-                               f"error_type string, {LISTS}")
-    got = incidents.investigate(incidents.root_cause(df)).collect()[0].investigation_summary
-    assert got == (f"SCHEMA_CONTRACT_VIOLATION: {fixed.ROOT_CAUSES[0][2]} Unexpected column(s): b. "
-                   "Missing required column(s): c.")
+def test_investigation_finding(spark):
+    df = spark.createDataFrame([("SCHEMA_DRIFT", ["a", "c"], ["a", "b"], ["b"], ["c"]), ("SCHEMA_DRIFT", None, None, [], []),
+                                ("SCHEMA_DRIFT", ["a"], None, [], []), ("SCHEMA_DRIFT", ["a"], ["b"], [], []),
+                                ("OTHER", ["a"], ["a"], [], [])], f"error_type string, {LISTS}")
+    got = incidents.investigate(incidents.root_cause(df)).collect()
+    assert [(r.finding, r.investigation_reason, r.investigation_confidence) for r in got] == [
+        ("SCHEMA_CONTRACT_VIOLATION", None, "HIGH"), (None, "NO_EVIDENCE", "INSUFFICIENT_EVIDENCE"),
+        (None, "INCOMPLETE_EVIDENCE", "INSUFFICIENT_EVIDENCE"), (None, "CONFLICTING_EVIDENCE", "INSUFFICIENT_EVIDENCE"),
+        (None, None, "INSUFFICIENT_EVIDENCE")]
+    assert got[0].reported_unexpected == ["b"] and got[0].reported_missing == ["c"]
 
 
 def test_workflow_status(spark, rows):
@@ -301,9 +305,9 @@ def test_workflow_status(spark, rows):
                                    (4, 7, "PASSED")],
                                   "incident_key int, strategy_key int, preview_status string")
     got = rows(incidents.workflow_status(seen, chosen, tried), "incident_key", "workflow_status",
-               "next_required_action")
-    blocked = ("BLOCKED", "Clear what blocks the analysis first.")
-    assert got == [(1, "WAITING_FOR_HUMAN_APPROVAL", "A person has to approve 7 now.")] + [
+               "next_step")
+    blocked = ("BLOCKED", "UNBLOCK")
+    assert got == [(1, "WAITING_FOR_HUMAN_APPROVAL", "APPROVE")] + [
         (i, *blocked) for i in (2, 3, 4, 5)]
 
 
