@@ -211,6 +211,12 @@ def signature(any_order: bool = False) -> Column:
                     .alias("unexpected_columns"))
 
 
+def signature_tokens() -> Column:
+    """A signature as a set, for near matches: the error type and each unexpected column."""
+    kind = F.array_compact(F.array("error_type"))
+    return F.array_union(kind, F.coalesce("unexpected_columns", F.array().cast("array<string>")))
+
+
 def similar_groups(memories: DataFrame, incident: str = "incident_key") -> DataFrame:
     """Each incident with its signature and how many other incidents like it were verified.
 

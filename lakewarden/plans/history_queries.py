@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakewarden import fixed
-from lakewarden.operators import approvals, audit, incidents, risk
+from lakewarden.operators import approvals, audit, incidents, risk, similarity
 from lakewarden.plans import inputs
 from lakewarden.plans.decision_queries import INVESTIGATED
 from lakewarden.plans.oracle_inputs import over
@@ -314,6 +314,12 @@ def similar_incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return incidents.similar_groups(_memory(spark, sf_dir)).drop("signature_id")
 
 
+def similar_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Incidents of feeds with what is known of kinds that share 60 % of error type and columns."""
+    rows = inputs.feed_incidents(spark, sf_dir).withColumn("tokens", incidents.signature_tokens())
+    return similarity.near_classes(rows, INCIDENT, "tokens", "verified")
+
+
 def similar_partners(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The verified incidents that are like one given incident."""
     return incidents.similar_to(_memory(spark, sf_dir), ASKED_INCIDENT)
@@ -351,6 +357,7 @@ QUERIES = {
     "orphan_artifacts": orphan_artifacts,
     "memory_facts": memory_facts,
     "similar_incidents": similar_incidents,
+    "similar_near": similar_near,
     "similar_partners": similar_partners,
     "prevention_controls": prevention_controls,
     "prevention_status": prevention_status,
@@ -619,6 +626,21 @@ ORACLES = {
             (partition by error_type, unexpected_columns)
             - case when verification_completed then 1 else 0 end as bigint) as similar_verified
         from memory"""),
+    "similar_near": over("feed_tokens", """
+        , kinds as (select incident_key, list_sort(list(token)) as tokens from feed_tokens group by all),
+        rows as (select incident_key, tokens, o_orderpriority < '3' as ok
+          from kinds join orders on o_orderkey = incident_key),
+        classes as (select tokens, min(incident_key) as c, count(*) as n, count(*) filter (where ok) as v
+          from rows group by tokens),
+        parts as (select c, len(tokens) as n, unnest(tokens) as token from classes),
+        common as (select a.c as a, b.c as b, count(*) as k, any_value(a.n) + any_value(b.n) as n
+          from parts a join parts b on a.token = b.token and a.c <> b.c group by a.c, b.c),
+        near as (select a, count(*) as near_classes, sum(v) as near_n
+          from common join classes on c = b where 100 * k >= 60 * (common.n - k) group by a)
+        select incident_key, c as representative, n as class_size,
+          coalesce(near_classes, 0) as near_classes,
+          cast(v + coalesce(near_n, 0) - cast(ok as int) as bigint) as near_verified
+        from rows join classes on rows.tokens = classes.tokens left join near on a = c"""),
     "similar_partners": over("incidents strategies decided", _MEMORY + f"""
         select o.incident_id, o.incident_type, o.pipeline, o.selected_strategy
         from memory o, memory m

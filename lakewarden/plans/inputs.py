@@ -205,3 +205,14 @@ def orders_after(spark: SparkSession, sf_dir: str) -> DataFrame:
         "price_cents": F.when(key % 89 == 0, F.col("price_cents") + 1)
         .otherwise(F.col("price_cents"))})
     return edited.union(kept.filter(key % 101 == 0))
+
+
+def feed_incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One incident per order: its kind, and the supplier feeds that carry unexpected columns."""
+    feeds = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_set(
+        F.concat(F.lit("feed_"), F.col("l_suppkey").cast("string"))).alias("unexpected_columns"))
+    orders = table(spark, sf_dir, "orders")
+    return orders.join(feeds, F.col("o_orderkey") == F.col("l_orderkey"), "left").select(
+        F.col("o_orderkey").alias("incident_key"),
+        F.concat(F.lit("DRIFT_"), F.col("o_orderstatus")).alias("error_type"), "unexpected_columns",
+        (F.col("o_orderpriority") < "3").alias("verified"))

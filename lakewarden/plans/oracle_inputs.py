@@ -128,6 +128,12 @@ select o_orderkey, o_custkey, o_orderstatus, cast(round(o_totalprice * 100) as b
 from orders where o_orderkey % 101 = 0 and o_orderkey % 97 <> 0
 """
 
+FEED_TOKENS = """
+select o_orderkey as incident_key, concat('DRIFT_', o_orderstatus) as token from orders
+union
+select o_orderkey, concat('feed_', l_suppkey) from orders join lineitem on l_orderkey = o_orderkey
+"""
+
 # The latest row per customer.
 DEDUPLICATED = """
 select * exclude (rn) from (
@@ -237,6 +243,7 @@ INPUTS = {
     "decided": (DECIDED, ["ranked"]),
     "audit_events": (AUDIT_EVENTS, []),
     "lineage_edges": (LINEAGE_EDGES, []),
+    "feed_tokens": (FEED_TOKENS, []),
     "orders_before": (ORDERS_BEFORE, []),
     "orders_after": (ORDERS_AFTER, []),
 }
