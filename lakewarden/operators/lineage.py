@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,27 +16,28 @@ def reach(edges: DataFrame, starts: DataFrame, max_depth: int | None = None, hop
     ``edges`` has ``src`` and ``dst``; ``starts`` has ``start``.  A start is listed
     with depth 0; cycles and nodes reached twice are visited once.
 
-    Breadth first, ``hops`` levels a round: the newest level is joined with the edges
-    that many times, each node keeps its least depth, and nodes of earlier rounds are
-    dropped.  So visited rows are read and moved once in ``hops`` levels; in exchange a
-    round walks up to ``hops - 1`` steps past a node that was visited before.  Each
-    round is written to the shared folder, which ends the plan's growth and survives
-    lost executors, and lets Spark plan the next joins by the true size of the round: a
-    small one is broadcast, a large one is shuffled with adaptive skew handling.  The
-    number of jobs is the depth of the graph over ``hops``, not its size.
+    Breadth first, ``hops`` levels a round: the newest level is joined with the edges that
+    many times, each node keeps its least depth, and nodes of earlier rounds are dropped;
+    so a round may walk up to ``hops - 1`` steps past a node that was visited before.  Visited rows stand in a
+    table that is bucketed by start and node: only the new rows of a round move, to
+    where the visited ones are, however many those are.  The table lies in the shared
+    folder, one partition a round, which ends the plan's growth, survives lost executors
+    and lets Spark plan by the true size of the newest level.
     """
     spark = edges.sparkSession
     folder = work_folder(spark, "reach")
+    name = f"reach_{folder[-32:]}"
     kind = dict(starts.dtypes)["start"]
-    rows = f"start {kind}, node {kind}, depth int"
     edges = edges.select("src", "dst").filter((F.col("src") != F.col("dst")) & F.col("dst").isNotNull()).persist()
-    paths = [f"{folder}/round=0"]
-    (starts.filter(F.col("start").isNotNull()).select("start").distinct()
-     .select("start", F.col("start").alias("node"), F.lit(0).alias("depth")).write.parquet(paths[0]))
-    depth = 0
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    add = partial(add_round, name=name, folder=folder, buckets=buckets)
+    add(starts.filter(F.col("start").isNotNull()).select("start").distinct()
+        .select("start", F.col("start").alias("node"), F.lit(0).alias("depth")), number=0)
+    depth = number = 0
     try:
         while max_depth is None or depth < max_depth:
-            level = spark.read.schema(rows).parquet(paths[-1]).filter(F.col("depth") == depth)
+            level = spark.table(name).filter((F.col("round") == number) & (F.col("depth") == depth)).drop("round")
             if level.isEmpty():
                 break
             last = depth + hops if max_depth is None else min(depth + hops, max_depth)
@@ -47,12 +48,24 @@ def reach(edges: DataFrame, starts: DataFrame, max_depth: int | None = None, hop
                     "start", F.col("dst").cast(kind).alias("node"), F.lit(depth).alias("depth")).distinct()
                 levels.append(level)
             least = reduce(DataFrame.unionAll, levels).groupBy("start", "node").agg(F.min("depth").alias("depth"))
-            visited = spark.read.schema(rows).parquet(*paths)
-            paths.append(f"{folder}/round={len(paths)}")
-            least.join(visited, ["start", "node"], "left_anti").write.parquet(paths[-1])
+            number += 1
+            add(unvisited(least, spark.table(name)), number=number)
     finally:
         edges.unpersist()
-    return spark.read.schema(rows).parquet(*paths)
+        spark.sql(f"drop table if exists {name}")  # the name only; its files are the result
+    return spark.read.schema(f"start {kind}, node {kind}, depth int").parquet(folder)
+
+
+def add_round(rows: DataFrame, name: str, folder: str, buckets: int, number: int) -> None:
+    """New rows become a partition of the visited ones, one file a bucket."""
+    (rows.select("start", "node", "depth", F.lit(number).alias("round")).repartition(buckets, "start", "node")
+     .write.mode("append").format("parquet").partitionBy("round").bucketBy(buckets, "start", "node")
+     .option("path", folder).saveAsTable(name))
+
+
+def unvisited(rows: DataFrame, visited: DataFrame) -> DataFrame:
+    """Rows of which the visited ones, where they lie in buckets, need not move."""
+    return rows.join(visited, ["start", "node"], "left_anti")
 
 
 def blast_radius(reached: DataFrame, edges: DataFrame) -> DataFrame:
@@ -69,6 +82,19 @@ def blast_radius(reached: DataFrame, edges: DataFrame) -> DataFrame:
         F.coalesce(F.sum("out_edges"), F.lit(0).cast("bigint")).alias("listed")))
 
 
+def incident_radius(assets: DataFrame, reached: DataFrame, incident: str = "incident_key") -> DataFrame:
+    """Per incident: its assets, the distinct nodes downstream of any of them, and the depth.
+
+    ``assets`` has the incident and its ``asset``; ``reached`` comes from ``reach`` with the
+    assets as starts, so assets that several incidents share are walked from once.
+    """
+    own = assets.select(incident, "asset").distinct()
+    rows = own.join(reached.select(F.col("start").alias("asset"), "node", "depth"), "asset")
+    nodes = rows.groupBy(incident, "node").agg(F.max("depth").alias("far"), F.count_if(F.col("depth") == 0).alias("own"))
+    return nodes.groupBy(incident).agg(
+        F.sum("own").alias("n_assets"), F.count_if(F.col("far") > 0).alias("impacted"), F.max("far").alias("max_depth"))
+
+
 def impact(reached: DataFrame, catalogue: DataFrame) -> DataFrame:
     """Downstream assets with what the catalogue knows of them; unknown ones stay, with NULLs.
 

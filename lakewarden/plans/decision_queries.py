@@ -10,6 +10,7 @@ from lakewarden.operators import incidents, lineage, risk
 from lakewarden.plans import inputs
 from lakewarden.plans.oracle_inputs import over
 from lakewarden.plans.shape import plain
+from lakewarden.session import stored
 
 INCIDENT, STRATEGY = "incident_key", "strategy_key"
 
@@ -41,6 +42,17 @@ def lineage_multi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lineage.blast_radius(lineage.reach(edges, _all_starts(edges)), edges)
 
 
+def lineage_incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What lies downstream of the parts of returned, urgent orders; each order is an incident."""
+    urgent = inputs.table(spark, sf_dir, "orders").filter(F.col("o_orderpriority") < "2").select(
+        F.col("o_orderkey").alias(INCIDENT))
+    parts = inputs.table(spark, sf_dir, "lineitem").filter("l_returnflag = 'R'").select(
+        F.col("l_orderkey").alias(INCIDENT), F.col("l_partkey").alias("asset"))
+    assets = stored(parts.join(urgent, INCIDENT, "left_semi"), "assets")
+    reached = lineage.reach(inputs.lineage_edges(spark, sf_dir), assets.select(F.col("asset").alias("start")))
+    return lineage.incident_radius(assets, reached)
+
+
 def _catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is known of the parts, as a catalogue."""
     part = inputs.table(spark, sf_dir, "part")
@@ -163,6 +175,7 @@ QUERIES = {
     "lineage_reach": lineage_reach,
     "lineage_depth": lineage_depth,
     "lineage_multi": lineage_multi,
+    "lineage_incidents": lineage_incidents,
     "impact_report": impact_report,
     "risk_score": risk_score,
     "risk_score_weighted": risk_score_weighted,
@@ -262,6 +275,17 @@ ORACLES = {
     "lineage_reach": over("lineage_edges", _ONE + "select * from reached", recursive=True),
     "lineage_depth": over("lineage_edges", _ONE + _RADIUS, recursive=True),
     "lineage_multi": over("lineage_edges", _MANY + _RADIUS, recursive=True),
+    "lineage_incidents": over("lineage_edges", """
+        , assets as (select distinct l_orderkey as incident_key, l_partkey as asset
+          from lineitem join orders on o_orderkey = l_orderkey
+          where l_returnflag = 'R' and o_orderpriority < '2')
+        """ + _REACH.format(start="asset", source="(select distinct asset from assets)") + """
+        , nodes as (
+          select incident_key, node, max(depth) as far, count(*) filter (where depth = 0) as own
+          from assets join reached on start = asset group by incident_key, node)
+        select incident_key, cast(sum(own) as bigint) as n_assets,
+          count(*) filter (where far > 0) as impacted, max(far) as max_depth
+        from nodes group by incident_key""", recursive=True),
     "impact_report": over("lineage_edges", _ONE + """
         select start, node as asset, depth, p_type as asset_type,
           case when p_partkey is null then null when p_size > 33 then 'HIGH'

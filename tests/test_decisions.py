@@ -30,6 +30,29 @@ def test_reach(spark, rows, edges, names, want):
     assert rows(out, "start", "node", "depth") == want
 
 
+def test_visited_rows_do_not_move(spark, tmp_path):
+    seen = spark.range(1000).selectExpr("id as start", "id * 7 as node", "1 as depth")
+    for number in range(3):
+        lineage.add_round(seen.withColumn("node", F.col("node") + number), "seen_before", str(tmp_path / "t"), 8, number)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        left = lineage.unvisited(seen.withColumn("node", F.col("node") + 2 * (F.col("start") % 2)), spark.table("seen_before"))
+        assert left.count() == 0
+        left = lineage.unvisited(seen.withColumn("node", F.col("node") + 5), spark.table("seen_before"))
+        plan = left._jdf.queryExecution().executedPlan().toString()
+        assert left.count() == 1000 and plan.count("Exchange hashpartitioning") == 1 and "Bucketed: true" in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", str(10 * 2 ** 20))
+        spark.sql("drop table seen_before")
+
+
+def test_incident_radius(spark, rows):
+    reached = lineage.reach(graph(spark, [("a", "b"), ("b", "c"), ("x", "c"), ("c", "a")]), starts(spark, "a", "x"))
+    assets = spark.createDataFrame([(1, "a"), (1, "x"), (1, "a"), (2, "x"), (3, "q")], "incident_key int, asset string")
+    assert rows(lineage.incident_radius(assets, reached)) == [(1, 2, 3, 3), (2, 1, 3, 3)]
+    assert spark.catalog.listTables() == []
+
+
 def test_reach_to_a_depth(spark, rows):
     out = lineage.reach(graph(spark, [("a", "b"), ("b", "c")]), starts(spark, "a"), max_depth=1)
     assert rows(out, "node") == [("a",), ("b",)]
