@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _orderable(df: DataFrame) -> list[str]:
+def orderable(df: DataFrame) -> list[str]:
+    """The columns whose values have an order."""
     return [f.name for f in df.schema.fields if f.dataType.typeName() not in ("map", "variant")]
 
 
@@ -22,7 +23,7 @@ def latest_by_key(df: DataFrame, keys: Sequence[str], latest: Sequence[str],
     shuffle (WindowGroupLimit), so a hot key costs one row per partition.
     """
     if tiebreak is None:
-        rest = [c for c in _orderable(df) if c not in set(keys) | set(latest)]
+        rest = [c for c in orderable(df) if c not in set(keys) | set(latest)]
         tiebreak = [F.asc_nulls_last(c) for c in rest]
     order = [F.desc_nulls_last(c) for c in latest] + list(tiebreak)
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
@@ -40,7 +41,7 @@ def one_per_key(df: DataFrame, keys: Sequence[str],
     ``prefer`` orders the candidates; all columns decide what is left, so the
     survivor is fixed where a plain ``dropDuplicates`` would keep any.
     """
-    rest = [F.asc_nulls_last(c) for c in _orderable(df) if c not in set(keys)]
+    rest = [F.asc_nulls_last(c) for c in orderable(df) if c not in set(keys)]
     order = [*(prefer or []), *rest] or [F.lit(1)]
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
     return df.withColumn("_rank", rank).filter(F.col("_rank") == 1).drop("_rank")

@@ -102,7 +102,8 @@ def stream_window_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
         stream.write_split(arriving, "ts", "3 days", to, f"{to}/split", "1 day")
         on_time = stream.read_on_time(spark, to, arriving.schema)
         counted = stream.window_counts(on_time, "ts", "1 day", ["action"], "3 days")
-        return stream.write_updates(counted, f"{to}/counts", f"{to}/checkpoint")
+        return stream.write_updates(counted, f"{to}/counts", f"{to}/checkpoint", ["window_start", "action"], "n_events",
+                                    every=2)
 
     folder, _ = _run_per_arrival(spark, _thirds(inputs.audit_events(spark, sf_dir)), "windows",
                                  count)
@@ -118,11 +119,27 @@ def stream_scorecard(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder, _ = _run_per_arrival(
         spark, sent, "score",
         lambda arriving, to: stream.write_scorecard(arriving, medallion.customer_rules(),
-                                                    f"{to}/counts", f"{to}/checkpoint"))
+                                                    f"{to}/counts", f"{to}/checkpoint", every=2))
     return stream.total_scorecard(spark, f"{folder}/counts")
 
 
+def stream_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The customer master kept up to date while new, stale and repeated rows arrive."""
+    feed = inputs.customer_feed(spark, sf_dir)
+    sent = [feed.filter(F.col("data_source_system") == s) for s in ("CRM_NEW", "CRM_LEGACY", "POS", "CRM_NEW")]
+    # The legacy system's rows are older than what has come before; then a part of it all comes again.
+    sent[3] = sent[3].filter(F.col("customer_id") % 3 == 0)
+    key, latest = ["customer_id"], ["last_updated_at"]
+    folder, _ = _run_per_arrival(
+        spark, sent, "latest",
+        lambda arriving, to: stream.write_latest(arriving, key, latest, f"{to}/rows", f"{to}/checkpoint", every=2,
+                                                 buckets=8))
+    return plain(stream.read_latest(spark, f"{folder}/rows", key, latest).select(
+        "customer_id", "customer_name", "email", "country", "status", "last_updated_at", "data_source_system"))
+
+
 QUERIES = {
+    "stream_latest": stream_latest,
     "stream_ingest": stream_ingest,
     "stream_dedup": stream_dedup,
     "stream_late": stream_late,
@@ -144,6 +161,9 @@ _RULE_COLUMNS = {
 }
 
 ORACLES = {
+    "stream_latest": over("deduplicated", """
+        select customer_id, customer_name, email, country, status, last_updated_at, data_source_system
+        from deduplicated"""),
     "stream_ingest": """
         select *, timestamp '2002-01-01' as ingestion_timestamp, 'events' as source_file_name,
           case when ts < timestamp '2024-01-11' then 'batch-0'

@@ -8,16 +8,17 @@ failure leaves its rows once.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import BooleanType, IntegerType, StructField, StructType
 
-from lakewarden.operators import rules
+from lakewarden.operators import dedup, rules
 from lakewarden.operators.rules import Rule
 from lakewarden.plans import medallion
+from lakewarden.streaming import generations
 
 
 def read_files(spark: SparkSession, folder: str, schema: StructType | str,
@@ -78,39 +79,62 @@ def write_ingest(stream: DataFrame, folder: str, checkpoint: str, batch_prefix:
     return _run(stream.writeStream.foreachBatch(write), checkpoint)
 
 
-def write_updates(stream: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
-    """Changed result rows of every micro-batch, each in its own folder."""
+def _write_merged(stream: DataFrame, folder: str, checkpoint: str, mode: str, reduced: Callable[[DataFrame], DataFrame],
+                  merge: generations.Merge, every: int, keys: Sequence[str] = (), buckets: int = 0) -> StreamingQuery:
+    """Store what each micro-batch comes to, and merge it into a generation after every so many."""
 
     def write(rows: DataFrame, batch: int) -> None:
-        rows.write.mode("overwrite").parquet(f"{folder}/batch={batch}")
+        generations.store(reduced(rows), folder, batch)
+        if (batch + 1) % every == 0:
+            generations.compact(rows.sparkSession, folder, batch, merge, keys, buckets)
 
-    return _run(stream.writeStream.outputMode("update").foreachBatch(write), checkpoint)
+    return _run(stream.writeStream.outputMode(mode).foreachBatch(write), checkpoint)
+
+
+def write_updates(stream: DataFrame, folder: str, checkpoint: str, keys: Sequence[str], value: str,
+                  every: int = 10) -> StreamingQuery:
+    """Changed result rows of every micro-batch, merged to the last value per key."""
+    return _write_merged(stream, folder, checkpoint, "update", lambda rows: rows,
+                         generations.last_values(keys, value), every)
 
 
 def latest_update(spark: SparkSession, folder: str, keys: Sequence[str], value: str) -> DataFrame:
     """The present result behind ``write_updates``: the value of the last batch per key."""
-    return (spark.read.parquet(folder).groupBy(*keys)
-            .agg(F.max_by(value, "batch").alias(value)))
+    return generations.current(spark, folder, generations.last_values(keys, value)).drop("batch")
 
 
 def write_scorecard(stream: DataFrame, row_rules: Sequence[Rule], folder: str,
-                    checkpoint: str) -> StreamingQuery:
-    """Broken-rule counts of every micro-batch."""
+                    checkpoint: str, every: int = 10) -> StreamingQuery:
+    """Broken-rule counts of every micro-batch, merged to their sums."""
 
-    def write(rows: DataFrame, batch: int) -> None:
+    def counted(rows: DataFrame) -> DataFrame:
         marked = rules.evaluate(rows, row_rules)
         clean = F.size(rules.flags(row_rules)) == 0
-        (marked.agg(F.count(F.lit(1)).alias("n_rows"), *rules.broken_counts(marked, row_rules),
-                    F.count_if(clean).alias("n_clean"))
-         .write.mode("overwrite").parquet(f"{folder}/batch={batch}"))
+        return marked.agg(F.count(F.lit(1)).alias("n_rows"), *rules.broken_counts(marked, row_rules),
+                          F.count_if(clean).alias("n_clean"))
 
-    return _run(stream.writeStream.foreachBatch(write), checkpoint)
+    return _write_merged(stream, folder, checkpoint, "append", counted, generations.sums, every)
 
 
 def total_scorecard(spark: SparkSession, folder: str) -> DataFrame:
     """Counts over all micro-batches so far."""
-    batches = spark.read.parquet(folder).drop("batch")
-    return batches.agg(*[F.sum(c).alias(c) for c in batches.columns])
+    return generations.current(spark, folder, generations.sums)
+
+
+def write_latest(stream: DataFrame, keys: Sequence[str], latest: Sequence[str], folder: str, checkpoint: str,
+                 every: int = 10, buckets: int = 64) -> StreamingQuery:
+    """The latest row per key of everything that ever came, in whatever order, as batch deduplication keeps it.
+
+    Unlike ``deduplicated`` no row is too late; there is no state but the stored rows.
+    With at least as many ``buckets`` as shuffle partitions, only new rows move in a merge.
+    """
+    return _write_merged(stream, folder, checkpoint, "append", lambda rows: dedup.latest_by_key(rows, keys, latest),
+                         generations.latest_rows(keys, latest), every, keys, buckets)
+
+
+def read_latest(spark: SparkSession, folder: str, keys: Sequence[str], latest: Sequence[str]) -> DataFrame:
+    """The present rows behind ``write_latest``."""
+    return generations.current(spark, folder, generations.latest_rows(keys, latest), keys)
 
 
 # Late rows ----------------------------------------------------------------------

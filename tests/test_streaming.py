@@ -1,8 +1,10 @@
 import pytest
 from pyspark.sql import functions as F
 
+from lakewarden.operators import dedup
 from lakewarden.operators.rules import Rule
 from lakewarden.streaming import events as stream
+from lakewarden.streaming import generations
 
 SCHEMA = "id int, ts timestamp, kind string"
 
@@ -81,7 +83,7 @@ def test_window_split_sets_rows_without_a_time_aside(spark, folder, rows):
 def test_window_counts(spark, folder, rows):
     def run():
         counted = stream.window_counts(source(spark, folder), "ts", "1 hour", ["kind"], "2 hours")
-        stream.write_updates(counted, f"{folder}/out", f"{folder}/checkpoint")
+        stream.write_updates(counted, f"{folder}/out", f"{folder}/checkpoint", ["window_start", "kind"], "n_events")
     arrive(spark, folder, (1, 0, "a"), (2, 59, "a"), (3, 60, "b"))
     run()
     arrive(spark, folder, (4, 30, "a"), (5, 61, "b"))
@@ -101,3 +103,64 @@ def test_ingest_and_scorecard(spark, folder):
     assert {(r.id, r.ingestion_batch_id) for r in got} == {(1, "b-0"), (2, "b-0"), (3, "b-1")}
     assert stream.total_scorecard(spark, f"{folder}/score").collect()[0].asDict() \
         == {"n_rows": 3, "odd": 2, "n_clean": 1}
+
+
+def test_files_read_stay_bounded_over_a_hundred_batches(spark, folder):
+    merge = generations.last_values(["k"], "v")
+    want, most = {}, 0
+    for batch in range(100):
+        rows = [(k, batch * 10 + k) for k in range(batch % 4, 8, 4)]
+        want.update(rows)
+        generations.store(spark.createDataFrame(rows, "k int, v int").coalesce(1), folder, batch)
+        if batch % 10 == 9:
+            generations.compact(spark, folder, batch, merge)
+        if batch % 9 == 8:
+            got = generations.current(spark, folder, merge)
+            most = max(most, len(got.inputFiles()))
+            assert {r.k: r.v for r in got.collect()} == want
+    assert most <= 20
+    assert spark.read.parquet(f"{folder}/batches").select("batch").distinct().count() <= 20
+
+
+def test_a_batch_that_runs_again_counts_once(spark, folder):
+    def add(batch, n):
+        generations.store(spark.createDataFrame([(n,)], "n long"), folder, batch)
+
+    for batch in range(4):
+        add(batch, 10 ** batch)
+        if batch % 2:
+            generations.compact(spark, folder, batch, generations.sums)
+    for _ in range(2):  # the merge, or what comes after it, failed: the batch runs again
+        add(3, 1000)
+        generations.compact(spark, folder, 3, generations.sums)
+    assert generations.current(spark, folder, generations.sums).first().n == 1111
+    add(4, 5)
+    add(4, 7)
+    assert generations.current(spark, folder, generations.sums).first().n == 1118
+
+
+def test_latest_rows_as_in_a_batch(spark, folder, rows):
+    draw = __import__("random").Random(5)
+    parts = [[(draw.choice([None, 1, 2, 3, 4, 5]), draw.choice([None, 1, 2, 3]), draw.choice([None, "a", "b"]), batch)
+              for _ in range(6)] for batch in range(7)]
+    schema = "k int, t int, x string, n int"
+    merge = generations.latest_rows(["k"], ["t"])
+    for batch, part in enumerate(parts):
+        df = spark.createDataFrame(part, schema)
+        generations.store(df, folder, batch)
+        if batch % 2:
+            generations.compact(spark, folder, batch, merge, ["k"], 8)
+        so_far = spark.createDataFrame([r for p in parts[:batch + 1] for r in p], schema)
+        got = generations.current(spark, folder, merge, ["k"])
+        assert rows(got) == rows(dedup.latest_by_key(so_far, ["k"], ["t"]))
+    # A new session does not know the table; only new rows move to the buckets.
+    for t in spark.catalog.listTables():
+        if t.name.startswith("generation_"):
+            spark.sql(f"drop table {t.name}")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = generations.current(spark, folder, merge, ["k"])
+        assert rows(got) == rows(dedup.latest_by_key(so_far, ["k"], ["t"]))
+        assert "Bucketed: true" in got._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", str(10 * 2 ** 20))
