@@ -153,6 +153,26 @@ def reconcile_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reconcile.set_diff(before, after)
 
 
+def reconcile_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders against a copy in which only keys of a few ranges changed."""
+    before, after = _before_after(spark, sf_dir)
+    local = F.col("o_orderkey") % 20_000 < 500
+    mixed = after.filter(local).unionAll(before.filter(~local))
+    return plain(reconcile.range_diff(before, mixed, "o_orderkey"))
+
+
+def reconcile_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders against a copy with a column less, one more and one retyped: columns, then keys that changed."""
+    before, after = _before_after(spark, sf_dir)
+    after = after.withColumns({"price_cents": F.col("price_cents").cast("string"), "channel": F.lit("web")}).drop(
+        "o_orderdate")
+    columns = reconcile.schema_changes(spark, before, after).select(
+        F.lit("column").alias("kind"), F.col("column").alias("subject"), "change", F.lit("").alias("changed_columns"))
+    rows = reconcile.keyed_diff(before, after, ORDER_KEYS).select(
+        F.lit("row"), F.col("o_orderkey").cast("string"), "change", F.array_join("changed_columns", ","))
+    return columns.unionAll(rows)
+
+
 def reconcile_keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plain(reconcile.keyed_diff(*_before_after(spark, sf_dir), ORDER_KEYS))
 
@@ -276,6 +296,8 @@ QUERIES = {
     "reconcile_set": reconcile_set,
     "reconcile_bag": reconcile_bag,
     "reconcile_normalized": reconcile_normalized,
+    "reconcile_ranges": reconcile_ranges,
+    "reconcile_drift": reconcile_drift,
     "reconcile_keyed": reconcile_keyed,
     "reconcile_report": reconcile_report,
     "check_duplicates": check_duplicates,
@@ -472,6 +494,28 @@ ORACLES = {
         select *, 'added' as change from (select * from a except select * from b)
         union all
         select *, 'removed' from (select * from b except select * from a)"""),
+    "reconcile_ranges": over("orders_before orders_after", """
+        , mixed as (select * from orders_after where o_orderkey % 20000 < 500
+          union all select * from orders_before where o_orderkey % 20000 >= 500)
+        select *, 'added' as change, count(*) as copies from (select * from mixed except all
+          select * from orders_before) group by all
+        union all
+        select *, 'removed', count(*) from (select * from orders_before except all
+          select * from mixed) group by all"""),
+    "reconcile_drift": over("orders_before orders_after", """
+        , b as (select o_orderkey, any_value(o_orderstatus) as s, any_value(price_cents) as p, count(*) as n
+          from orders_before group by 1),
+        a as (select o_orderkey, min(o_orderstatus) as s1, max(o_orderstatus) as s2, min(price_cents) as p1,
+          max(price_cents) as p2, count(*) as n from orders_after group by 1),
+        pairs as (select b.o_orderkey as k, a.n as na, b.n as nb, coalesce(s <> s1 and s <> s2, false) as cs,
+          coalesce(p <> p1 and p <> p2, false) as cp from b left join a on a.o_orderkey = b.o_orderkey)
+        select 'column' as kind, subject, change, '' as changed_columns from (values
+          ('o_orderdate', 'removed'), ('channel', 'added'), ('price_cents', 'retyped')) t(subject, change)
+        union all
+        select 'row', cast(k as varchar), case when na is null then 'removed' when cs or cp then 'changed'
+            else 'repeated' end,
+          concat_ws(',', case when cs then 'o_orderstatus' end, case when cp then 'price_cents' end)
+        from pairs where na is null or na <> nb or cs or cp"""),
     "reconcile_keyed": over("orders_before orders_after", """
         , a as (
           select o_orderkey, count(*) as n_after, count(distinct (o_orderstatus, price_cents)) as v,

@@ -207,3 +207,33 @@ def test_rebuild(spark, rows):
     assert ("missing", "email", None) in rows(blocked)
     with pytest.raises(ValueError, match="email"):
         recovery.rebuild(df, [*expected, "email"], ["customer_id"])
+
+
+def test_range_diff_is_the_bag_difference(spark, rows):
+    base = [(k, f"v{k % 7}", None if k % 5 else k) for k in range(-300, 3000, 3)] + [(9, "v2", None)] * 3 + [(None, "n", 1)]
+    schema = "k long, x string, y int"
+    before = spark.createDataFrame(base, schema)
+    for change in (lambda r: [r], lambda r: [] if r[0] == 900 else [r], lambda r: [r, r] if r[0] == -300 else [r],
+                   lambda r: [(r[0], "z", r[2])] if r[0] in (None, 2997) else [r],
+                   lambda r: [(r[0], r[2] and str(r[2]), None)] if r[0] and 0 < r[0] < 40 else [r],
+                   lambda r: [] if r[0] and r[0] % 2 else [r], lambda r: []):
+        after = spark.createDataFrame([x for r in base for x in change(r)], schema)
+        for fanout, depth in ((4, 3), (64, 2)):
+            got = reconcile.range_diff(before, after, "k", fanout, depth)
+            assert rows(got) == rows(reconcile.bag_diff(before, after))
+    none = before.limit(0)
+    assert reconcile.range_diff(none, none, "k").count() == 0
+
+
+def test_equal_ranges_are_not_shuffled(spark, tmp_path):
+    spark.range(100_000).selectExpr("id as k", "id * 3 as v").write.parquet(str(tmp_path / "t"))
+    before = spark.read.parquet(str(tmp_path / "t"))
+    after = before.withColumn("v", F.when(F.col("k").isin(7, 5_000, 99_999), -1).otherwise(F.col("v")))
+    ranges = reconcile.differing_ranges(before, after, "k")
+    assert len(ranges) == 3 and sum(b - a + 1 for a, b in ranges) <= 3 * 25
+    left = reconcile.within(before, "k", ranges)
+    assert left.count() <= 75
+    assert "PushedFilters: [IsNotNull(k), GreaterThanOrEqual(k," in left._jdf.queryExecution().executedPlan().toString()
+    # Swapped values keep every column's sum, but not the rows'.
+    swapped = before.withColumn("v", F.when(F.col("k") == 1, 6).when(F.col("k") == 2, 3).otherwise(F.col("v")))
+    assert len(reconcile.differing_ranges(before, swapped, "k")) == 1
