@@ -36,10 +36,13 @@ ALL = {"wildcards": True, "same_docs": 2, "short_docs": 3}
 
 
 def _words(line: Column) -> Column:
-    """The words of a line, those with a digit as ``<*>``; no line is searched for one in vain."""
-    masked = F.when(line.rlike("[0-9]"), F.regexp_replace(
-        line, "[^\\x20\\x09-\\x0D0-9]*+[0-9][^\\x20\\x09-\\x0D]*", "<*>")).otherwise(line)
-    return F.split(F.btrim(masked, F.lit(SPACES)), "[\\x20\\x09-\\x0D]+")
+    """The words of a line in which blanks are the only spaces; splitting at one character takes no pattern."""
+    return F.array_remove(F.split(line, " "), "")
+
+
+def _masked(words: Column, digits: Column) -> Column:
+    """The words, those with a digit as ``<*>``; no word is searched for one in vain."""
+    return F.when(digits, F.transform(words, lambda w: F.when(w.rlike("[0-9]"), "<*>").otherwise(w))).otherwise(words)
 
 
 def _width(n: Column) -> Column:
@@ -54,11 +57,13 @@ def _lines(docs: DataFrame, id_col: str, text_col: str, constant: float, same: b
     run at place 0, if enough of its words are constant.  ``WHOLE`` is the place of all
     words as they stand, for lines in which words with a digit were made fields.
     """
+    spaced = reduce(lambda t, c: F.replace(t, F.lit(c), F.lit(" ")), SPACES.replace(" ", "").replace("\n", ""), whole(text_col))
     lines = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"),
-                        F.posexplode(F.split(whole(text_col), "\n")).alias("line", "text"))
-    worded = lines.select("doc_id", "line", "text", _words(F.col("text")).alias("words"))
+                        F.posexplode(F.split(spaced, "\n")).alias("line", "text"))
+    split = lines.select("doc_id", "line", _words(F.col("text")).alias("all"), F.col("text").rlike("[0-9]").alias("digits"))
+    worded = split.select("*", _masked(F.col("all"), F.col("digits")).alias("words"))
     n, width = F.size("words"), _width(F.size("words"))
-    long, digits = n >= MIN_WORDS, F.col("text").rlike("[0-9]")
+    long, digits = n >= MIN_WORDS, F.col("digits")
     leaf = F.xxhash64(n, F.slice("words", 1, DEPTH))
     runs = [F.when(long & (n > DEPTH + width * k), F.xxhash64(
         leaf, F.lit(k), F.slice("words", width * k + DEPTH + 1, width))) for k in range(SEGMENTS)]
@@ -67,11 +72,10 @@ def _lines(docs: DataFrame, id_col: str, text_col: str, constant: float, same: b
         runs[0] = F.when(long, runs[0]).when(n - fields >= n * constant, F.xxhash64(n, F.lit(-1), "words"))
     if same:
         runs.append(F.when(digits & (long | F.lit(short)), F.xxhash64(
-            n, F.lit(WHOLE), F.split(F.btrim("text", F.lit(SPACES)), "[\\x20\\x09-\\x0D]+"))))
+            n, F.lit(WHOLE), F.col("all"))))
     placed = F.filter(F.array(*[F.struct(F.lit(k).alias("place"), r.alias("run")) for k, r in enumerate(runs)]),
                       lambda r: r["run"].isNotNull())
-    # A line without words splits into one empty word.
-    kept = worded.filter(long | F.lit(short) & (F.get("words", F.lit(0)) != ""))
+    kept = worded.filter(long | F.lit(short) & (n > 0))
     return kept.select("doc_id", "line", n.alias("n"), digits.alias("digits"), placed.alias("runs"))
 
 
@@ -122,8 +126,8 @@ def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark, folder = docs.sparkSession, work_folder(docs.sparkSession, "lines")
     same_docs = short_docs if same_docs is None and short_docs is not None else same_docs
     _lines(docs, id_col, text_col, constant, same_docs is not None, short_docs is not None).filter(
-        "doc_id is not null").write.parquet(folder)
-    lines = spark.read.parquet(folder)
+        "doc_id is not null").write.parquet(f"{folder}/lines")
+    lines = spark.read.parquet(f"{folder}/lines")
     # Line, digits and words of the line in one number: these narrow rows are all that moves.
     at = F.col("line") * F.lit(2 ** 32) + F.when(F.col("digits"), F.lit(2 ** 31)).otherwise(F.lit(0)) + F.col("n")
     runs = lines.select("doc_id", at.alias("at"), F.inline("runs"))
@@ -133,10 +137,15 @@ def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     parsed = grouped.select("doc_id", F.shiftright("at", 32).cast("int").alias("line"), (
         F.col("at") % 2 ** 31).cast("int").alias("n"), (F.col("at") % 2 ** 32 >= 2 ** 31).alias("digits"),
         *[f"r{k}" for k in range(WHOLE + 1)])
-    templates = _templates(parsed, min_docs, constant, wildcards, same_docs, short_docs)
+    # Stored: they are counted and joined.
+    _templates(parsed, min_docs, constant, wildcards, same_docs, short_docs).write.parquet(f"{folder}/templates")
+    templates = spark.read.parquet(f"{folder}/templates")
     held = templates.groupBy("template", "need", "doc_id").agg(F.lit(1).alias("x")).groupBy("template", "need").agg(
         F.count("*").alias("docs"), F.min("doc_id").alias("first")).filter(F.col("docs") >= F.col("need")).select(
         "template", "first")
+    # Stored, too: a template that very many lines have is split only where this side is read.
+    held.write.parquet(f"{folder}/held")
+    held = spark.read.parquet(f"{folder}/held")
     return templates.join(held, "template").filter("doc_id <> first").select("doc_id", "line").distinct()
 
 
