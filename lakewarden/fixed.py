@@ -12,6 +12,10 @@ from __future__ import annotations
 # currency counts as 1000.
 FX_THOUSANDTHS = {"USD": 1000, "EUR": 1080, "GBP": 1270, "INR": 12}
 
+# Marks of the library itself, beside those of the customer rules.
+FLAG_UNKNOWN_CURRENCY = "UNKNOWN_CURRENCY"
+FLAG_CAST_FAILED = "CAST_FAILED"
+
 # Accepted customer states; anything else becomes UNKNOWN_LABEL.
 CUSTOMER_STATES = ["ACTIVE", "INACTIVE", "SUSPENDED", "CHURNED"]
 UNKNOWN_LABEL = "UNKNOWN"

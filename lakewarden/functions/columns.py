@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lakewarden import fixed
@@ -117,6 +117,19 @@ def fx_thousandths(currency: Column, rates: Mapping[str, int] = fixed.FX_THOUSAN
     return looked_up(currency, rates, 1000)
 
 
+def fx_from_table(rows: DataFrame, rates: DataFrame, currency: str = "currency") -> DataFrame:
+    """The rows with ``rate_thousandths`` from a table of ``currency`` and ``thousandths``, and ``unknown_currency``.
+
+    A currency without a rate, or none, counts as dollars, as in ``fx_thousandths``, but is
+    marked.  Spark broadcasts the rates if they are small.  ``rates`` has one row per currency.
+    """
+    known = rates.select(F.col("currency").alias("_rated"), F.col("thousandths").cast("int").alias("_thousandths"))
+    joined = rows.join(known, F.col(currency) == F.col("_rated"), "left")
+    return joined.withColumns({
+        "rate_thousandths": F.coalesce("_thousandths", F.lit(1000)),
+        "unknown_currency": F.col("_thousandths").isNull()}).drop("_rated", "_thousandths")
+
+
 def bucket(value: Column, bounds: Sequence[tuple[str, int]], floor: str) -> Column:
     """Label of the first bound that ``value`` reaches, from the top; NULL gets ``floor``."""
     (label, bound), *rest = bounds

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,8 +13,8 @@ from lakewarden.operators import approvals, dedup, recovery, rules
 from lakewarden.plans import inputs, medallion
 from lakewarden.plans.oracle_inputs import over
 from lakewarden.plans.shape import plain
-from lakewarden.session import work_folder
-from lakewarden.sources import sinks, tables
+from lakewarden.session import stored, work_folder
+from lakewarden.sources import sinks, tables, versions
 
 REBUILD_COLUMNS = ["customer_id", "customer_name", "country", "status"]
 
@@ -106,6 +108,73 @@ def silver_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
         "lifetime_value_usd", "is_high_value_customer"))
 
 
+def _rates(spark: SparkSession) -> DataFrame:
+    """Exchange rates as a stored table; one currency that customers use has none."""
+    rows = [(c, n) for c, n in fixed.FX_THOUSANDTHS.items() if c != "GBP"] + [("JPY", 7)]
+    return stored(spark.createDataFrame(rows, "currency string, thousandths int"), "rates")
+
+
+def silver_fx_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dollars by rates from a table; currencies without a rate are marked."""
+    rows = medallion.silver(inputs.customer_feed(spark, sf_dir), inputs.AS_OF,
+                            [*medallion.customer_rules(), medallion.CURRENCY_RULE], _rates(spark))
+    return plain(rows.select("customer_id", "currency", "total_revenue_usd", "lifetime_value_usd",
+                             "is_high_value_customer", "data_quality_flags"))
+
+
+def _text_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The customer feed as a CSV would bring it, with some values that do not fit their type."""
+    feed, k = inputs.customer_feed(spark, sf_dir), F.col("customer_id")
+    texts = feed.withColumns({n: F.col(n).cast("string") for n in medallion.SILVER_TYPES if n in feed.columns})
+    return texts.withColumns({
+        "total_orders": F.when(k % 23 == 0, "many").otherwise(F.col("total_orders")),
+        "registration_date": F.when(k % 29 == 0, "soon").otherwise(F.col("registration_date")),
+        "lifetime_value": F.when(k % 31 == 0, "12345678901234567890").otherwise(F.col("lifetime_value"))})
+
+
+def _cast_rules() -> list[rules.Rule]:
+    return [medallion.CAST_RULE, *medallion.customer_rules()]
+
+
+def silver_cast_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text that does not fit its column is NULL and marked, too large numbers included."""
+    rows = medallion.silver(_text_feed(spark, sf_dir), inputs.AS_OF, _cast_rules())
+    return plain(rows.select("customer_id", "total_orders", "registration_date",
+                             F.col("lifetime_value_local").alias("lifetime_value"), "data_quality_flags"))
+
+
+def dq_scorecard_casts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scorecard with failed casts counted."""
+    feed = _text_feed(spark, sf_dir)
+    score = medallion.scorecard(feed, medallion.silver(feed, inputs.AS_OF, _cast_rules()),
+                                {fixed.FLAG_CAST_FAILED: "cast_failed_count"})
+    return plain(score.select("raw_record_count", "deduplicated_record_count", "invalid_email_count",
+                              "churn_anomaly_count", "cast_failed_count"))
+
+
+def publish_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Silver and the gold tables published together; a second run ends between two tables, a third goes through.
+
+    Returns what a reader finds after each.
+    """
+    root, silver = work_folder(spark, "versions"), stored(_silver(spark, sf_dir), "silver")
+    clean = silver.filter(F.col("data_quality_flags") == fixed.CLEAN_LABEL)
+    # Columns that do not exist in its second table end this run.
+    runs = [{"silver": silver, **medallion.gold(silver)}, {"silver": clean, "broken": None},
+            {"silver": clean, **medallion.gold(clean)}]
+    found = []
+    for number, published in enumerate(runs, 1):
+        try:
+            versions.publish(spark, root, published)
+        except AttributeError:
+            pass
+        version, paths = versions.latest(spark, root)
+        found += [spark.read.parquet(path).agg(F.count(F.lit(1)).alias("n_rows")).select(
+            F.lit(number).alias("run"), F.lit(version).alias("version"), F.lit(name).alias("name"), "n_rows")
+            for name, path in paths.items() if name in ("silver", "customer_summary")]
+    return reduce(DataFrame.unionAll, found)
+
+
 def silver_derived(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _marked(spark, sf_dir).select(
         "customer_id", "customer_tenure_days", "days_since_last_purchase", "churn_risk_label")
@@ -212,6 +281,10 @@ QUERIES = {
     "silver_clamps": silver_clamps,
     "silver_aov_mismatch": silver_aov_mismatch,
     "silver_fx": silver_fx,
+    "silver_fx_table": silver_fx_table,
+    "silver_cast_flags": silver_cast_flags,
+    "dq_scorecard_casts": dq_scorecard_casts,
+    "publish_versions": publish_versions,
     "silver_derived": silver_derived,
     "silver_flags": silver_flags,
     "silver_full": silver_full,
@@ -307,6 +380,45 @@ ORACLES = {
     "silver_fx": over("silver", """
         select customer_id, currency, total_revenue_usd, avg_order_value_usd, lifetime_value_usd,
           is_high_value_customer from silver"""),
+    "silver_fx_table": over("evaluated", """
+        , r as (select *, case currency when 'USD' then 1000 when 'EUR' then 1080 when 'INR' then 12
+            when 'JPY' then 7 end as known from evaluated)
+        select customer_id, currency, cast(rev * coalesce(known, 1000) as double) / 100000 as total_revenue_usd,
+          cast(lifetime_value_cents * coalesce(known, 1000) as double) / 100000 as lifetime_value_usd,
+          lifetime_value_cents * coalesce(known, 1000) > 200000000 as is_high_value_customer,
+          coalesce(nullif(concat_ws('|', case when not is_valid_email then 'INVALID_EMAIL' end,
+            case when negative then 'NEGATIVE_REVENUE_CORRECTED' end,
+            case when churn_off then 'CHURN_SCORE_OUT_OF_RANGE_CLAMPED' end,
+            case when aov_off then 'AOV_MISMATCH_RECALCULATED' end,
+            case when known is null then 'UNKNOWN_CURRENCY' end), ''), 'CLEAN') as data_quality_flags
+        from r"""),
+    "silver_cast_flags": over("evaluated", """
+        select customer_id, case when customer_id % 23 <> 0 then cast(total_orders as integer) end as total_orders,
+          case when customer_id % 29 <> 0 then registration_date end as registration_date,
+          case when customer_id % 31 <> 0 then cast(lifetime_value_cents as double) / 100 end as lifetime_value,
+          coalesce(nullif(concat_ws('|',
+            case when customer_id % 23 = 0 or customer_id % 29 = 0 or customer_id % 31 = 0 then 'CAST_FAILED' end,
+            case when not is_valid_email then 'INVALID_EMAIL' end,
+            case when negative then 'NEGATIVE_REVENUE_CORRECTED' end,
+            case when churn_off then 'CHURN_SCORE_OUT_OF_RANGE_CLAMPED' end,
+            case when aov_off and customer_id % 23 <> 0 then 'AOV_MISMATCH_RECALCULATED' end), ''), 'CLEAN')
+            as data_quality_flags
+        from evaluated"""),
+    "dq_scorecard_casts": over("raw_customers evaluated", """
+        select (select count(*) from raw_customers) as raw_record_count,
+          count(*) as deduplicated_record_count,
+          count(*) filter (where not is_valid_email) as invalid_email_count,
+          count(*) filter (where churn_off) as churn_anomaly_count,
+          count(*) filter (where customer_id % 23 = 0 or customer_id % 29 = 0 or customer_id % 31 = 0)
+            as cast_failed_count
+        from evaluated"""),
+    "publish_versions": over("silver", """
+        , found as (
+          select 1 as version, 'silver' as name, count(*) as n_rows from silver union all
+          select 1, 'customer_summary', count(distinct country) from silver union all
+          select 2, 'silver', count(*) from silver where data_quality_flags = 'CLEAN' union all
+          select 2, 'customer_summary', count(distinct country) from silver where data_quality_flags = 'CLEAN')
+        select r.run, found.* from (values (1, 1), (2, 1), (3, 2)) r(run, v) join found on found.version = r.v"""),
     "silver_derived": over("silver", """
         select customer_id, customer_tenure_days, days_since_last_purchase, churn_risk_label
         from silver"""),

@@ -138,6 +138,35 @@ def incident_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return incidents.listing(tables.read_incidents(spark, folder))
 
 
+def incident_corrupt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Incident documents of which some are cut off: those that parse, and a side table of the others."""
+    folder = work_folder(spark, "incident-corrupt")
+    whole = F.to_json(F.struct("*"))
+    documents = _documents(spark, sf_dir).select("incident_id", whole.alias("text"))
+    broken = F.right("incident_id", F.lit(1)) == "7"
+    documents.select(F.when(broken, F.substring("text", 1, 60)).otherwise(F.col("text"))).write.text(folder)
+    # Text files end in .txt; the reader takes documents by their ending.
+    good, bad = tables.split_corrupt(tables.read_incidents(spark, folder, one_per_file=False, pattern="*.txt"))
+    return good.select(F.lit("parsed").alias("outcome"), "incident_id", F.lit(None).cast("string").alias("text")).unionAll(
+        bad.select(F.lit("corrupt"), F.regexp_extract("text", '"incident_id":"([^"]*)"', 1), "text"))
+
+
+def event_corrupt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Event lines of which some are cut off or no JSON at all, counted by outcome and day."""
+    folder = work_folder(spark, "event-corrupt")
+    events = _events(spark, sf_dir).filter(F.col("ts").isNotNull())
+    line = F.to_json(F.struct(F.col("event_id").cast("string").alias("event_id"), F.col("ts").alias("timestamp"),
+                              "actor", "action", "status"), {"timestampFormat": sinks.MICROS})
+    k = F.col("event_id")
+    lines = events.select(F.when(k % 11 == 0, F.substring(line, 1, 25)).when(k % 13 == 0, "not json")
+                          .when(k % 17 == 0, "").otherwise(line).alias("value"), F.to_date("ts").alias("event_date"))
+    lines.write.partitionBy("event_date").text(folder)
+    good, bad = tables.split_corrupt(tables.read_events(spark, folder, pattern="*.txt"))
+    return good.groupBy(F.lit("parsed").alias("outcome"), "action").agg(F.count(F.lit(1)).alias("n")).unionAll(
+        bad.groupBy(F.lit("corrupt"), F.when(F.col("text") == "not json", "text").otherwise("cut")).agg(
+            F.count(F.lit(1))))
+
+
 def evidence_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
     bundle = incidents.evidence(_documents(spark, sf_dir))
     first = incidents.first_evidence(
@@ -341,6 +370,8 @@ QUERIES = {
     "citations": citations,
     "incident_list": incident_list,
     "incident_files": incident_files,
+    "incident_corrupt": incident_corrupt,
+    "event_corrupt": event_corrupt,
     "evidence_bundle": evidence_bundle,
     "rca": rca,
     "investigation_status": investigation_status,
@@ -537,6 +568,20 @@ ORACLES = {
           case when s_acctbal < 0 then 'P1' else 'P3' end as severity, 'DETECTED' as status,
           'NEGATIVE_BALANCE' as error_type
         from supplier""",
+    "incident_corrupt": over("incidents", """
+        , d as (select incident_id, severity from incidents)
+        select 'parsed' as outcome, incident_id, cast(null as varchar) as text from d
+        where right(incident_id, 1) <> '7'
+        union all
+        select 'corrupt', incident_id, substring(concat('{"incident_id":"', incident_id,
+          '","pipeline_name":"customer_gold_pipeline","severity":"', severity), 1, 60)
+        from d where right(incident_id, 1) = '7'"""),
+    "event_corrupt": over("audit_events", """
+        select case when event_id % 11 = 0 or event_id % 13 = 0 then 'corrupt' else 'parsed' end as outcome,
+          case when event_id % 11 = 0 then 'cut' when event_id % 13 = 0 then 'text' else action end as action,
+          count(*) as n
+        from audit_events where ts is not null and (event_id % 11 = 0 or event_id % 13 = 0 or event_id % 17 <> 0)
+        group by all"""),
     "evidence_bundle": over("incidents", """
         select incident_id, pipeline_name, error_type,
           'silver.customers,customer_gold_pipeline' as affected_assets, root_cause,

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from decimal import Decimal
+from functools import reduce
+from operator import or_
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakewarden import fixed
@@ -74,12 +76,22 @@ def standardize(rows: DataFrame) -> DataFrame:
     })
 
 
-def set_types(rows: DataFrame) -> DataFrame:
-    """Declared types for the columns that are there; text that does not fit is NULL."""
+def set_types(rows: DataFrame, mark: str | None = None) -> DataFrame:
+    """Declared types for the columns that are there; text that does not fit is NULL.
+
+    With ``mark`` that column says in the same projection whether any value did not fit,
+    a number beyond the declared digits included.
+    """
     present = dict(rows.dtypes)
-    return rows.withColumns({
-        n: (X.typed_text if present[n] == "string" else X.typed)(_c(n), t)
-        for n, t in SILVER_TYPES.items() if n in present})
+    typed = {n: (X.typed_text if present[n] == "string" else X.typed)(_c(n), t)
+             for n, t in SILVER_TYPES.items() if n in present}
+    if mark:
+        typed[mark] = reduce(or_, [_c(n).isNotNull() & c.isNull() for n, c in typed.items()], F.lit(False))
+    return rows.withColumns(typed)
+
+
+CAST_RULE = Rule(fixed.FLAG_CAST_FAILED, lambda: _c(f"_broken_{fixed.FLAG_CAST_FAILED}"))
+CURRENCY_RULE = Rule(fixed.FLAG_UNKNOWN_CURRENCY, lambda: _c("unknown_currency"))
 
 
 def cast_failures(rows: DataFrame) -> DataFrame:
@@ -114,8 +126,12 @@ def customer_rules() -> list[Rule]:
 
 
 def to_usd(rows: DataFrame) -> DataFrame:
-    """Local money columns get the suffix ``_local`` and a dollar column each."""
-    rate = X.fx_thousandths(_c("currency")).cast("decimal(6,0)") * F.lit(Decimal("0.001"))
+    """Local money columns get the suffix ``_local`` and a dollar column each.
+
+    Rows that went through ``columns.fx_from_table`` bring their rate.
+    """
+    given = "rate_thousandths" in rows.columns
+    rate = (_c("rate_thousandths") if given else X.fx_thousandths(_c("currency"))).cast("decimal(6,0)") * F.lit(Decimal("0.001"))
     scales = {"total_revenue": USD_SCALE, "avg_order_value": ORDER_VALUE_USD_SCALE,
               "lifetime_value": USD_SCALE}
     renamed = rows.withColumnsRenamed({n: f"{n}_local" for n in scales})
@@ -136,18 +152,25 @@ def derive(rows: DataFrame, as_of: str) -> DataFrame:
 
 
 def marked_silver(bronze_rows: DataFrame, as_of: str,
-                  row_rules: Sequence[Rule] | None = None) -> DataFrame:
-    """Silver rows that still carry one marker column per rule."""
+                  row_rules: Sequence[Rule] | None = None, rates: DataFrame | None = None) -> DataFrame:
+    """Silver rows that still carry one marker column per rule.
+
+    ``CAST_RULE`` among the rules marks values that did not fit their type, which is seen
+    before the cast; ``CURRENCY_RULE`` marks currencies that ``rates``, a table, does not have.
+    """
     row_rules = customer_rules() if row_rules is None else row_rules
-    typed = set_types(standardize(deduplicate(bronze_rows)))
+    typed = set_types(standardize(deduplicate(bronze_rows)), CAST_RULE.mark if CAST_RULE in row_rules else None)
+    if rates is not None:
+        typed = X.fx_from_table(typed, rates)
     return derive(to_usd(rules.evaluate(typed, row_rules)), as_of)
 
 
 def silver(bronze_rows: DataFrame, as_of: str,
-           row_rules: Sequence[Rule] | None = None) -> DataFrame:
+           row_rules: Sequence[Rule] | None = None, rates: DataFrame | None = None) -> DataFrame:
     """One clean, typed, corrected and flagged row per customer."""
     row_rules = customer_rules() if row_rules is None else row_rules
-    return rules.collapse(marked_silver(bronze_rows, as_of, row_rules), row_rules)
+    return rules.collapse(marked_silver(bronze_rows, as_of, row_rules, rates), row_rules).drop(
+        "rate_thousandths", "unknown_currency")
 
 
 # Scorecard ------------------------------------------------------------------
@@ -165,30 +188,34 @@ def _raw_counts() -> list[Column]:
             F.count_if(_c("customer_id").isNull()).alias("null_key_removed")]
 
 
-def _silver_counts() -> list[Column]:
+def _silver_counts(more: Mapping[str, str]) -> list[Column]:
     """Counted from the joined flags, so they also work on a stored silver table."""
     found = F.split(_c("data_quality_flags"), r"\|")
     return [F.count(F.lit(1)).alias("deduplicated_record_count"),
             *[F.count_if(F.array_contains(found, flag)).alias(name)
-              for flag, name in SCORE_NAMES.items()],
+              for flag, name in {**SCORE_NAMES, **more}.items()],
             F.count_if(_c("data_quality_flags") == fixed.CLEAN_LABEL).alias("clean_record_count")]
 
 
-def _with_rates(counts: DataFrame) -> DataFrame:
+def _with_rates(counts: DataFrame, more: Mapping[str, str]) -> DataFrame:
     return counts.withColumns({
         "duplicates_removed": _c("raw_record_count") - _c("deduplicated_record_count"),
         "clean_record_pct": rules.clean_share(_c("clean_record_count"),
                                               _c("deduplicated_record_count")),
     }).select("raw_record_count", "deduplicated_record_count", "duplicates_removed",
-              "null_key_removed", *SCORE_NAMES.values(), "clean_record_count",
+              "null_key_removed", *SCORE_NAMES.values(), *more.values(), "clean_record_count",
               "clean_record_pct")
 
 
-def scorecard(bronze_rows: DataFrame, silver_rows: DataFrame) -> DataFrame:
-    """One row of quality counts; each input is aggregated in one pass."""
+def scorecard(bronze_rows: DataFrame, silver_rows: DataFrame, more: Mapping[str, str] | None = None) -> DataFrame:
+    """One row of quality counts; each input is aggregated in one pass.
+
+    ``more`` names further flags and the columns of their counts.
+    """
+    more = more or {}
     parts = bronze_rows.agg(*_raw_counts()).unionByName(
-        silver_rows.agg(*_silver_counts()), allowMissingColumns=True)
-    return _with_rates(parts.agg(*[F.sum(c).alias(c) for c in parts.columns]))
+        silver_rows.agg(*_silver_counts(more)), allowMissingColumns=True)
+    return _with_rates(parts.agg(*[F.sum(c).alias(c) for c in parts.columns]), more)
 
 
 # Gold -----------------------------------------------------------------------
@@ -227,7 +254,7 @@ def by_tier(rows: DataFrame) -> DataFrame:
     grouped = rows.groupBy("loyalty_tier").agg(
         F.count(F.lit(1)).alias("customer_count"),
         _usd_sum().alias("total_revenue_usd"))
-    everyone = F.sum("customer_count").over(Window.partitionBy())
+    everyone = grouped.agg(F.sum("customer_count")).scalar()
     return grouped.withColumn("pct_of_customer_base",
                               exact.percentage(_c("customer_count"), everyone))
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakewarden import fixed
+from lakewarden.session import stored
 
 INCIDENT_SCHEMA = """
     incident_id string, pipeline_name string, severity string, status string, detected_at string,
@@ -38,16 +39,41 @@ def read_csv(spark: SparkSession, path: str, schema: str = fixed.RAW_CUSTOMER_SC
             .option("columnNameOfCorruptRecord", corrupt).csv(path))
 
 
-def read_incidents(spark: SparkSession, folder: str, one_per_file: bool = True) -> DataFrame:
-    """Incident documents: one JSON object per file, or one per line."""
-    return (spark.read.schema(INCIDENT_SCHEMA).option("multiLine", one_per_file)
-            .option("pathGlobFilter", "*.json").json(folder)
+CORRUPT = "_corrupt_record"
+
+
+def _read_json(spark: SparkSession, folder: str, schema: str, corrupt: str, pattern: str,
+               whole_files: bool = False) -> DataFrame:
+    return (spark.read.schema(f"{schema}, {corrupt} string").option("mode", "PERMISSIVE")
+            .option("columnNameOfCorruptRecord", corrupt).option("multiLine", whole_files)
+            .option("pathGlobFilter", pattern).json(folder)
             .withColumn("source_file", F.col("_metadata.file_name")))
 
 
-def read_events(spark: SparkSession, folder: str) -> DataFrame:
-    """Audit events from JSON lines; blank lines are skipped."""
-    return spark.read.schema(f"{EVENT_SCHEMA}, event_date date").json(folder)
+def read_incidents(spark: SparkSession, folder: str, one_per_file: bool = True,
+                   corrupt: str = CORRUPT, pattern: str = "*.json") -> DataFrame:
+    """Incident documents: one JSON object per file, or one per line.
+
+    What does not parse is a row of NULLs with its text in ``corrupt``; see ``split_corrupt``.
+    """
+    return _read_json(spark, folder, INCIDENT_SCHEMA, corrupt, pattern, one_per_file)
+
+
+def read_events(spark: SparkSession, folder: str, corrupt: str = CORRUPT, pattern: str = "*.json") -> DataFrame:
+    """Audit events from JSON lines; blank lines are skipped, broken ones kept in ``corrupt``."""
+    return _read_json(spark, folder, f"{EVENT_SCHEMA}, event_date date", corrupt, pattern)
+
+
+def split_corrupt(rows: DataFrame, corrupt: str = CORRUPT) -> tuple[DataFrame, DataFrame]:
+    """Rows that parsed, and a side table of those that did not: ``source_file`` and ``text``.
+
+    The rows are stored once as parsed: a reader of single columns would parse those
+    only, and take a record for sound whose others are not.
+    """
+    rows = stored(rows, "parsed")
+    good = rows.filter(F.col(corrupt).isNull()).drop(corrupt)
+    bad = rows.filter(F.col(corrupt).isNotNull()).select("source_file", F.col(corrupt).alias("text"))
+    return good, bad
 
 
 def read_contract(spark: SparkSession, path: str) -> DataFrame:
