@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from lakewarden import fixed
 from lakewarden.functions import collections as C
 from lakewarden.operators import reconcile, scan
+from lakewarden.session import stored
 
 
 # Detectors ------------------------------------------------------------------
@@ -154,6 +155,50 @@ def check_table(df: DataFrame, baseline: DataFrame, required: Sequence[str], tim
         _row("freshness", t >= bound, t, bound))])))
 
 
+def check_all(df: DataFrame, baseline: DataFrame, key: str, required: Sequence[str], time: str, as_of: str, sla: str,
+              child: DataFrame, child_key: str, group: str, amount: str, tolerance: int = 0,
+              percent: int = 0) -> DataFrame:
+    """Six checks of a table from one pass over it, its baseline and its child table.
+
+    Row count against the baseline, NULLs in required columns, freshness, repeated keys,
+    child rows without a parent, and totals per ``group`` (sum of ``amount`` and rows)
+    against the baseline's, counted as rows of the totals that differ.  All three tables
+    are reduced together to counts per key and group, which are stored; repeated keys
+    and lost children follow from the counts per key, the totals from those per group.
+    The results are those of the single checks.
+    """
+    missing = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in required])
+    one, no = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
+    keys = {"k": F.col(key), "g": F.col(group)}
+    sides = [
+        df.select(*[c.alias(n) for n, c in keys.items()], one.alias("n"), no.alias("b"), no.alias("c"),
+                  missing.cast("bigint").alias("m"), F.col(time).cast("timestamp").alias("t"),
+                  F.col(amount).alias("now"), F.lit(None).alias("then")),
+        baseline.select(*keys.values(), no, one, no, no, F.lit(None), F.lit(None), F.col(amount)),
+        child.filter(F.col(child_key).isNotNull()).select(
+            F.col(child_key), F.lit(None), no, no, one, no, F.lit(None), F.lit(None), F.lit(None))]
+    counts = stored(reduce(DataFrame.unionAll, sides).groupBy("k", "g").agg(
+        *[F.sum(x).alias(x) for x in "nbcm"], F.max("t").alias("t"), F.sum("now").alias("now"), F.sum("then").alias("then")),
+        "counts")
+    per_key = counts.groupBy("k").agg(*[F.sum(x).alias(x) for x in "nbcm"], F.max("t").alias("t"))
+    n, b, m, t, twice, lost, off = map(F.col, ("n", "b", "m", "t", "twice", "lost", "off"))
+    whole = per_key.agg(*[F.coalesce(F.sum(x), no).alias(x) for x in "nbm"], F.max("t").alias("t"),
+                        F.coalesce(F.sum(F.greatest(n - 1, no)), no).alias("twice"),
+                        F.coalesce(F.sum(F.when(n == 0, F.col("c"))), no).alias("lost"), no.alias("off"))
+    per_group = counts.groupBy("g").agg(*[F.sum(x).alias(x) for x in ("n", "b", "now", "then")])
+    same = (n == b) & F.col("now").eqNullSafe(F.col("then"))
+    gaps = per_group.agg(F.coalesce(F.sum(F.when(same, 0).otherwise((n > 0).cast("bigint") + (b > 0).cast("bigint"))),
+                                    no).alias("off"))
+    found = whole.unionByName(gaps, allowMissingColumns=True).agg(
+        *[F.sum(x).alias(x) for x in ("n", "b", "m", "twice", "lost", "off")], F.max("t").alias("t"))
+    bound = F.lit(as_of).cast("timestamp") - F.expr(f"interval '{sla}'")
+    near = F.abs(n - b) * 100 <= F.greatest(F.lit(tolerance * 100), b * percent)
+    return found.select(F.inline(F.array(*[F.struct(*columns) for columns in (
+        _row("row_count", near, n, b), _row("null_check", m == 0, m, F.lit(0)), _row("freshness", t >= bound, t, bound),
+        _row("duplicate_check", twice == 0, twice, F.lit(0)), _row("referential_integrity", lost == 0, lost, F.lit(0)),
+        _row("business_rules", off == 0, off, F.lit(0)))])))
+
+
 def run(checks: Sequence[DataFrame]) -> DataFrame:
     """All checks in one table."""
     return reduce(DataFrame.unionByName, checks)

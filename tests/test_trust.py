@@ -1,5 +1,6 @@
 """Contracts, reconciliation, checks and rebuild."""
 
+import datetime as dt
 import json
 
 import pytest
@@ -237,3 +238,24 @@ def test_equal_ranges_are_not_shuffled(spark, tmp_path):
     # Swapped values keep every column's sum, but not the rows'.
     swapped = before.withColumn("v", F.when(F.col("k") == 1, 6).when(F.col("k") == 2, 3).otherwise(F.col("v")))
     assert len(reconcile.differing_ranges(before, swapped, "k")) == 1
+
+
+def test_all_checks_in_one_pass(spark, rows):
+    schema = "k long, g int, x string, t timestamp, v long"
+    day = dt.datetime(2024, 1, 1)
+    base = [(1, 1, "a", day, 5), (2, 1, "b", day, 7), (3, 2, "c", None, 9), (None, None, "d", day, None), (4, 3, "e", day, 1)]
+    cases = [base, base[:0], base + base[:2], [(k, g, None, t, v) for k, g, _, t, v in base], base[1:],
+             [(k, None, x, t, v) for k, _, x, t, v in base], base + [(9, 9, "n", None, None)], [base[3]] * 3]
+    child = spark.createDataFrame([(1,), (1,), (3,), (8,), (8,), (None,)], "p long")
+
+    def totals(df):
+        return df.groupBy("g").agg(F.sum("v").alias("v"), F.count(F.lit(1)).alias("n"))
+
+    before = spark.createDataFrame(base, schema)
+    for case in cases:
+        df = spark.createDataFrame(case, schema)
+        got = checks.check_all(df, before, "k", ["k", "x"], "t", "2024-01-02", "2 days", child, "p", "g", "v", 1)
+        single = checks.run([
+            checks.check_table(df, before, ["k", "x"], "t", "2024-01-02", "2 days", 1), checks.check_duplicates(df, ["k"]),
+            checks.check_references(child, "p", df, "k"), checks.check_rederived(totals(before), totals(df))])
+        assert rows(got) == rows(single)
