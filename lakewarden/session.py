@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import time
 import uuid
 from functools import cache
 
@@ -70,3 +71,22 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
     folder = work_folder(df.sparkSession, purpose)
     df.write.parquet(folder)
     return df.sparkSession.read.parquet(folder)
+
+
+def sweep(spark: SparkSession, hours: float) -> list[str]:
+    """Delete working folders that no job has written to for so many hours; returns their names.
+
+    Results that are still read, lazily, from such a folder are lost with it, so the time
+    must be longer than any job's.
+    """
+    root = spark._jvm.org.apache.hadoop.fs.Path(f"{checkpoint_root(spark)}/lakewarden")
+    store = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not store.exists(root):
+        return []
+    gone = []
+    for entry in store.listStatus(root):
+        age = time.time() - max([entry.getModificationTime()] + [
+            x.getModificationTime() for x in store.listStatus(entry.getPath())]) / 1000
+        if age > hours * 3600 and store.delete(entry.getPath(), True):
+            gone.append(entry.getPath().getName())
+    return sorted(gone)

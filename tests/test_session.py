@@ -1,3 +1,6 @@
+import os
+from pathlib import Path
+
 import pytest
 
 from lakewarden import session
@@ -31,3 +34,14 @@ def test_a_cluster_needs_the_setting():
 def test_a_local_session_may_do_without():
     local = Session(spark_master="local[2]")
     assert session.checkpoint_root(local) == session.checkpoint_root(local)
+
+
+def test_sweep_deletes_old_working_folders(spark):
+    old, new = (session.work_folder(spark, n) for n in ("old", "new"))
+    for folder in (old, new):
+        spark.range(1).write.parquet(f"{folder}/part")
+    for path in [*Path(old).rglob("*"), Path(old)]:
+        os.utime(path, (1, 1))
+    names = session.sweep(spark, 24 * 365)
+    assert Path(old).name in names and Path(new).name not in names
+    assert not Path(old).exists() and Path(new).exists()
