@@ -23,6 +23,8 @@ SIMILAR = 0.8
 # Four values a band: a pair at the limit of similarity meets in none of 32 once in ten million.
 BANDS = 32
 EMPTY = np.uint16(0xFFFF)
+# An odd factor that spreads the last bits of a minimum over its first ones.
+SPREAD = np.uint32(2654435769)
 _CODES = WordCodes()
 
 
@@ -74,7 +76,9 @@ def signatures(texts: list[str]) -> np.ndarray:
         high = max(low + 1, int(np.searchsorted(ends, starts[low] + 60_000)))
         part, edges = values[starts[low]:ends[high - 1]], starts[low:high] - starts[low]
         for k in range(PERMUTATIONS):
-            out[full[low:high], k] = np.minimum.reduceat(part * FACTORS[k] + OFFSETS[k], edges) >> np.uint32(8)
+            least = np.minimum.reduceat(part * FACTORS[k] + OFFSETS[k], edges)
+            # All 32 bits count: the minima of long texts differ in their last bits only.
+            out[full[low:high], k] = least * SPREAD >> np.uint32(16)
         low = high
     return out
 

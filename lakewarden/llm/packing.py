@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from bisect import bisect_left, insort
+from collections import Counter
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
@@ -26,20 +27,46 @@ def best_fit(sizes: Sequence[int], lengths: Sequence[int] = LENGTHS,
              cost: Callable[[int], float] = sequence_cost) -> tuple[list[tuple[int, int]], list[int]]:
     """Pack sizes, none above the longest length: (bin, offset) of each, and the bins' lengths.
 
-    Sizes are placed from large to small, each into the fullest open bin that takes
-    it.  Where none does, a bin opens with the permitted length that costs least for
-    each unit that can still go into it: a full bin's worth while enough remains, the
-    rest at the end.  At last each bin gets the least permitted length that holds its
-    contents.
+    Sizes are placed from large to small, each into the fullest open bin that takes it.
+    Where none does, a bin opens with the length that an opening table has for the class
+    of the size, which is the least length that holds it.  At last each bin gets the
+    least permitted length for its contents.  The table is chosen for all lengths
+    jointly: of the tables that open one length wherever it fits the cheapest is taken,
+    by the cost of the whole packing after bins are cut down, and then changed class by
+    class as long as that gets cheaper.
     """
     lengths = sorted(lengths)
-    remaining = sum(sizes)
+    order = sorted(range(len(sizes)), key=lambda k: (-sizes[k], k))
+    falling = [sizes[k] for k in order]
+    tried: dict[tuple[int, ...], float] = {}
+
+    def priced(table: tuple[int, ...]) -> float:
+        if table not in tried:
+            filled = Counter(_filled(falling, lengths, table)[1])
+            tried[table] = sum(n * cost(lengths[bisect_left(lengths, used)]) for used, n in filled.items())
+        return tried[table]
+
+    table = min((tuple(max(x, own) for own in lengths) for x in reversed(lengths)), key=priced)
+    better = True
+    while better:
+        better = False
+        for k in range(len(lengths)):
+            for other in lengths[k:]:
+                changed = (*table[:k], other, *table[k + 1:])
+                if priced(changed) < priced(table):
+                    table, better = changed, True
+    placed, used = _filled(falling, lengths, table)
+    back = dict(zip(order, placed))
+    return [back[k] for k in range(len(sizes))], [lengths[bisect_left(lengths, u)] for u in used]
+
+
+def _filled(falling: Sequence[int], lengths: list[int], table: tuple[int, ...]) -> tuple[list[tuple[int, int]], list[int]]:
+    """(bin, offset) of sizes from large to small, and how much each bin holds, by an opening table."""
     room: list[int] = []                 # distinct amounts of free room, sorted
     open_: dict[int, list[int]] = {}     # bins by free room
     used: list[int] = []
-    placed: list[tuple[int, int]] = [(0, 0)] * len(sizes)
-    for i in sorted(range(len(sizes)), key=lambda k: (-sizes[k], k)):
-        size = sizes[i]
+    placed = []
+    for size in falling:
         at = bisect_left(room, size)
         if at < len(room):
             left = room[at]
@@ -48,20 +75,18 @@ def best_fit(sizes: Sequence[int], lengths: Sequence[int] = LENGTHS,
                 del open_[left]
                 room.pop(at)
         else:
-            fit = [x for x in lengths if x >= size]
-            left = min(fit, key=lambda x: (cost(x) / max(1, min(x, remaining)), -x))
+            left = table[bisect_left(lengths, size)]
             number = len(used)
             used.append(0)
-        placed[i] = (number, used[number])
+        placed.append((number, used[number]))
         used[number] += size
-        remaining -= size
         left -= size
         if left:
             if left not in open_:
                 insort(room, left)
                 open_[left] = []
             open_[left].append(number)
-    return placed, [next(x for x in lengths if x >= u) for u in used]
+    return placed, used
 
 
 def _pieces(doc_id: int | None, size: int, longest: int) -> Iterator[tuple[int | None, int, int, int]]:

@@ -1,5 +1,6 @@
 """Copies, near copies, lines, mixing and packing, against plain code."""
 
+import random
 import re
 from collections import Counter, defaultdict
 from hashlib import sha256
@@ -278,6 +279,51 @@ def test_best_fit_alone():
     assert len(packing.best_fit([512] * 8, (512, 4096))[1]) == 1
 
 
+def packed_cost(bins):
+    return sum(map(packing.sequence_cost, bins))
+
+
+def single_cost(sizes, opened):
+    table = tuple(max(opened, own) for own in packing.LENGTHS)
+    used = packing._filled(sorted(sizes, reverse=True), list(packing.LENGTHS), table)[1]
+    return packed_cost(min(x for x in packing.LENGTHS if x >= u) for u in used)
+
+
+def cheapest_packing(sizes):
+    """The least cost of all partitions into bins."""
+    best = [float("inf")]
+
+    def place(k, sums):
+        if k == len(sizes):
+            best[0] = min(best[0], packed_cost(min(x for x in packing.LENGTHS if x >= u) for u in sums))
+            return
+        for j in range(len(sums)):
+            if sums[j] + sizes[k] <= max(packing.LENGTHS):
+                place(k + 1, [*sums[:j], sums[j] + sizes[k], *sums[j + 1:]])
+        place(k + 1, [*sums, sizes[k]])
+
+    place(0, [])
+    return best[0]
+
+
+def test_lengths_are_chosen_jointly():
+    draw = random.Random(4)
+    inputs = [[draw.randint(1, top) for _ in range(400)] for top in (100, 600, 1500, 4096)] + [
+        [draw.randint(500, 520) for _ in range(2000)], [draw.choice([300, 700, 1300, 2500]) for _ in range(500)]]
+    below = []
+    for sizes in inputs:
+        ours, singles = packed_cost(packing.best_fit(sizes)[1]), [single_cost(sizes, x) for x in packing.LENGTHS]
+        assert ours <= min(singles)
+        below.append(ours < min(singles))
+    assert below[4]
+    ratios = []
+    for _ in range(60):
+        sizes = [draw.choice([draw.randint(1, 600), draw.randint(1, 4096)]) for _ in range(draw.randint(1, 7))]
+        ratios.append(packed_cost(packing.best_fit(sizes)[1]) / cheapest_packing(sizes))
+    assert min(ratios) >= 1 - 1e-9 and max(ratios) <= 1.25 and sum(ratios) / len(ratios) <= 1.03
+    assert sum(r < 1 + 1e-9 for r in ratios) >= 30
+
+
 def test_packing(documents, rough):
     for docs in (documents, rough, rough.limit(0)):
         sizes = Counter()
@@ -314,6 +360,14 @@ def test_packing_wastes_little(spark):
     assert total > 0.95
 
 
+def test_unrelated_long_texts_are_not_alike():
+    draw = np.random.default_rng(2)
+    long = [" ".join(map(str, draw.integers(0, 10 ** 9, 300_000).tolist())) for _ in range(2)]
+    a, b = fingerprints.signatures(long)
+    assert fingerprints.likeness(a[None], b[None])[0] <= 1 / 128
+    assert len(np.unique(a)) >= 120
+
+
 def test_search_finds_all_alike(spark, rough, texts):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
     docs = docs.unionByName(rough.filter("doc_id in (2, 3, 4)").selectExpr("doc_id + 10000 as doc_id", "text"))

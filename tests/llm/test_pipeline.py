@@ -43,6 +43,27 @@ def test_stages(spark):
     assert after.groupBy().sum("length").first()[0] == words
 
 
+def test_rough_and_empty_tables(spark, rough):
+    for docs in (rough, rough.limit(0)):
+        n = docs.count()
+        for name, stage in corpus_pipeline.STAGES:
+            before, docs = docs, stage(spark, docs, SF).cache()
+            if name != "packing":
+                assert docs.columns == rough.columns
+                ids = {r["doc_id"] for r in before.select("doc_id").collect()}
+                assert {r["doc_id"] for r in docs.select("doc_id").collect()} <= ids
+            assert (docs.count() > 0) == (n > 0)
+
+
+def test_toxic_documents_are_dropped(spark):
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    gone = docs.join(corpus_pipeline.not_toxic(spark, docs, sf).select("doc_id"), "doc_id", "left_anti")
+    marked = gone.join(labels, "doc_id")
+    assert gone.count() >= 50 and marked.filter("toxic = 1").count() >= 0.98 * marked.count()
+
+
 def test_run(spark):
     assert corpus_pipeline.run(spark, SF).count() > 0
     assert corpus_pipeline.ORACLE_SQL is None
