@@ -266,7 +266,7 @@ def publish_staged(spark: SparkSession, sf_dir: str) -> DataFrame:
     outcomes = [sinks.publish(spark, *request[0], gate, sources, staging, registry)
                 for _ in range(2)]
     target = sinks.published(spark, registry).take(1)[0]["target"]
-    return spark.read.parquet(f"{target}/customer_summary_gold").withColumns({
+    return versions.read(spark, target, "customer_summary_gold").withColumns({
         "first_outcome": F.lit(outcomes[0]), "second_outcome": F.lit(outcomes[1])})
 
 

@@ -10,6 +10,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lakewarden.sources import versions
+
 # JSON times are written to the millisecond unless a format says otherwise.
 MICROS = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
 
@@ -67,9 +69,10 @@ def publish(spark: SparkSession, incident_id: str, strategy_id: str, gate: DataF
     """Copy rebuilt tables into a staged area, once per incident and strategy.
 
     ``gate`` is the publish gate's output.  Returns ALREADY_PUBLISHED, the first
-    failing reason, or PUBLISHED.  The registry entry is written last, so a run
-    that was cut short is repeated in full: its targets are replaced, never the
-    source tables.  Ids become part of a path, so ids with other than letters, digits,
+    failing reason, or PUBLISHED.  The tables become visible together, as a version
+    under the target (see ``versions``), and the registry entry is written last, so a
+    run that was cut short is repeated as another version; the source tables are never
+    touched.  Ids become part of a path, so ids with other than letters, digits,
     hyphens and underscores are refused.
     """
     for value in (incident_id, strategy_id):
@@ -84,8 +87,7 @@ def publish(spark: SparkSession, incident_id: str, strategy_id: str, gate: DataF
     if not decision[0]["publish_allowed"]:
         return decision[0]["reason"]
     target = f"{staging}/executed/{incident_id}/{strategy_id}"
-    for name, source in tables.items():
-        overwrite_parquet(spark.read.parquet(source), f"{target}/{name}")
+    versions.publish(spark, target, {name: spark.read.parquet(source) for name, source in tables.items()})
     entry = spark.createDataFrame([(incident_id, strategy_id, target)],
                                   "incident_id string, strategy_id string, target string")
     entry.coalesce(1).write.mode("append").json(registry)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lakewarden import fixed
 from lakewarden.operators import approvals, audit, incidents
-from lakewarden.sources import sinks, tables
+from lakewarden.sources import sinks, tables, versions
 
 ASK, YES, NO = "approval_requested", "approval_granted", "approval_rejected"
 
@@ -267,7 +267,7 @@ def test_publish_once(spark, tmp_path):
     assert publish(True) == "PUBLISHED"
     assert publish(True) == "ALREADY_PUBLISHED"
     target = sinks.published(spark, registry).collect()[0].target
-    assert spark.read.parquet(f"{target}/gold").count() == 3
+    assert versions.read(spark, target, "gold").count() == 3
     other = spark.createDataFrame([], schema)
     assert sinks.publish(spark, "I", "T", other, {"gold": source}, str(tmp_path), registry) \
         == "No authorization record found."
