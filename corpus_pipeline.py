@@ -1,7 +1,10 @@
 """A training corpus from raw documents, in five stages.
 
 Each stage reads what the one before it kept, and is written to the shared folder and
-read again.  All but the last return the columns of ``documents``.
+read again.  All but the last return the columns of ``documents``, whatever else those
+are called.  Null texts count as empty and are judged, grouped and packed as such; rows
+without an id pass the filters, since no decision names them; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -13,27 +16,42 @@ from lakewarden.session import work_folder
 
 
 def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the field, learned from all labels of these documents, does not reject."""
+    """Documents that the field, learned from all labels of these documents, does not reject.
+
+    Empty texts are scored like texts without a toxic word; repeated rows are judged alike.
+    """
     return toxicity.drop_toxic(docs, toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def distinct_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group with equal texts."""
+    """One document of each group with equal texts: the longest, of those the least id.
+
+    All empty texts are one group.
+    """
     return exact_dedup.drop_exact_duplicates(docs)
 
 
 def distinct_enough(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near fingerprints."""
+    """One document of each group of near fingerprints, the one of the least id.
+
+    Texts without words are one group.
+    """
     return simhash.drop_near_duplicates(docs)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of their sources takes them."""
+    """Documents as often as the mix of their sources takes them.
+
+    Null is a source of its own; documents without words are never taken.
+    """
     return mixing.mixed_documents(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each document's words stand in the training sequences."""
+    """Where each document's words stand in the training sequences.
+
+    A document that was taken several times is packed as often.
+    """
     return packing.pack(docs)
 
 
