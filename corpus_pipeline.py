@@ -3,8 +3,8 @@
 Each stage reads what the one before it kept, and is written to the shared folder and
 read again.  All but the last return the columns of ``documents``, whatever else those
 are called.  Null texts count as empty and are judged, grouped and packed as such; rows
-without an id pass the filters, since no decision names them; an empty table gives an
-empty result.
+without an id are judged by their text, but never stand for others of a group; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ def distinct_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def distinct_enough(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near fingerprints, the one of the least id.
 
-    Texts without words are one group.
+    Texts without words are one group; rows without an id stay.
     """
     return simhash.drop_near_duplicates(docs)
 
