@@ -103,7 +103,7 @@ def stream_window_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
         on_time = stream.read_on_time(spark, to, arriving.schema)
         counted = stream.window_counts(on_time, "ts", "1 day", ["action"], "3 days")
         return stream.write_updates(counted, f"{to}/counts", f"{to}/checkpoint", ["window_start", "action"], "n_events",
-                                    every=2)
+                                    every=4)
 
     folder, _ = _run_per_arrival(spark, _thirds(inputs.audit_events(spark, sf_dir)), "windows",
                                  count)
