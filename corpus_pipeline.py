@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lakewarden.llm import exact_dedup, mixing, packing, simhash, toxicity
+from lakewarden.llm import exact_dedup, mixing, near_copies, packing, toxicity
 from lakewarden.session import work_folder
 
 
@@ -32,11 +32,12 @@ def distinct_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def distinct_enough(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near fingerprints, the one of the least id.
+    """One document of each group of near copies, the one of the least id.
 
-    Texts without words are one group; rows without an id stay.
+    Near are texts with a Jaccard similarity of 0.8 or more over five-word shingles,
+    found by SimHash tries.  Texts without words are one group; rows without an id stay.
     """
-    return simhash.drop_near_duplicates(docs)
+    return near_copies.drop_near_copies(docs)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

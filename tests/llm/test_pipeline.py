@@ -4,7 +4,8 @@ import re
 from collections import defaultdict
 
 import corpus_pipeline
-from lakewarden.llm import mixing, queries, simhash, toxicity
+from lakewarden.llm import mixing, queries, toxicity
+from tests.llm.test_near_copies import plain_components
 
 SF = "/root/testdata/sf0.001"
 
@@ -31,8 +32,9 @@ def test_stages(spark):
     assert sorted(r["doc_id"] for r in after.collect()) == sorted(min(g)[1] for g in groups.values())
 
     before, after = kept["simhash"]
-    want = sorted({r["component_id"] for r in simhash.near_duplicates(before).collect()})
-    assert sorted(r["doc_id"] for r in after.collect()) == want
+    near = plain_components([(r["doc_id"], r["text"]) for r in before.select("doc_id", "text").collect()])
+    assert sorted(r["doc_id"] for r in after.collect()) == sorted(set(near.values()))
+    assert after.count() < before.count()
 
     before, after = kept["mixing"]
     times = {r["doc_id"]: -(-r["taken"] // r["size"]) for r in mixing.mix(before).collect() if r["taken"]}
