@@ -129,12 +129,13 @@ def incident_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One incident per supplier, stored as a JSON document in a file of its own, read back and listed."""
     folder = work_folder(spark, "incident-files")
     supplier = inputs.table(spark, sf_dir, "supplier")
-    supplier.select(
+    documents = supplier.select(
         F.concat(F.lit("SUP-"), F.col("s_suppkey").cast("string")).alias("incident_id"),
         F.lit("supplier_pipeline").alias("pipeline_name"),
         F.when(F.col("s_acctbal") < 0, "P1").otherwise("P3").alias("severity"),
         F.lit("DETECTED").alias("status"), F.lit("NEGATIVE_BALANCE").alias("error_type"),
-        F.array("s_name").alias("affected_assets")).write.option("maxRecordsPerFile", 1).json(folder)
+        F.array("s_name").alias("affected_assets"))
+    sinks.write_documents(documents, folder)
     return incidents.listing(tables.read_incidents(spark, folder))
 
 

@@ -73,6 +73,14 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.parquet(folder)
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """The rows over as many tasks as a shuffle has, whatever their size in bytes.
+
+    For steps that work much on little input, as a small file is otherwise one task's.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def sweep(spark: SparkSession, hours: float) -> list[str]:
     """Delete working folders that no job has written to for so many hours; returns their names.
 

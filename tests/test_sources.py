@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from lakewarden import fixed
 from lakewarden.functions import columns as X
 from lakewarden.operators import rules
-from lakewarden.plans import medallion
+from lakewarden.plans import history_queries, medallion
 from lakewarden.sources import tables, versions
 
 
@@ -48,6 +48,17 @@ def test_broken_documents_and_lines(spark, tmp_path):
     assert {r.text for r in bad.select("text").collect()} == {'{"event_id": ', '"nothing"'}
 
 
+@pytest.mark.parametrize("n", [0, 1, 40])
+def test_documents_are_written_by_many_tasks(spark, rows, tmp_path, n):
+    suppliers = [(k, None if k % 7 == 0 else f"S{k}", k % 3, None if k % 5 == 0 else float(k - 20)) for k in range(n)]
+    spark.createDataFrame(suppliers, "s_suppkey long, s_name string, s_nationkey int, s_acctbal double").coalesce(1).write.parquet(
+        str(tmp_path / "supplier.parquet"))
+    out = history_queries.incident_files(spark, str(tmp_path))
+    files = [f.rsplit("/", 1)[1] for f in out.inputFiles()]
+    assert rows(out, "incident_id", "severity") == sorted((f"SUP-{k}", "P1" if b is not None and b < 0 else "P3") for k, _, _, b in suppliers)
+    assert len(files) >= n and len({f[:10] for f in files}) >= min(n, 4)
+
+
 def test_rates_from_a_table(spark, rows):
     rates = spark.createDataFrame([("USD", 1000), ("EUR", 1100)], "currency string, thousandths int")
     df = spark.createDataFrame([(1, "EUR"), (2, "USD"), (3, "XXX"), (4, None), (5, "EUR")], "k int, currency string")
