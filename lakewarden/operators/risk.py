@@ -15,7 +15,7 @@ from lakewarden import fixed
 from lakewarden.functions import collections as C
 from lakewarden.functions import columns as X
 from lakewarden.operators import scan
-from lakewarden.session import stored
+from lakewarden.session import dealt, stored
 
 LOSER_COLUMNS = ["risk_score", "risk_classification", "data_loss_risk", "scope_size"]
 
@@ -29,13 +29,16 @@ def templates(spark: SparkSession) -> DataFrame:
 
 
 def candidates(incidents: DataFrame) -> DataFrame:
-    """Every known strategy for every incident, without a join."""
+    """Every known strategy for every incident, without a join.
+
+    A few bytes become several wide rows, so the incidents are dealt out before that.
+    """
     options = F.array(*[
         F.struct(F.lit(i).alias("strategy_id"), F.lit(n).alias("name"),
                  F.array(*map(F.lit, scope)).alias("scope"), F.lit(risk).alias("risk_level"),
                  F.lit(runtime).alias("runtime_class"), F.lit(loss).alias("data_loss_risk"))
         for i, n, scope, risk, runtime, loss in fixed.STRATEGY_TEMPLATES])
-    rows = incidents.select("*", F.inline(options))
+    rows = dealt(incidents).select("*", F.inline(options))
     return rows.withColumn("scope_size", C.length(F.col("scope")).cast("bigint"))
 
 

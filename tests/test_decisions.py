@@ -150,6 +150,13 @@ def test_candidates_and_tradeoffs(spark, rows):
         == [("REC-002", 3, "HIGH", "raw.customers,bronze.customers")] * 2
 
 
+def test_incidents_are_dealt_out_before_their_candidates(spark, tmp_path):
+    spark.range(4000).select(F.when(F.col("id") % 3 > 0, F.col("id")).alias("incident_key")).coalesce(1).write.parquet(str(tmp_path / "t"))
+    options = risk.score(risk.candidates(spark.read.parquet(str(tmp_path / "t"))))
+    sizes = [r["count"] for r in options.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 12000 and max(sizes) < 3000
+
+
 def test_decision_audit(spark, rows):
     known = scored(spark, (1, 5, 8, 1), (2, 5, 8, 1), (3, 5, 8, 1))
     decisions = spark.createDataFrame([(1, 5, 8), (2, 5, 9), (3, 7, 8), (4, None, None)],
