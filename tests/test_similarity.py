@@ -34,6 +34,30 @@ def test_pairs(spark, percent):
         assert similarity.near_pairs(frame(spark, sets), percent, block).count() == len(got)
 
 
+@pytest.mark.parametrize("percent", [49, 50, 60, 80, 100])
+def test_sets_below_and_above_small(spark, percent):
+    draw = random.Random(percent)
+    sets = {}
+    for i in range(150):
+        like = sets[draw.randrange(i)] if i % 3 else set()
+        fresh = {f"t{draw.randrange(24)}" for _ in range(draw.choice([1, 2, 4, 11, 20]))}
+        sets[i] = {t for t in like if draw.random() < 0.9} | (set(sorted(fresh)[:2]) if like else fresh)
+    sizes = {len(s) for s in sets.values()}
+    assert min(sizes) < 3 and max(sizes) > similarity.SMALL + 2
+    for block in (3, 4096):
+        got = similarity.near_pairs(frame(spark, sets), percent, block).collect()
+        assert {(r.a, r.b): r.common for r in got} == plain(sets, percent) and len(got) == len(plain(sets, percent))
+
+
+def test_a_shared_token_alone_makes_no_candidates(spark):
+    sets = {i: {f"a{i % 20}", f"b{i // 20}", f"c{(7 * i + i // 20) % 20}"} for i in range(400)}
+    ordered = similarity.by_rarity(frame(spark, sets))
+    rows = similarity.postings(ordered, 75)
+    a, b = (similarity.keyed(rows, 75, smaller) for smaller in (True, False))
+    # Of the 400 sets, 20 share each token, and one or two each pair.
+    assert a.join(b, ["token", "least", "low", "high"]).count() < 4 * len(sets)
+
+
 def test_a_hot_token_is_split(spark):
     sets = {i: {"hot", f"x{i % 3}"} for i in range(600)}
     ordered = frame(spark, sets).select("set_id", F.size("tokens").alias("size"), "tokens")
