@@ -1,4 +1,9 @@
-"""Downstream reach over a lineage graph, and its business impact."""
+"""Downstream reach over a lineage graph, and its business impact.
+
+The joins are merge joins: edges, catalogue and reached rows all grow with the graph, and as
+files or in a cache they are so small that Spark would long take them for a broadcast, which
+passes the driver at its full size.
+"""
 
 from __future__ import annotations
 
@@ -44,7 +49,7 @@ def reach(edges: DataFrame, starts: DataFrame, max_depth: int | None = None, hop
             levels = []
             while depth < last:
                 depth += 1
-                level = level.join(edges, level["node"] == edges["src"]).select(
+                level = one_further(level, edges).select(
                     "start", F.col("dst").cast(kind).alias("node"), F.lit(depth).alias("depth")).distinct()
                 levels.append(level)
             least = reduce(DataFrame.unionAll, levels).groupBy("start", "node").agg(F.min("depth").alias("depth"))
@@ -63,9 +68,14 @@ def add_round(rows: DataFrame, name: str, folder: str, buckets: int, number: int
      .option("path", folder).saveAsTable(name))
 
 
+def one_further(level: DataFrame, edges: DataFrame) -> DataFrame:
+    """Rows of a level with each edge out of their node."""
+    return level.join(edges.hint("merge"), level["node"] == edges["src"])
+
+
 def unvisited(rows: DataFrame, visited: DataFrame) -> DataFrame:
-    """Rows of which the visited ones, where they lie in buckets, need not move."""
-    return rows.join(visited, ["start", "node"], "left_anti")
+    """Rows of which the visited ones, where they lie in buckets, need not move, nor pass the driver."""
+    return rows.join(visited.hint("merge"), ["start", "node"], "left_anti")
 
 
 def blast_radius(reached: DataFrame, edges: DataFrame) -> DataFrame:
@@ -76,7 +86,7 @@ def blast_radius(reached: DataFrame, edges: DataFrame) -> DataFrame:
     """
     fan_out = (edges.groupBy(F.col("src").alias("node"))
                .agg(F.count(F.lit(1)).alias("out_edges")))
-    return (reached.join(stored(fan_out, "fan-out"), "node", "left").groupBy("start").agg(
+    return (reached.join(stored(fan_out, "fan-out").hint("merge"), "node", "left").groupBy("start").agg(
         F.count_if(F.col("depth") > 0).alias("impacted"),
         F.max("depth").alias("max_depth"),
         F.coalesce(F.sum("out_edges"), F.lit(0).cast("bigint")).alias("listed")))

@@ -46,6 +46,22 @@ def test_visited_rows_do_not_move(spark, tmp_path):
         spark.sql("drop table seen_before")
 
 
+def test_edges_and_visited_rows_do_not_pass_the_driver(spark, rows, tmp_path):
+    level = spark.createDataFrame([(1, 1, 0), (1, 2, 0), (2, 9, 0), (2, None, 0)], "start int, node int, depth int")
+    edges = spark.createDataFrame([(1, 2), (2, 3), (2, 4), (None, 5)], "src int, dst int")
+    lineage.add_round(level.select("start", F.col("node") + 1, "depth").toDF("start", "node", "depth"), "seen_small", str(tmp_path / "t"), 8, 0)
+    try:
+        further, left = lineage.one_further(level, edges), lineage.unvisited(level, spark.table("seen_small"))
+        reached = spark.table("seen_small").drop("round")
+        joined = [lineage.blast_radius(reached, edges)]
+        for df in (further, left, *joined):
+            assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+        assert rows(further, "start", "node", "dst") == [(1, 1, 2), (1, 2, 3), (1, 2, 4)]
+        assert rows(left, "start", "node") == [(1, 1), (2, 9), (2, None)]
+    finally:
+        spark.sql("drop table seen_small")
+
+
 def test_incident_radius(spark, rows):
     reached = lineage.reach(graph(spark, [("a", "b"), ("b", "c"), ("x", "c"), ("c", "a")]), starts(spark, "a", "x"))
     assets = spark.createDataFrame([(1, "a"), (1, "x"), (1, "a"), (2, "x"), (3, "q")], "incident_key int, asset string")
