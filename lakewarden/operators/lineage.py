@@ -99,7 +99,7 @@ def incident_radius(assets: DataFrame, reached: DataFrame, incident: str = "inci
     assets as starts, so assets that several incidents share are walked from once.
     """
     own = assets.select(incident, "asset").distinct()
-    rows = own.join(reached.select(F.col("start").alias("asset"), "node", "depth"), "asset")
+    rows = own.join(reached.select(F.col("start").alias("asset"), "node", "depth").hint("merge"), "asset")
     nodes = rows.groupBy(incident, "node").agg(F.max("depth").alias("far"), F.count_if(F.col("depth") == 0).alias("own"))
     return nodes.groupBy(incident).agg(
         F.sum("own").alias("n_assets"), F.count_if(F.col("far") > 0).alias("impacted"), F.max("far").alias("max_depth"))
