@@ -111,4 +111,4 @@ def impact(reached: DataFrame, catalogue: DataFrame) -> DataFrame:
     ``catalogue`` has one row per ``asset``.
     """
     downstream = reached.filter("depth > 0").select("start", F.col("node").alias("asset"), "depth")
-    return downstream.join(catalogue, "asset", "left")
+    return downstream.join(catalogue.hint("merge"), "asset", "left")

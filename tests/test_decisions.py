@@ -53,8 +53,9 @@ def test_edges_and_visited_rows_do_not_pass_the_driver(spark, rows, tmp_path):
     try:
         further, left = lineage.one_further(level, edges), lineage.unvisited(level, spark.table("seen_small"))
         reached = spark.table("seen_small").drop("round")
+        catalogue = spark.createDataFrame([(2, "x"), (3, "y")], "asset int, asset_type string")
         own = spark.createDataFrame([(7, 1), (7, 2)], "incident_key int, asset int")
-        joined = [lineage.blast_radius(reached, edges), lineage.incident_radius(own, reached)]
+        joined = [lineage.blast_radius(reached, edges), lineage.incident_radius(own, reached), lineage.impact(reached, catalogue)]
         for df in (further, left, *joined):
             assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
         assert rows(further, "start", "node", "dst") == [(1, 1, 2), (1, 2, 3), (1, 2, 4)]
